@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 EVENT_CATS = ["hour", "weekday"]
 EVENT_NUMS = ["value", "k"]
+ENCODER_CATS = ["clock", "weekday"]
 LINE_CATS = ["l_linestatus", "p_brand"]
 LINE_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -28,6 +29,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
         _seconds("ts").alias("ts"),
         F.hour(at).cast("string").alias("hour"),
         (F.dayofweek(at) - 1).cast("string").alias("weekday"),
+        F.date_format(at, "HH:mm").alias("clock"),
         F.col("value"),
         F.get_json_object("props", "$.k").cast("double").alias("k"),
         (F.col("event_type") == "error").cast("int").alias("label"),

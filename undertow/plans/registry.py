@@ -36,7 +36,7 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 FLOWS = """flows AS (
   SELECT event_id AS flow_id, CAST(user_id AS VARCHAR) AS entity_id, epoch_us(ts) / 1e6 AS ts,
-         CAST(hour(ts) AS VARCHAR) AS hour, CAST(dayofweek(ts) AS VARCHAR) AS weekday, value,
+         CAST(hour(ts) AS VARCHAR) AS hour, CAST(dayofweek(ts) AS VARCHAR) AS weekday, strftime(ts, '%H:%M') AS clock, value,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
          CAST(event_type = 'error' AS INTEGER) AS label, event_type
   FROM events)"""
