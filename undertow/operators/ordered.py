@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from undertow.session import cut_lineage, shuffle_partitions
+from undertow.session import cut_lineage
 
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 10_000
@@ -33,9 +33,12 @@ MAX_SLICES = 10_000
 
 
 def range_layout(df: DataFrame, order: list[Column | str], partitions: int | None = None) -> DataFrame:
-    """Range partition, sort, number the partitions and fix the result, so every later pass agrees on it."""
-    n = partitions or shuffle_partitions(df.sparkSession)
-    laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    """Range partition, sort, number the partitions and fix the result, so every later pass agrees on it.
+
+    Without a count the session's shuffle partitions are used, and adaptive execution merges small ones.
+    """
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    laid = ranged.sortWithinPartitions(*order)
     return cut_lineage(laid.withColumn("_pid", F.spark_partition_id()))
 
 

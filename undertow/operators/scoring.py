@@ -161,11 +161,15 @@ def fit_logistic(df: DataFrame, features: str, label: str = "label", c: float =
     return Head("logistic", [(model.coefficients.toArray()[:, None], np.array([model.intercept]))])
 
 
-def fit_mlp(df: DataFrame, features: str, hidden: list[int], label: str = "label", seed: int = 42, max_iter: int = 200) -> Head:
-    train = _training(df, features, label).cache()
+def fit_mlp(df: DataFrame, features: str, hidden: list[int], label: str = "label", seed: int = 42, max_iter: int = 100) -> Head:
+    """Small network on standardised features; the scaling is folded into the first layer afterwards."""
+    n, mean, squares = vectors.dim_moments(df, features)[0]
+    scale = np.sqrt(squares / n)
+    scale = np.where(scale < 1e-9, 1.0, scale)
+    unit = vectors.map_vectors(df.select(label, features), "_unit", lambda x: (x - mean) / scale, features)
+    train = _training(unit, "_unit", label).cache()
     try:
-        width = train.first()["features"].size
-        sizes = [width, *hidden, 2]
+        sizes = [len(mean), *hidden, 2]
         model = MultilayerPerceptronClassifier(layers=sizes, seed=seed, maxIter=max_iter).fit(train)
     finally:
         train.unpersist()
@@ -176,6 +180,8 @@ def fit_mlp(df: DataFrame, features: str, hidden: list[int], label: str = "label
         at += a * b
         layers.append((w, flat[at : at + b]))
         at += b
+    w, b = layers[0]
+    layers[0] = (w / scale[:, None], b - (mean / scale) @ w)
     return Head("mlp", layers)
 
 

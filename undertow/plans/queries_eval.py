@@ -214,12 +214,13 @@ def e03_text_score_ranking(spark, sf):
     return rounded(evaluate.ranking_metrics(src.text_scores(spark, sf)), "auroc", "pr_auc", "fpr_at_tpr")
 
 
-@query(f"WITH {FLOWS} SELECT count(*) AS row_count, CAST(count(*) FILTER (flow_id % 500 = 0) AS BIGINT) AS unmatched, "
-       f"{r('max(CASE WHEN flow_id % 500 <> 0 THEN abs(value - (value + (flow_id % 10) * 1e-7)) END)', 9)} AS max_abs_diff, {r('avg(CASE WHEN flow_id % 500 <> 0 THEN abs(value - (value + (flow_id % 10) * 1e-7)) END)', 9)} AS mean_abs_diff, "
-       "count(*) FILTER (flow_id % 500 = 0) = 0 AS passed FROM flows")
+@query(f"WITH {FLOWS} SELECT count(*) AS row_count, CAST(count(*) FILTER (event_type = 'click' AND value > 200) AS BIGINT) AS unmatched, "
+       f"{r('max(CASE WHEN NOT (event_type = 'click' AND value > 200) THEN abs(value - (value + (flow_id % 10) * 1e-7)) END)', 9)} AS max_abs_diff, {r('avg(CASE WHEN NOT (event_type = 'click' AND value > 200) THEN abs(value - (value + (flow_id % 10) * 1e-7)) END)', 9)} AS mean_abs_diff, "
+       "count(*) FILTER (event_type = 'click' AND value > 200) = 0 AS passed FROM flows")
 def e28_decision_parity(spark, sf):
     a = _decisions(spark, sf)
-    b = a.filter(F.col("flow_id") % 500 != 0).withColumn("drift_score", F.col("drift_score") + (F.col("flow_id") % 10) * F.lit(1e-7))
+    kinds = src.events(spark, sf).select("flow_id", "event_type")
+    b = a.join(kinds, "flow_id").filter("NOT (event_type = 'click' AND drift_score > 200)").withColumn("drift_score", F.col("drift_score") + (F.col("flow_id") % 10) * F.lit(1e-7))
     return rounded(evaluate.parity(a, b), "max_abs_diff", "mean_abs_diff", digits=9)
 
 

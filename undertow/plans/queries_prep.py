@@ -286,13 +286,13 @@ def d09_leakage_gate(spark, sf):
     return t.groupBy("split").agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col("label").cast("long")).alias("attacks"))
 
 
-@query(f"WITH {TAGGED}, t AS (SELECT flow_id FROM tagged WHERE flow_id % 100 <> 0 UNION ALL SELECT flow_id FROM tagged WHERE flow_id % 30 = 1), "
+@query(f"WITH {TAGGED}, t AS (SELECT flow_id FROM tagged WHERE event_type <> 'error' OR value < 80 UNION ALL SELECT flow_id FROM tagged WHERE value > 120), "
        "c AS (SELECT f.flow_id, count(t.flow_id) AS b FROM flows f LEFT JOIN t USING (flow_id) GROUP BY 1) "
        "SELECT count(*) AS source_rows, CAST(sum(b) AS BIGINT) AS tagged_rows, count(*) FILTER (b = 0) AS missing_rows, CAST(0 AS BIGINT) AS added_rows, "
        "count(*) FILTER (b > 1) AS repeated_rows FROM c")
 def d10_split_completeness(spark, sf):
     t = _tagged(spark, sf)
-    broken = t.filter(F.col("flow_id") % 100 != 0).unionByName(t.filter(F.col("flow_id") % 30 == 1))
+    broken = t.filter("event_type <> 'error' OR value < 80").unionByName(t.filter("value > 120"))
     return quality.split_completeness(src.events(spark, sf), broken)
 
 

@@ -59,6 +59,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """Hint a broadcast only for a frame whose size was checked; else the planner shuffles."""
     return F.broadcast(df) if is_small(df, max_rows) else df
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
