@@ -54,7 +54,7 @@ def pack_bits(x: np.ndarray) -> np.ndarray:
 
 
 def unpack_bits(bits: np.ndarray, width: int) -> np.ndarray:
-    return np.where(np.unpackbits(bits, axis=1)[:, :width] > 0, -1, 1).astype(np.int8)
+    return 1 - 2 * np.unpackbits(bits, axis=1, count=width).view(np.int8)
 
 
 # --------------------------------------------------------------------------- Catalyst expressions

@@ -141,35 +141,44 @@ def encode_expression(df: DataFrame, model: EncoderModel, kind: str = "record")
 
 
 class Kernel:
-    """Turns an Arrow batch of tokens, seen flags and numbers into +1/-1 rows. Built once per task."""
+    """Turns an Arrow batch of tokens, seen flags and numbers into hypervectors. Built once per task.
+
+    Vectors are kept as bits (set = -1) in 64-bit words: binding is XOR, and the majority is taken with
+    bit-sliced counters, so a row costs a few word operations per field instead of one per element.
+    """
 
     def __init__(self, model: EncoderModel, kind: str = "record"):
         self.model, self.kind = model, kind
-        width, seed = model.width, model.seed
-        self.keys = {c: H.base_vector(f"key:{c}", width, seed) for c in [*model.cat_cols, *model.num_cols]}
+        self.words = -(-model.width // 64)
+        self.keys = {c: self._bits([f"key:{c}"]) for c in [*model.cat_cols, *model.num_cols]}
         self.tables: dict[str, np.ndarray] = {}
         if kind == "record":
-            levels = H.level_vectors(width, model.levels, seed)
-            self.tables = {c: levels * self.keys[c] for c in model.num_cols}
+            levels = self._words(H.level_vectors(model.width, model.levels, model.seed))
+            self.tables = {c: levels ^ self.keys[c] for c in model.num_cols}
         elif kind == "sax":
-            symbols = np.stack([H.base_vector(f"sym:{a}", width, seed) for a in range(len(S.SAX_BREAKPOINTS_8) + 1)])
-            self.tables = {c: symbols * self.keys[c] for c in model.num_cols}
+            symbols = self._bits([f"sym:{a}" for a in range(len(S.SAX_BREAKPOINTS_8) + 1)])
+            self.tables = {c: symbols ^ self.keys[c] for c in model.num_cols}
         elif kind == "rff":
             n = len(model.num_cols)
-            w = H.gaussians("rff:w", n * width, seed).reshape(n, width) * np.sqrt(2.0 * model.gamma)
-            self.weights, self.phase = w, H.uniforms("rff:b", width, seed) * 2.0 * np.pi
+            w = H.gaussians("rff:w", n * model.width, model.seed).reshape(n, model.width) * np.sqrt(2.0 * model.gamma)
+            self.weights, self.phase = w, H.uniforms("rff:b", model.width, model.seed) * 2.0 * np.pi
         else:
             raise ValueError(f"unknown encoder {kind!r}")
 
+    def _words(self, vectors_: np.ndarray) -> np.ndarray:
+        packed = H.pack_bits(vectors_)
+        return np.pad(packed, ((0, 0), (0, self.words * 8 - packed.shape[1]))).view(np.uint64)
+
+    def _bits(self, keys: list[str]) -> np.ndarray:
+        return self._words(np.stack([H.base_vector(k, self.model.width, self.model.seed) for k in keys]))
+
     def _tokens(self, batch: pa.RecordBatch, c: str) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of bound vectors for the batch's distinct tokens, and which one each row uses."""
+        """Bound vectors of the batch's distinct tokens, the unseen one last, and which one each row uses."""
         coded = batch.column(c).dictionary_encode()
         seen = batch.column(f"{c}_id").to_numpy(zero_copy_only=False) > 0
         names = coded.dictionary.to_pylist()
-        vectors_ = [H.base_vector(f"tok:{c}:{t}", self.model.width, self.model.seed) for t in names]
-        table = np.stack([*vectors_, H.base_vector(f"oov:{c}", self.model.width, self.model.seed)]) * self.keys[c]
-        index = np.where(seen, coded.indices.to_numpy(zero_copy_only=False), len(names))
-        return table, index
+        table = self._bits([*[f"tok:{c}:{t}" for t in names], f"oov:{c}"]) ^ self.keys[c]
+        return table, np.where(seen, coded.indices.to_numpy(zero_copy_only=False), len(names))
 
     def _units(self, batch: pa.RecordBatch, c: str) -> np.ndarray:
         x = batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
@@ -178,29 +187,64 @@ class Kernel:
         lo, hi = self.model.ranges[c]
         return np.clip((x - lo) / (hi - lo), 0.0, 1.0)
 
-    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+    def _fields(self, batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
         m = self.model
-        total = np.zeros((batch.num_rows, m.width), dtype=np.int16)
-        for c in m.cat_cols:
-            table, index = self._tokens(batch, c)
-            total += table[index]
-        if self.kind == "rff":
-            units = np.column_stack([self._units(batch, c) for c in m.num_cols])
-            real = total + np.sqrt(2.0 / m.width) * np.cos(units @ self.weights + self.phase)
-            return np.where(real >= 0, 1, -1).astype(np.int8)
-        for c in m.num_cols:
+        fields = [self._tokens(batch, c) for c in m.cat_cols]
+        for c in m.num_cols if self.kind != "rff" else []:
             if self.kind == "record":
                 index = np.rint(self._units(batch, c) * (m.levels - 1)).astype(np.int64)
             else:
                 mean, std = m.stats[c]
                 z = (batch.column(c).to_numpy(zero_copy_only=False) - mean) / std
                 index = (z[:, None] >= np.array(S.SAX_BREAKPOINTS_8)[None, :]).sum(1)
-            total += self.tables[c][index]
+            fields.append((self.tables[c], index))
+        return fields
+
+    def packed(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Bytes of the bundled vectors, most significant bit first."""
+        if self.kind == "rff":
+            return H.pack_bits(self._rff(batch))
+        fields = self._fields(batch)
+        step = max(1, 65_536 // self.words)  # keeps the counters in cache
+        out = np.empty((batch.num_rows, self.words), dtype=np.uint64)
+        for at in range(0, batch.num_rows, step):
+            out[at : at + step] = majority([table[index[at : at + step]] for table, index in fields])
+        return out.view(np.uint8)[:, : -(-self.model.width // 8)]
+
+    def _rff(self, batch: pa.RecordBatch) -> np.ndarray:
+        m = self.model
+        total = np.zeros((batch.num_rows, m.width))
+        for table, index in self._fields(batch):
+            total += H.unpack_bits(table.view(np.uint8), m.width)[index]
+        units = np.column_stack([self._units(batch, c) for c in m.num_cols])
+        total += np.sqrt(2.0 / m.width) * np.cos(units @ self.weights + self.phase)
         return np.where(total >= 0, 1, -1).astype(np.int8)
 
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The vectors as rows of +1/-1."""
+        return H.unpack_bits(self.packed(batch), self.model.width)
+
+
+def majority(votes: list[np.ndarray]) -> np.ndarray:
+    """Bits set in more than half of the votes, by counting in bit planes."""
+    planes: list[np.ndarray] = []
+    for carry in votes:
+        for i, plane in enumerate(planes):
+            planes[i], carry = plane ^ carry, plane & carry
+        if len(planes) < len(votes).bit_length():
+            planes.append(carry)
+    more, equal = np.zeros_like(votes[0]), ~np.zeros_like(votes[0])
+    for i in reversed(range(len(planes))):
+        if len(votes) // 2 >> i & 1:
+            equal &= planes[i]
+        else:
+            more |= equal & planes[i]
+            equal &= ~planes[i]
+    return more
+
 
 def chunk_rows(width: int) -> int:
-    """Rows encoded at a time: about 16 MB of accumulators."""
+    """Rows unpacked at a time: about 8 MB of elements."""
     return max(1, min(4096, 8_000_000 // width))
 
 
@@ -210,7 +254,7 @@ def encode(df: DataFrame, model: EncoderModel, kind: str = "record", packed: boo
     looked = lookup(df, model.vocabulary, model.cat_cols)
     needed = [*dict.fromkeys([*kept, *model.cat_cols, *model.num_cols, *[f"{c}_id" for c in model.cat_cols], "is_oov"])]
     rows = looked.select(*needed)
-    light, step = model.light(), chunk_rows(model.width)
+    light, step = model.light(), chunk_rows(model.width) * (8 if packed else 1)
     hv_type = T.BinaryType() if packed else T.ArrayType(T.ByteType())
     schema = T.StructType([rows.schema[c] for c in [*kept, "is_oov"]] + [T.StructField("hv", hv_type)])
 
@@ -220,11 +264,7 @@ def encode(df: DataFrame, model: EncoderModel, kind: str = "record", packed: boo
             for at in range(0, whole.num_rows, step):
                 kernel = kernel or Kernel(light, kind)
                 batch = whole.slice(at, step)
-                x = kernel(batch)
-                if packed:
-                    hv = pa.array([row.tobytes() for row in H.pack_bits(x)], pa.binary())
-                else:
-                    hv = vectors.list_column(x)
+                hv = binary_column(kernel.packed(batch)) if packed else vectors.list_column(kernel(batch))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in [*kept, "is_oov"]] + [hv], names=[*kept, "is_oov", "hv"]
                 )
@@ -244,6 +284,13 @@ def structured(df: DataFrame, model: EncoderModel, hv: str = "hv") -> DataFrame:
     return df.withColumn("structured_hv", F.arrow_udf(blend, "array<tinyint>")(F.col(hv)))
 
 
+def binary_column(rows: np.ndarray) -> pa.Array:
+    """Byte rows of one length as an Arrow binary column, without a Python object per row."""
+    n, width = rows.shape
+    offsets = pa.py_buffer(np.arange(0, n * width + 1, width, dtype=np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def unpack(hv: Column | str, width: int) -> Column:
     """Packed bits back to +1/-1."""
     hv = F.col(hv) if isinstance(hv, str) else hv
@@ -260,7 +307,7 @@ def pack(hv: Column | str) -> Column:
 
     def run(col: pa.Array) -> pa.Array:
         x = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
-        return pa.array([row.tobytes() for row in H.pack_bits(x)], pa.binary())
+        return binary_column(H.pack_bits(x))
 
     return F.arrow_udf(run, "binary")(hv)
 

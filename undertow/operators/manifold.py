@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.operators import covariance, ordered, vectors
+from undertow.session import cut_lineage
 
 WIDE = 1000  # above this width the distance is cosine to the mean
 
@@ -76,19 +77,30 @@ class Manifold:
         return np.sqrt(np.clip(best, 0.0, None))
 
 
-def trim_core(df: DataFrame, vec: str, ratio: float = 0.02, clusters: int = 1) -> DataFrame:
-    """Drop rows far from the mean, beyond the (1 - ratio) percentile of squared distance."""
+def trim_core(df: DataFrame, vec: str, ratio: float = 0.02, clusters: int = 1, centre: tuple[int, np.ndarray] | None = None) -> DataFrame:
+    """Drop rows far from the mean, beyond the (1 - ratio) percentile of squared distance.
+
+    The distances are stored once, as one double per row, before the percentile is searched.
+    """
     ratio = min(max(ratio, 0.0), 0.20)
     if ratio == 0.0:
         return df
-    n, mean = vectors.vector_means(df, vec).get(0, (0, np.zeros(0)))
+    n, mean = centre or vectors.vector_means(df, vec).get(0, (0, np.zeros(0)))
     if n < 50:
         return df
     far = vectors.scalar_udf(lambda x: ((x - mean) ** 2).sum(1))
-    scored = df.withColumn("_d2", far(F.col(vec)))
-    cut = ordered.exact_quantiles(scored, "_d2", [1.0 - ratio])[0]
-    kept = scored.filter(F.col("_d2") <= cut).drop("_d2")
-    return kept if kept.count() >= max(clusters * 10, len(mean)) else df
+    squared = far(F.col(vec))
+    stored = cut_lineage(df.select(squared.alias("_d2")))
+    cut = ordered.exact_quantiles(stored, "_d2", [1.0 - ratio])[0]
+    if stored.filter(F.col("_d2") <= cut).count() < max(clusters * 10, len(mean)):
+        return df
+    return df.withColumn("_d2", squared).filter(F.col("_d2") <= cut).drop("_d2")
+
+
+def from_moments(m: vectors.Moments, estimator: str = "ledoit_wolf", eps: float = 1e-5) -> Manifold:
+    """One full-covariance centre."""
+    precision, rho = _precision(m, estimator, eps)
+    return Manifold(m.mean[None, :], precision[None, :, :], "full", [rho], m.n)
 
 
 def fit_manifold(
@@ -100,24 +112,28 @@ def fit_manifold(
     estimator: str = "ledoit_wolf",
     seed: int = 42,
     eps: float = 1e-5,
+    centre: tuple[int, np.ndarray] | None = None,
 ) -> Manifold:
-    """Fit on the rows given (normals, or attacks with trim=0)."""
-    core = trim_core(df, vec, trim, clusters)
-    n, mean = vectors.vector_means(core, vec)[0]
-    if len(mean) > WIDE:
+    """Fit on the rows given (normals, or attacks with trim=0). `centre` is (rows, mean) when known."""
+    core = trim_core(df, vec, trim, clusters, centre)
+    head = core.select(F.size(vec)).first()
+    if head is None:
+        raise ValueError("a manifold needs at least one row")
+    if head[0] > WIDE:
+        n, mean = vectors.vector_means(core, vec)[0]
         return Manifold(mean[None, :], None, "cosine", n=n)
+    pooled = vectors.moments(core, vec)[0]
+    n, mean = pooled.n, pooled.mean
     if clusters <= 1 or n < clusters * 20:
-        pooled = vectors.moments(core, vec)[0]
-        precision, rho = _precision(pooled, estimator, eps)
+        single = from_moments(pooled, estimator, eps)
         if kind == "diagonal" and clusters > 1:
-            return Manifold(mean[None, :], np.diag(precision)[None, :], "diagonal", [rho], n)
-        return Manifold(mean[None, :], precision[None, :, :], "full", [rho], n)
+            return Manifold(single.means, np.diag(single.precisions[0])[None, :], "diagonal", single.shrinkage, n)
+        return single
     assigned, centres = assign_clusters(core, vec, clusters, seed)
-    by_cluster = vectors.moments(assigned, vec, by="_cluster")
-    pooled = vectors.moments(core, vec)[0]
     pooled_precision, pooled_rho = _precision(pooled, estimator, eps)
     if kind == "shared":
         return Manifold(centres, pooled_precision[None, :, :], "shared", [pooled_rho] * clusters, n)
+    by_cluster = vectors.moments(assigned, vec, by="_cluster")
     precisions, rhos = [], []
     for k in range(clusters):
         part = by_cluster.get(k)

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from undertow.session import cut_lineage
 
 ROWS_PER_SLICE = 2_000_000
+FOLD_ROWS = 32_768  # rows folded side by side; more rows hold more keys, so steps are wider
 MAX_SLICES = 10_000
 
 
@@ -231,12 +232,24 @@ def fold_batch(fold: Fold, batch: pa.RecordBatch, key: str, first: np.ndarray |
     return outs, state[last_run].copy()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Join small Arrow batches into batches of about `rows` rows."""
+    waiting, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, n = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def _fold_partition(fold: Fold, batches, key: str, carried: dict):
     """Yield (batch, outputs, end state, last key) over one partition, streaming."""
     held_key, held = None, None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    for batch in _gathered(batches, FOLD_ROWS):
         first_key = batch.column(key)[0].as_py()
         if held_key is None:
             pid = batch.column("_pid")[0].as_py()
@@ -321,32 +334,27 @@ def _border_states(laid: DataFrame, fold: Fold, key: str, borders: list) -> dict
 # --------------------------------------------------------------------------- order statistics
 
 
-def value_at_rank(df: DataFrame, value: str, ranks: list[int], limit: int = 50_000) -> dict[int, float]:
+RANK_LIMIT = 200_000  # distinct values that are ranked in one window
+
+
+def value_at_rank(df: DataFrame, value: str, ranks: list[int], limit: int = RANK_LIMIT) -> dict[int, float]:
     """Exact order statistics: rank (0-based, ascending) -> value.
 
     Each pass brackets the wanted ranks with a quantile sketch of guaranteed error, counts what lies
-    below each bracket and goes on inside it; the last bracket is ranked by its distinct values.
+    below and inside each bracket and goes on inside it; the last bracket is ranked by its distinct values.
     """
     rows = df.select(F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    return _narrow(rows, sorted(set(ranks)), limit)
+    return _narrow(rows, sorted(set(ranks)), rows.count(), limit)
 
 
-def _narrow(rows: DataFrame, ranks: list[int], limit: int, accuracy: int = 10_000) -> dict[int, float]:
-    n, distinct = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("_x")).first()
-    if distinct <= limit:
-        by_value = rows.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
-        running = F.sum("_n").over(Window.orderBy("_x"))  # about `limit` distinct values at most
-        wanted = F.array(*[F.lit(r).cast("long") for r in ranks])
-        hits = (
-            by_value.withColumn("_c", running)
-            .withColumn("_r", F.explode(F.filter(wanted, lambda r: (r < F.col("_c")) & (r >= F.col("_c") - F.col("_n")))))
-            .select("_r", "_x")
-            .collect()
-        )
-        return {h["_r"]: h["_x"] for h in hits}
+def _narrow(rows: DataFrame, ranks: list[int], n: int, limit: int, accuracy: int = 10_000) -> dict[int, float]:
+    if n <= limit:
+        return _rank_distinct(rows, ranks)
     eps = 2.0 / accuracy
     probs = [min(1.0, max(0.0, (r + 1) / n + d)) for r in ranks for d in (-eps, eps)]
-    edges = rows.agg(F.percentile_approx("_x", probs, accuracy)).first()[0]
+    distinct, edges = rows.agg(F.approx_count_distinct("_x"), F.percentile_approx("_x", probs, accuracy)).first()
+    if distinct <= limit:
+        return _rank_distinct(rows, ranks)
     merged: list[list] = []
     for i, r in enumerate(ranks):
         lo, hi = edges[2 * i], edges[2 * i + 1]
@@ -355,29 +363,42 @@ def _narrow(rows: DataFrame, ranks: list[int], limit: int, accuracy: int = 10_00
             merged[-1][2].append(r)
         else:
             merged.append([lo, hi, [r]])
-    if len(merged) == 1 and merged[0][0] != merged[0][1]:
-        inside = rows.filter((F.col("_x") >= merged[0][0]) & (F.col("_x") <= merged[0][1])).count()
-        if inside == n and len(ranks) > 1:  # brackets cover everything: take the ranks in two halves
-            half = len(ranks) // 2
-            return {**_narrow(rows, ranks[:half], limit, accuracy), **_narrow(rows, ranks[half:], limit, accuracy)}
-    below = rows.agg(*[F.sum((F.col("_x") < lo).cast("long")) for lo, _, _ in merged]).first()
+    x = F.col("_x")
+    counts = rows.agg(
+        *[F.sum((x < lo).cast("long")) for lo, _, _ in merged],
+        *[F.sum(((x >= lo) & (x <= hi)).cast("long")) for lo, hi, _ in merged],
+    ).first()
     out: dict[int, float] = {}
-    for (lo, hi, group), under in zip(merged, below):
+    for i, (lo, hi, group) in enumerate(merged):
+        under, inside = counts[i], counts[len(merged) + i]
         if lo == hi:
             out.update({r: float(lo) for r in group})
-            continue
-        part = rows.filter((F.col("_x") >= lo) & (F.col("_x") <= hi))
-        found = _narrow(part, [r - under for r in group], limit, accuracy)
-        out.update({r + under: v for r, v in found.items()})
+        elif inside == n and len(group) > 1:  # the brackets cover everything: take the ranks in two halves
+            half = len(group) // 2
+            out.update(_narrow(rows, group[:half], n, limit, accuracy))
+            out.update(_narrow(rows, group[half:], n, limit, accuracy))
+        else:
+            found = _narrow(rows.filter((x >= lo) & (x <= hi)), [r - under for r in group], inside, limit, accuracy)
+            out.update({r + under: v for r, v in found.items()})
     return out
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], limit: int = 50_000) -> list[float]:
+def _rank_distinct(rows: DataFrame, ranks: list[int]) -> dict[int, float]:
+    """Ranks from counts per distinct value; called for about RANK_LIMIT values at most."""
+    by_value = rows.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = F.array(*[F.lit(r).cast("long") for r in ranks])
+    here = F.filter(wanted, lambda r: (r < F.col("_c")) & (r >= F.col("_c") - F.col("_n")))
+    hits = by_value.withColumn("_c", F.sum("_n").over(Window.orderBy("_x"))).withColumn("_r", F.explode(here))
+    return {h["_r"]: h["_x"] for h in hits.select("_r", "_x").collect()}
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], limit: int = RANK_LIMIT) -> list[float]:
     """Exact quantiles with linear interpolation between neighbouring ranks."""
-    n = df.filter(F.col(value).isNotNull()).count()
+    rows = df.select(F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    n = rows.count()
     if n == 0:
         return [float("nan")] * len(probabilities)
     spots = [p * (n - 1) for p in probabilities]
     ranks = sorted({math.floor(s) for s in spots} | {math.ceil(s) for s in spots})
-    at = value_at_rank(df, value, ranks, limit)
+    at = _narrow(rows, ranks, n, limit)
     return [at[math.floor(s)] + (at[math.ceil(s)] - at[math.floor(s)]) * (s - math.floor(s)) for s in spots]

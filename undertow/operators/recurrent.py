@@ -148,18 +148,52 @@ def vector_reader(vec: str) -> Reader:
     return lambda batch: vectors.matrix(batch.column(vec))
 
 
-def encoder_reader(model, kind: str = "record") -> Reader:
-    """Encode inside the scan, so that wide vectors are never shuffled or stored."""
-    from undertow.operators.encode import Kernel, chunk_rows
+class EncodedReader:
+    """Encodes inside the scan, so that wide vectors are never shuffled or stored.
 
-    light, held = model.light(), {}
+    Projection works on blocks of one fixed shape in single precision: a row's result does not depend on
+    the batch it came in, so batch and stream agree bit for bit.
+    """
 
-    def read(batch: pa.RecordBatch) -> np.ndarray:
-        kernel = held.get("kernel") or held.setdefault("kernel", Kernel(light, kind))
-        return kernel(batch)
+    BLOCK = 256
 
-    read.chunk = chunk_rows(model.width)
-    return read
+    def __init__(self, model, kind: str = "record"):
+        self.model, self.kind, self.kernel, self.weights = model.light(), kind, None, None
+
+    def _kernel(self):
+        from undertow.operators.encode import Kernel
+
+        self.kernel = self.kernel or Kernel(self.model, self.kind)
+        return self.kernel
+
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        return self._kernel()(batch)
+
+    def project(self, batch: pa.RecordBatch, wx: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """x @ wx + bias for x = 1 - 2 bits."""
+        width = self.model.width
+        bits = self._kernel().packed(batch)
+        if self.weights is None:
+            self.weights = (-2.0 * wx).astype(np.float32), wx.sum(0) + bias
+        minus_two_w, base = self.weights
+        block = np.zeros((self.BLOCK, width), dtype=np.float32)
+        out = np.empty((len(bits), wx.shape[1]))
+        for at in range(0, len(bits), self.BLOCK):
+            part = bits[at : at + self.BLOCK]
+            block[: len(part)] = np.unpackbits(part, axis=1, count=width)
+            out[at : at + self.BLOCK] = (block @ minus_two_w)[: len(part)] + base
+        return out
+
+
+def encoder_reader(model, kind: str = "record") -> Reader:
+    return EncodedReader(model, kind)
+
+
+def projected(cell, read: Reader, batch: pa.RecordBatch) -> np.ndarray:
+    """The cell's input projection of a whole batch."""
+    if isinstance(read, EncodedReader):
+        return read.project(batch, cell.wx, cell.b)
+    return cell.project(read(batch).astype(np.float64, copy=False))
 
 
 def _gap(state: np.ndarray, ts: np.ndarray) -> np.ndarray:
@@ -175,12 +209,7 @@ class CfCFold(Fold):
         self.width = cell.hidden + 2
 
     def inputs(self, batch):
-        step = getattr(self.read, "chunk", batch.num_rows) or 1
-        parts = [
-            self.cell.project(self.read(batch.slice(at, step)).astype(np.float64, copy=False))
-            for at in range(0, batch.num_rows, step)
-        ]
-        return np.concatenate(parts), batch.column(self.ts).to_numpy(zero_copy_only=False)
+        return projected(self.cell, self.read, batch), batch.column(self.ts).to_numpy(zero_copy_only=False)
 
     def step(self, state, rows):
         projected, ts = rows
@@ -198,7 +227,7 @@ class LSTMFold(Fold):
         self.width = 2 * cell.hidden
 
     def inputs(self, batch):
-        return (self.cell.project(self.read(batch)),)
+        return (projected(self.cell, self.read, batch),)
 
     def step(self, state, rows):
         new = self.cell.step(rows[0], state)
@@ -266,9 +295,17 @@ def encode_and_scan(df: DataFrame, model, cell: CfCCell, kind: str = "record", k
 
     looked = lookup(df, model.vocabulary, model.cat_cols)
     needed = [*dict.fromkeys([*keep, *model.cat_cols, *model.num_cols, *[f"{c}_id" for c in model.cat_cols]])]
+    kw.setdefault("partitions", encoding_tasks(df))
     return state_scan(looked.select(*needed), cell, encoder_reader(model, kind), keep=list(keep), emit=emit, **kw)
 
 
+def encoding_tasks(df: DataFrame, rows_per_task: int = 8_192) -> int:
+    """Tasks for work that costs far more per row than its bytes suggest."""
+    spark = df.sparkSession
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(most, df.count() // rows_per_task))
+
+
 def decay_state(df: DataFrame, value: str, rate: float, out: str = "decayed", **kw) -> DataFrame:
     return ordered.carry_scan(df, DecayFold(value, rate), [T.StructField(out, T.DoubleType())], **kw)
 

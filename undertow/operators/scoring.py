@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from undertow.functions import scalars as S
 from undertow.operators import evaluate, ordered, vectors
-from undertow.operators.manifold import Manifold, fit_manifold
+from undertow.operators.manifold import Manifold, fit_manifold, from_moments
 from undertow.operators.recurrent import sigmoid
+from undertow.session import cut_lineage
 
 MIN_CLASS_ROWS = 10
 
@@ -37,9 +38,8 @@ class Fisher:
     scale: float
 
 
-def fisher_direction(df: DataFrame, vec: str, label: str = "label", eps: float = 1e-4) -> np.ndarray | None:
+def fisher_direction(by: dict[int, vectors.Moments], eps: float = 1e-4) -> np.ndarray | None:
     """(half the summed class covariances + eps I)^-1 (attack mean - normal mean), unit length."""
-    by = vectors.moments(df, vec, by=label)
     if any(c not in by or by[c].n < MIN_CLASS_ROWS for c in (0, 1)):
         return None
     pooled = 0.5 * (by[0].covariance(1) + by[1].covariance(1)) + eps * np.eye(len(by[0].mean))
@@ -47,11 +47,11 @@ def fisher_direction(df: DataFrame, vec: str, label: str = "label", eps: float =
     return w / np.linalg.norm(w)
 
 
-def fit_fisher(df: DataFrame, vec: str, label: str = "label") -> Fisher | None:
-    w = fisher_direction(df, vec, label)
+def fit_fisher(df: DataFrame, vec: str, label: str = "label", by: dict[int, vectors.Moments] | None = None) -> Fisher | None:
+    w = fisher_direction(by or vectors.moments(df, vec, by=label))
     if w is None:
         return None
-    normal = df.filter(F.col(label) == 0).select(projection(w, vec).alias("_p"))
+    normal = cut_lineage(df.filter(F.col(label) == 0).select(projection(w, vec).alias("_p")))
     q1, median, q3 = ordered.exact_quantiles(normal, "_p", [0.25, 0.5, 0.75])
     spread = q3 - q1
     if spread <= 1e-4:
@@ -307,13 +307,17 @@ def features(scorer: Scorer, which: str, h: str, z: str | None = None) -> Column
 
 
 def fit_base(df: DataFrame, vec: str = "h", clusters: int = 1, kind: str = "full", trim: float = 0.02, eps: float = 0.5) -> Scorer:
-    """Normal manifold, attack manifold and discriminant, as far as the classes allow."""
-    normal = fit_manifold(df.filter(F.col("label") == 0), vec, clusters, kind, trim)
+    """Normal manifold, attack manifold and discriminant, as far as the classes allow.
+
+    The class moments are summed once and serve the trim centre, the attack manifold and the discriminant.
+    """
+    by = vectors.moments(df, vec, by="label")
+    centre = (by[0].n, by[0].mean) if 0 in by else None
+    normal = fit_manifold(df.filter(F.col("label") == 0), vec, clusters, kind, trim, centre=centre)
     scorer = Scorer(normal=normal, eps=eps)
-    attacks = df.filter(F.col("label") == 1)
-    if attacks.limit(MIN_CLASS_ROWS).count() >= MIN_CLASS_ROWS:
-        scorer.attack = fit_manifold(attacks, vec, 1, "full", trim=0.0)
-        scorer.fisher = fit_fisher(df, vec)
+    if 1 in by and by[1].n >= MIN_CLASS_ROWS:
+        scorer.attack = from_moments(by[1])
+        scorer.fisher = fit_fisher(df, vec, by=by)
     return scorer
 
 
@@ -352,7 +356,7 @@ def fit_fusion(scorer: Scorer, df: DataFrame, h: str = "h", z: str = "z", dim: i
     """dim -1: linear on [h, z]; 0: compact; k > 0: z reduced to k components; None: all features."""
     scorer.fusion_dim = dim
     if dim != -1:
-        scorer.fisher_z = fisher_direction(df, z)
+        scorer.fisher_z = fisher_direction(vectors.moments(df, z, by="label"))
     if dim and dim > 0:
         m = vectors.moments(df, z)[0]
         values, basis = np.linalg.eigh(m.scatter)

@@ -16,6 +16,14 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, bytes_per_task: int = 1 << 20) -> DataFrame:
+    """Deal the rows of a small, unsplittable file to more tasks; no effect once files fill the cores."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = min(spark.sparkContext.defaultParallelism, size // bytes_per_task)
+    return df.repartition(wanted) if wanted > df.rdd.getNumPartitions() else df
+
+
 def _seconds(c: str):
     return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
 
@@ -41,7 +49,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem with its part as flows: entity = supplier, time = ship date, label = returned."""
     part = read(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     # (l_orderkey, l_linenumber) repeats, so the id is (scan split, row), given before anything moves rows
-    raw = read(spark, folder, "lineitem").withColumn("_i", F.monotonically_increasing_id())
+    raw = spread(read(spark, folder, "lineitem").withColumn("_i", F.monotonically_increasing_id()))
     return raw.join(part, "l_partkey").select(
         F.col("_i").alias("flow_id"),
         F.col("l_suppkey").cast("string").alias("entity_id"),

@@ -214,8 +214,11 @@ def e03_text_score_ranking(spark, sf):
     return rounded(evaluate.ranking_metrics(src.text_scores(spark, sf)), "auroc", "pr_auc", "fpr_at_tpr")
 
 
+_KEPT = "{}(CASE WHEN NOT (event_type = 'click' AND value > 200) THEN abs(value - (value + (flow_id % 10) * 1e-7)) END)"
+
+
 @query(f"WITH {FLOWS} SELECT count(*) AS row_count, CAST(count(*) FILTER (event_type = 'click' AND value > 200) AS BIGINT) AS unmatched, "
-       f"{r('max(CASE WHEN NOT (event_type = 'click' AND value > 200) THEN abs(value - (value + (flow_id % 10) * 1e-7)) END)', 9)} AS max_abs_diff, {r('avg(CASE WHEN NOT (event_type = 'click' AND value > 200) THEN abs(value - (value + (flow_id % 10) * 1e-7)) END)', 9)} AS mean_abs_diff, "
+       f"{r(_KEPT.format('max'), 9)} AS max_abs_diff, {r(_KEPT.format('avg'), 9)} AS mean_abs_diff, "
        "count(*) FILTER (event_type = 'click' AND value > 200) = 0 AS passed FROM flows")
 def e28_decision_parity(spark, sf):
     a = _decisions(spark, sf)
