@@ -424,7 +424,7 @@ def g01_prefix_sums(spark, sf):
     return rounded(out.select("flow_id", "total", "row_num"), "total", digits=4)
 
 
-@query(f"WITH {SCORES} SELECT q, {r('v')} AS v FROM (SELECT unnest([0.01,0.25,0.5,0.75,0.95,0.999]) AS q, unnest(quantile_cont(score, [0.01,0.25,0.5,0.75,0.95,0.999])) AS v FROM scores)")
+@query(f"WITH {SCORES} SELECT q, {r('v')} AS v FROM (SELECT unnest([0.01,0.25,0.5,0.75,0.95,0.999]::DOUBLE[]) AS q, unnest(quantile_cont(score, [0.01,0.25,0.5,0.75,0.95,0.999])) AS v FROM scores)")
 def g02_exact_quantiles(spark, sf):
     qs = [0.01, 0.25, 0.5, 0.75, 0.95, 0.999]
     vs = ordered.exact_quantiles(src.scores(spark, sf), "score", qs)

@@ -42,6 +42,9 @@ def ship(spark: SparkSession) -> SparkSession:
                     path = os.path.join(folder, name)
                     z.write(path, os.path.join("undertow", os.path.relpath(path, package)))
     context.addPyFile(archive)
+    # the helper process that sets up stateful streams on the driver reads only this variable
+    known = context.environment.get("PYTHONPATH", "")
+    context.environment["PYTHONPATH"] = archive + (os.pathsep + known if known else "")
     context._undertow_shipped = True
     return spark
 
