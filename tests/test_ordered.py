@@ -66,27 +66,30 @@ def test_scan_of_a_hot_key_equals_one_pass(hot, hot_pdf, partitions):
     assert np.array_equal(out["is_anomaly"].astype(float), want[:, 3])
 
 
-class Memory(ordered.Fold):
-    """A fold that never forgets: parity of all values so far and the first value. Guesses never converge early."""
+def memory_fold():
+    class Memory(ordered.Fold):
+        """A fold that never forgets: parity of all values so far and the first value. Guesses never converge early."""
 
-    width = 3
+        width = 3
 
-    def inputs(self, batch):
-        return (batch.column("flow_id").to_numpy(),)
+        def inputs(self, batch):
+            return (batch.column("flow_id").to_numpy(),)
 
-    def step(self, state, rows):
-        x = rows[0].astype(float)
-        first = np.where(state[:, 2] > 0, state[:, 1], x)
-        parity = (state[:, 0] + x) % 2
-        return np.column_stack([parity, first, np.ones(len(x))]), [parity, first]
+        def step(self, state, rows):
+            x = rows[0].astype(float)
+            first = np.where(state[:, 2] > 0, state[:, 1], x)
+            parity = (state[:, 0] + x) % 2
+            return np.column_stack([parity, first, np.ones(len(x))]), [parity, first]
 
-    def outputs(self, arrays):
-        return [pa.array(a) for a in arrays]
+        def outputs(self, arrays):
+            return [pa.array(a) for a in arrays]
+
+    return Memory()
 
 
 def test_scan_is_exact_for_a_fold_that_never_forgets(hot, hot_pdf):
     fields = [T.StructField("parity", T.DoubleType()), T.StructField("first", T.DoubleType())]
-    out = ordered.carry_scan(hot, Memory(), fields, partitions=24).toPandas().sort_values(["entity_id", "ts", "flow_id"])
+    out = ordered.carry_scan(hot, memory_fold(), fields, partitions=24).toPandas().sort_values(["entity_id", "ts", "flow_id"])
     by = hot_pdf.groupby("entity_id")["flow_id"]
     assert np.array_equal(out["parity"], by.cumsum() % 2)
     assert np.array_equal(out["first"], by.transform("first"))
