@@ -151,8 +151,8 @@ def vector_reader(vec: str) -> Reader:
 class EncodedReader:
     """Encodes inside the scan, so that wide vectors are never shuffled or stored.
 
-    Projection works on blocks of one fixed shape in single precision: a row's result does not depend on
-    the batch it came in, so batch and stream agree bit for bit.
+    Projection works on blocks of one fixed shape in single precision, so a row's result does not depend on
+    the batch it came in.
     """
 
     BLOCK = 256
