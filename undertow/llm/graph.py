@@ -46,6 +46,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return found.select("id", F.col("to").alias("component"))
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `found` after more links, which are followed between components only."""
+    ends = {x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")}
+    coarse = links.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    tops = components(coarse).withColumnRenamed("component", "top")
+    known = found.join(tops.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return known.union(tops.join(found, "id", "left_anti").select("id", F.col("top").alias("component")))
+
+
 def linked_components(
     members: DataFrame,
     near: Callable[[DataFrame], DataFrame],
@@ -56,7 +65,7 @@ def linked_components(
 
     `members` has a row per bucket and member. `near` gets distinct pairs (a, b), a < b, and returns the linked ones.
     Small buckets are paired at once. In a larger bucket all members are compared with a few pivots, which then leave
-    it; each round takes four times as many, and only members that are not yet known to be connected are compared. So
+    it; each round takes sixteen times as many, and only members that are not yet known to be connected are compared. So
     no link between components is lost, a bucket of copies costs its size, and rounds grow with the logarithm.
     """
     members = members.select(F.col(key).alias("key"), F.col(node).alias("node"))
@@ -81,8 +90,9 @@ def linked_components(
         rest = cut_lineage(rest.join(parts, "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count)))
         pivots = rest.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"))
         pairs = rest.join(pivots, "key").filter("component <> pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        links = cut_lineage(links.union(near(pairs).select("a", "b")))
-        found = components(links)
+        links = cut_lineage(near(pairs).select("a", "b"))
+        if not links.isEmpty():
+            found = cut_lineage(joined(found, links))
         rest = rest.filter("NOT pivot").select("key", "node")
-        count *= 4
+        count *= 16
     return found

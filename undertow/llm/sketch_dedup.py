@@ -83,7 +83,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     One hash function; each set keeps its SKETCH smallest values. Documents with equal sets form a class, and classes
     meet in the inverted lists of their LISTS rarest kept values (list lengths counted over all documents), or, where
-    these are long, of two such values. A pair at the threshold shares two of them but for a chance of about
+    these are long, of two such values and a size class. A pair at the threshold shares two of them but for a chance of about
     8 * LISTS * 0.2 ** LISTS, some 1e-5, and surely when its sets are small. The
     sketch of the union estimates the similarity, the full sets of the pairs left confirm it.
 
@@ -104,11 +104,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("size", "key"))), 1, LISTS).alias("best"))
     )
     single = rare.select(F.col("rep").alias("node"), F.explode(F.expr("transform(filter(best, x -> x.size <= %d), x -> x.key)" % PAIRWISE)).alias("key"))
-    # values of long lists open lists of two values each: copies share many, other documents few
+    # values of long lists open lists of two values each, for sets of like size: copies share many, other documents few
     long = F.expr("transform(filter(best, x -> x.size > %d), x -> x.key)" % PAIRWISE)
+    grade = F.floor(F.log("n") / float(np.log(1 / share)) + 1e-9)
     double = (
-        rare.select("rep", F.array_sort(long).alias("v"))
-        .select(F.col("rep").alias("node"), F.explode(F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> xxhash64(x, y))))")).alias("key"))
+        rare.join(classes.select("rep", grade.alias("grade")), "rep")
+        .select("rep", F.explode(F.array(F.col("grade"), F.col("grade") + 1)).alias("grade"), F.array_sort(long).alias("v"))
+        .select(F.col("rep").alias("node"), F.explode(F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> xxhash64(x, y, grade))))")).alias("key"))
     )
     lists = single.union(double)
     reps = classes.select("rep", "n", "sketch")
