@@ -175,7 +175,8 @@ def repeated(docs: DataFrame, w: Windows, resolve: Callable[[pa.Table], tuple[np
     `resolve` gets rows (gram, doc, lo, snip) of whole grams, sorted by (gram, doc, lo), and returns the ranges
     (doc, lo, hi) of the windows among them that occur earlier.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # neither column can be null, so no filter is inferred and both joins read one exchange of the texts
     found = docs.mapInArrow(_scan(w), _FOUND).repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(w), _FOUND)
     asked = found.filter("NOT mark").select(F.col("doc").alias("key"), "gram", "lo", "hi")
     snippet = F.expr("substring(cast(text AS binary), cast(lo + 1 AS int), cast(hi - lo AS int))")

@@ -18,6 +18,9 @@ SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Spaces and ASCII punctuation: what parts words where only letters and digits count.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -84,9 +87,9 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 class Words:
     """Words of a run of texts: start, end (bytes), row and hash, plus bounds: words of row r are bounds[r]:bounds[r + 1]."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, at: np.ndarray, fold: bool = False, breaks: np.ndarray = _SPACE):
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = ~breaks[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[at] = True
         before = np.ones(n, dtype=bool)
