@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undertow.llm.extract import extract
 from undertow.llm.langid import predictions
 from undertow.llm.line_dedup import dedup_lines
 from undertow.llm.mixing import mix, word_count
@@ -77,3 +79,13 @@ def op7_multi_index_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_automaton_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_host_suffix_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
