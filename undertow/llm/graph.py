@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undertow.session import cut_lineage
@@ -58,28 +58,33 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
 def linked_components(
     members: DataFrame,
     near: Callable[[DataFrame], DataFrame],
-    key: str = "key",
-    node: str = "node",
+    likely: Callable[[str, str], Column] | None = None,
+    prepare: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """(id, component) of the links that `near` confirms between members of one bucket; a missing id is on its own.
 
-    `members` has a row per bucket and member. `near` gets distinct pairs (a, b), a < b, and returns the linked ones.
+    `members` has a row (key, node, tag) per bucket and member. Pairs whose tags `likely` (given the names of two tag
+    columns) rules out are left. `prepare` gets the nodes (node) that may be compared, before any is. `near` gets distinct pairs (a, b), a < b, and returns the linked ones.
     Small buckets are paired at once. In a larger bucket all members are compared with a few pivots, which then leave
     it; each round takes sixteen times as many, and only members that are not yet known to be connected are compared. So
     no link between components is lost, a bucket of copies costs its size, and rounds grow with the logarithm.
     """
-    members = members.select(F.col(key).alias("key"), F.col(node).alias("node"))
+    members = members if "tag" in members.columns else members.withColumn("tag", F.lit(0).cast("byte"))
+    fits = likely("tag", "tag_b") if likely else F.lit(True)
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = cut_lineage(members.join(sizes, "key"))
-    small = members.filter(F.col("size") <= PAIRWISE).select("key", F.col("node").alias("a"))
-    pairs = small.join(small.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b").distinct()
+    small = members.filter(F.col("size") <= PAIRWISE).select("key", F.col("node").alias("a"), "tag")
+    pairs = small.join(small.withColumnsRenamed({"a": "b", "tag": "tag_b"}), "key").filter("a < b").filter(fits).select("a", "b").distinct()
+    rest = members.filter(F.col("size") > PAIRWISE).select("key", "node", "tag")
+    if prepare:
+        pairs = cut_lineage(pairs)
+        prepare(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rest.select("node")).distinct())
     links = cut_lineage(near(pairs).select("a", "b"))
     found = components(links)
-    rest = members.filter(F.col("size") > PAIRWISE).select("key", "node")
     count = 1
     while not rest.isEmpty():
-        tag = found.select(F.col("id").alias("node"), "component")
-        rest = rest.join(tag, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = found.select(F.col("id").alias("node"), "component")
+        rest = rest.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = (
             rest.groupBy("key")
             .agg(F.count("*").alias("size"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -88,11 +93,11 @@ def linked_components(
         )
         draw = (F.xxhash64("node", F.lit(count)).bitwiseAND(F.lit((1 << 20) - 1))) / float(1 << 20)
         rest = cut_lineage(rest.join(parts, "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count)))
-        pivots = rest.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"))
-        pairs = rest.join(pivots, "key").filter("component <> pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        pivots = rest.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("tag").alias("tag_b"))
+        pairs = rest.join(pivots, "key").filter("component <> pc").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         links = cut_lineage(near(pairs).select("a", "b"))
         if not links.isEmpty():
             found = cut_lineage(joined(found, links))
-        rest = rest.filter("NOT pivot").select("key", "node")
+        rest = rest.filter("NOT pivot").select("key", "node", "tag")
         count *= 16
     return found

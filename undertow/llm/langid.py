@@ -22,7 +22,7 @@ from undertow.llm.text import Words, slices
 SEGMENT = 24
 #: Documents of each language that are read for training at most, and segments of each.
 TRAIN_DOCS, TRAIN_SEGMENTS = 300, 6000
-HIDDEN, EMBED = 16, 12
+HIDDEN, EMBED = 8, 8
 #: Distinct segments whose outputs a task keeps before it starts anew.
 CACHE = 400_000
 
@@ -43,9 +43,10 @@ class BiGru:
 
     def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, tape: list | None) -> np.ndarray:
         """States (n, t, HIDDEN) of one direction; masked steps keep the state."""
-        p, h = self.p, np.zeros((len(x), HIDDEN))
+        p, kind = self.p, self.p["E"].dtype
+        h = np.zeros((len(x), HIDDEN), kind)
         table = p["E"] @ p[f"W{d}"] + p[f"k{d}"]
-        out = np.zeros((*x.shape, HIDDEN))
+        out = np.zeros((*x.shape, HIDDEN), kind)
         steps = range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1)
         u_gate, u_new = p[f"U{d}"][:, : 2 * HIDDEN], p[f"U{d}"][:, 2 * HIDDEN :]
         for t in steps:
@@ -112,6 +113,12 @@ class BiGru:
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
 
+    def single(self) -> BiGru:
+        """The same network in single precision, for labelling."""
+        out = BiGru(len(self.p["c"]))
+        out.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        return out
+
     def pooled(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Sum over positions of the probabilities of each class, for each segment."""
         prob, _ = self.forward(x, mask)
@@ -123,7 +130,7 @@ def _pad(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     width = max(map(len, parts)) + 1
     x = np.frombuffer(b"".join(p.ljust(width) for p in parts), np.uint8).reshape(len(parts), width)
     length = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    return x, (np.arange(width) < length[:, None]).astype(float)
+    return x, (np.arange(width) < length[:, None]).astype(np.float32)
 
 
 def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +165,7 @@ class Labeller:
                 found.append(self.net.pooled(x, mask))
             for p in new:
                 known[p] = len(known)
-            self.outputs = np.concatenate([self.outputs, *found])
+            self.outputs = np.concatenate([self.outputs, *found]).astype(float)
         return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
 
     def label(self, column: pa.Array) -> Iterator[tuple[str, float]]:
@@ -179,6 +186,18 @@ class Labeller:
                     yield self.languages[int(share.argmax())], float(min(1.0, share.max()))
 
 
+#: The labeller of a worker process, which serves its tasks one after another.
+_kept: dict[bytes, Labeller] = {}
+
+
+def _labeller(net: BiGru, languages: list[str]) -> Labeller:
+    key = b"".join(net.p[k].tobytes() for k in sorted(net.p))
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Labeller(net, languages)
+    return _kept[key]
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
@@ -221,12 +240,13 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     given. Without any labelled row every text with letters is `und` as well. Empty in, empty out.
     """
     net, languages = fit(learn_from if learn_from is not None else docs)
+    net = net.single()
     docs = docs.drop("lang_pred", "score")
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches):
-        labeller = Labeller(net, languages)
+        labeller = _labeller(net, languages)
         for batch in batches:
             found = list(labeller.label(batch.column(at)))
             names, scores = zip(*found) if found else ([], [])

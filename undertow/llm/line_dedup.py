@@ -9,59 +9,77 @@ from undertow.llm.graph import linked_components
 from undertow.llm.spans import NO_ID
 from undertow.session import broadcast_if_small, cut_lineage
 
-#: Characters of a shingle; rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.998.
-SHINGLE, ROWS, BANDS = 8, 2, 6
+#: Characters of a shingle; hashes, rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.998.
+SHINGLE, HASHES, ROWS, BANDS = 8, 16, 2, 6
+#: A candidate agrees in so many of the hashes, as far as four bits of each tell: at 0.8 with chance 0.999.
+AGREE = 8
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(key, pos, words, node) of every line that is not blank; node is the digest of its folded words."""
-    folded = F.trim(F.regexp_replace(F.lower("line"), r"[\x20\x09-\x0D]+", " "))
+    """(key, pos, words, node) of every line that is not blank; node is a 64-bit digest of its folded words."""
+    words = F.array_remove(F.split(F.lower("line"), " "), "")
+    plain = F.translate("text", "\t\u000b\f\r", "    ")
     return (
-        docs.select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("key", "pos", folded.alias("line"))
-        .filter("line <> ''")
-        .select("key", "pos", F.split("line", " ").alias("words"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("node"))
+        docs.select("key", F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
+        .select("key", "pos", words.alias("words"))
+        .filter(F.size("words") > 0)
+        .select("key", "pos", "words", F.xxhash64("words").alias("node"))
     )
 
 
 def _shingle(words: Column, i: Column, word: Column) -> Column:
     """The characters from a word's start on; a longer word counts as a whole."""
-    run = F.concat_ws(" ", word, F.get(words, i + 1), F.get(words, i + 2), F.get(words, i + 3))
+    run = F.concat_ws(" ", word, F.get(words, i + 1), F.get(words, i + 2))
     return F.when(F.length(word) >= SHINGLE, word).otherwise(F.substring(run, 1, SHINGLE))
 
 
 def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(key, drop): the numbers of the lines, from 0, that each document loses."""
     lines = _lines(docs)
-    shingles = lines.select("key", "pos", "node", "words", F.posexplode("words").alias("i", "word"))
-    shingles = shingles.select("key", "pos", "node", F.xxhash64(_shingle(F.col("words"), F.col("i"), F.col("word"))).alias("h"))
-    signature = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
-    # one pass: partial minima per line on the map side, merged over equal lines
-    distinct = cut_lineage(shingles.groupBy("node").agg(F.min(F.struct("key", "pos")).alias("first"), *signature))
+    shingles = lines.select("key", "node", "words", F.posexplode("words").alias("i", "word"))
+    shingles = shingles.select("key", "node", F.xxhash64(_shingle(F.col("words"), F.col("i"), F.col("word"))).alias("h"))
+    signature = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(HASHES)]
+    # one pass: partial minima per line on the map side, merged over equal lines; all buffers are numbers, so they are hashed
+    distinct = shingles.groupBy("node").agg(F.min("key").alias("first"), *signature)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    members = distinct.select("node", F.explode(bands).alias("key"))
+    bits = F.lit(0).cast("long")
+    for k in range(HASHES):
+        bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{k}").cast("long").bitwiseAND(F.lit(15)), 4 * k))
+    distinct = cut_lineage(distinct.select("node", "first", bands.alias("bands"), bits.alias("tag")))
+    members = distinct.select("node", "tag", F.explode("bands").alias("key"))
 
-    def near(pairs: DataFrame) -> DataFrame:
-        pairs = cut_lineage(pairs)
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        some = lines.join(broadcast_if_small(ids), "node").groupBy("node").agg(F.first("words").alias("words"))
+    def likely(x: str, y: str) -> Column:
+        apart = F.col(x).bitwiseXOR(F.col(y))
+        for step in (1, 2):
+            apart = apart.bitwiseOR(F.shiftrightunsigned(apart, step))
+        return F.bit_count(apart.bitwiseAND(F.lit(0x1111111111111111))) <= HASHES - AGREE
+
+    sets: dict[str, DataFrame] = {}
+
+    def prepare(nodes: DataFrame) -> None:
+        some = lines.join(broadcast_if_small(nodes), "node").groupBy("node").agg(F.first("words").alias("words"))
         each = F.transform("words", lambda w, i: F.xxhash64(_shingle(F.col("words"), i, w)))
-        sets = cut_lineage(some.select("node", F.array_distinct(each).alias("items")))
+        sets["a"] = cut_lineage(some.select("node", F.array_distinct(each).alias("items")))
+
+    def near(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("ia", "ib"))
         return (
-            pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+            pairs.join(sets["a"].select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+            .join(sets["a"].select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
             .withColumn("both", both)
             .filter(100 * F.col("both") >= percent * (F.size("ia") + F.size("ib") - F.col("both")))
         )
 
-    found = linked_components(members, near)
+    found = linked_components(members, near, likely, prepare)
     named = distinct.select("node", "first").join(found.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("node", "first", F.coalesce("component", "node").alias("component"))
     keeper = named.groupBy("component").agg(F.min("first").alias("keep"))
-    keep = named.join(keeper, "component").select("node", "keep")
-    places = lines.select("key", "pos", "node").join(keep, "node").filter("NOT (key = keep.key AND pos = keep.pos)")
-    return places.groupBy("key").agg(F.collect_set("pos").alias("drop"))
+    keep = named.join(keeper, "component").select("node", "component", "keep")
+    places = lines.select("key", "pos", "node").join(keep, "node").select("key", "pos", "component", "keep")
+    # of the first document's lines the first one stays
+    kept = places.filter("key = keep").groupBy("component").agg(F.min("pos").alias("at"))
+    drop = places.join(kept, "component").filter("NOT (key = keep AND pos = at)")
+    return drop.groupBy("key").agg(F.collect_set("pos").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
