@@ -13,7 +13,7 @@ from undertow.llm.tiling import contamination
 from undertow.session import shared_dir
 
 #: A document stays if the network names a language and gives it this share of its positions.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

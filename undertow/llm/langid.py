@@ -2,7 +2,7 @@
 
 The network reads a segment of bytes from both ends, labels every position from both states, and a document's
 probabilities pool those of all its positions. Segments are the words of the text, closed by a space and cut at SEGMENT
-bytes, each read from a fresh state; equal segments have equal outputs, so a task computes each distinct one once and
+bytes, A-Z folded, each read from a fresh state; equal segments have equal outputs, so a task computes each distinct one once and
 counts it as often as it occurs. Every byte of every text takes part.
 """
 
@@ -133,6 +133,11 @@ def _pad(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, (np.arange(width) < length[:, None]).astype(np.float32)
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z: the case of a text says nothing about its language."""
+    return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
+
+
 def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of the segments of a run of texts: its words, long ones cut."""
     words = Words(data, at)
@@ -172,9 +177,10 @@ class Labeller:
         for a, b, data, at in slices(column):
             raw = data.tobytes()
             row, start, end = segments(data, at)
+            low = folded(data).tobytes()
             total = np.zeros((b - a, len(self.languages)))
             if len(row):
-                spot = self._look([raw[x:y] for x, y in zip(start.tolist(), end.tolist())])
+                spot = self._look([low[x:y] for x, y in zip(start.tolist(), end.tolist())])
                 for k in range(total.shape[1]):
                     total[:, k] = np.bincount(row, self.outputs[spot, k], b - a)
             for r in range(b - a):
@@ -218,7 +224,7 @@ def fit(docs: DataFrame, seed: int = 5) -> tuple[BiGru, list[str]]:
         parts: list[bytes] = []
         for r in rows:
             if r["lang"] == lang and len(parts) < TRAIN_SEGMENTS:
-                raw = np.frombuffer(r["text"].encode(), np.uint8)
+                raw = folded(np.frombuffer(r["text"].encode(), np.uint8))
                 _, start, end = segments(raw, np.array([0, len(raw)]))
                 some = np.unique(np.linspace(0, len(start) - 1, 100).astype(int)) if len(start) else []
                 parts += [raw[start[i] : end[i]].tobytes() for i in some]
