@@ -13,17 +13,23 @@ from undertow.session import broadcast_if_small, cut_lineage
 SHINGLE, HASHES, ROWS, BANDS = 8, 16, 2, 6
 #: A candidate agrees in so many of the hashes, as far as four bits of each tell: at 0.8 with chance 0.999.
 AGREE = 8
+#: Digests of candidate lines, 8 bytes each, that are broadcast at most.
+IDS = 1_000_000
+
+
+def _words(line: str) -> Column:
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(key, pos, words, node) of every line that is not blank; node is a 64-bit digest of its folded words."""
-    words = F.array_remove(F.split(F.lower("line"), " "), "")
+    """(key, pos, line, words, node) of every line that is not blank; node is a 64-bit digest of its folded words."""
+    words = _words("line")
     plain = F.translate("text", "\t\u000b\f\r", "    ")
     return (
         docs.select("key", F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
-        .select("key", "pos", words.alias("words"))
+        .select("key", "pos", "line", words.alias("words"))
         .filter(F.size("words") > 0)
-        .select("key", "pos", "words", F.xxhash64("words").alias("node"))
+        .select("key", "pos", "line", "words", F.xxhash64("words").alias("node"))
     )
 
 
@@ -57,7 +63,8 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets: dict[str, DataFrame] = {}
 
     def prepare(nodes: DataFrame) -> None:
-        some = lines.join(broadcast_if_small(nodes), "node").groupBy("node").agg(F.first("words").alias("words"))
+        # only digests are sent round, up to IDS of them; beyond it lines meet them in a shuffle, as text
+        some = lines.select("node", "line").join(broadcast_if_small(nodes, IDS), "node").dropDuplicates(["node"]).select("node", _words("line").alias("words"))
         each = F.transform("words", lambda w, i: F.xxhash64(_shingle(F.col("words"), i, w)))
         sets["a"] = cut_lineage(some.select("node", F.array_distinct(each).alias("items")))
 
