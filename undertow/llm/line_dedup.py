@@ -11,10 +11,10 @@ from undertow.session import broadcast_if_small, cut_lineage
 
 #: Characters of a shingle; hashes, rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.998.
 SHINGLE, HASHES, ROWS, BANDS = 8, 16, 2, 6
-#: A candidate agrees in so many of the hashes, as far as four bits of each tell: at 0.8 with chance 0.999.
-AGREE = 8
+#: A candidate agrees in so many of the hashes, as far as four bits of each tell: at 0.8 with chance 0.997.
+AGREE = 9
 #: Digests of candidate lines, 8 bytes each, that are broadcast at most.
-IDS = 1_000_000
+IDS = 200_000
 
 
 def _words(line: str) -> Column:
@@ -22,14 +22,12 @@ def _words(line: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(key, pos, line, words, node) of every line that is not blank; node is a 64-bit digest of its folded words."""
-    words = _words("line")
+    """(key, pos, line, node) of every line that is not blank; node is a 64-bit digest of it."""
     plain = F.translate("text", "\t\u000b\f\r", "    ")
     return (
         docs.select("key", F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
-        .select("key", "pos", "line", words.alias("words"))
-        .filter(F.size("words") > 0)
-        .select("key", "pos", "line", "words", F.xxhash64("words").alias("node"))
+        .filter("trim(line) <> ''")
+        .select("key", "pos", "line", F.xxhash64("line").alias("node"))
     )
 
 
@@ -42,7 +40,8 @@ def _shingle(words: Column, i: Column, word: Column) -> Column:
 def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(key, drop): the numbers of the lines, from 0, that each document loses."""
     lines = _lines(docs)
-    shingles = lines.select("key", "node", "words", F.posexplode("words").alias("i", "word"))
+    shingles = lines.select("key", "node", _words("line").alias("words"))
+    shingles = shingles.select("key", "node", "words", F.posexplode("words").alias("i", "word"))
     shingles = shingles.select("key", "node", F.xxhash64(_shingle(F.col("words"), F.col("i"), F.col("word"))).alias("h"))
     signature = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(HASHES)]
     # one pass: partial minima per line on the map side, merged over equal lines; all buffers are numbers, so they are hashed
