@@ -1,4 +1,8 @@
-"""Distributed union-find over a table of links, and links within buckets of any size without all their pairs."""
+"""Distributed union-find over a table of links, and links within buckets of any size without all their pairs.
+
+Joins are asked to be sort-merge joins: adaptive execution splits their skewed sides, and the many small steps build no
+relation on the driver.
+"""
 
 from __future__ import annotations
 
@@ -30,29 +34,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = cut_lineage(best.select("id", F.least(F.col("n"), F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("to")))["to"].alias("to")))
         for _ in range(2):
             again = up.select(F.col("id").alias("to"), F.col("to").alias("top"))
-            up = up.join(again, "to").select("id", F.col("top").alias("to"))
+            up = up.join(again.hint("merge"), "to").select("id", F.col("top").alias("to"))
         up = cut_lineage(up)
         low, high = up.select(F.col("id").alias("lo"), F.col("to").alias("l")), up.select(F.col("id").alias("hi"), F.col("to").alias("h"))
         edges = cut_lineage(
-            edges.join(low, "lo").join(high, "hi").select(F.least("l", "h").alias("lo"), F.greatest("l", "h").alias("hi")).filter("lo < hi").distinct()
+            edges.join(low.hint("merge"), "lo").join(high.hint("merge"), "hi").select(F.least("l", "h").alias("lo"), F.greatest("l", "h").alias("hi")).filter("lo < hi").distinct()
         )
         if found is None:
             found = up
         else:
             step = up.select(F.col("id").alias("to"), F.col("to").alias("top"))
-            found = cut_lineage(found.join(step, "to", "left").select("id", F.coalesce("top", "to").alias("to")))
+            found = cut_lineage(found.join(step.hint("merge"), "to", "left").select("id", F.coalesce("top", "to").alias("to")))
     if found is None:
         return edges.select(F.col("lo").alias("id"), F.col("hi").alias("component"))
     least = found.groupBy("to").agg(F.min("id").alias("component"))
-    return cut_lineage(found.join(least, "to").select("id", "component"))
+    return cut_lineage(found.join(least.hint("merge"), "to").select("id", "component"))
 
 
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """The components `found` after more links, which are followed between components only."""
     ends = {x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")}
-    coarse = links.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    coarse = links.join(ends["a"].hint("merge"), "a", "left").join(ends["b"].hint("merge"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
     tops = components(coarse).withColumnRenamed("component", "top")
-    known = found.join(tops.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    known = found.join(tops.withColumnRenamed("id", "component").hint("merge"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     return known.union(tops.join(found, "id", "left_anti").select("id", F.col("top").alias("component")))
 
 
@@ -67,7 +71,7 @@ def linked_components(
     `members` has a row (key, node, tag) per bucket and member. Pairs whose tags `likely` (given the names of two tag
     columns) rules out are left. `prepare` gets the nodes (node) that may be compared, before any is. `near` gets distinct pairs (a, b), a < b, and returns the linked ones.
     Small buckets are paired at once. In a larger bucket all members are compared with a few pivots, which then leave
-    it; each round takes sixteen times as many, and only members that are not yet known to be connected are compared. So
+    it; each round takes 64 times as many, and only members that are not yet known to be connected are compared. So
     no link between components is lost, a bucket of copies costs its size, and rounds grow with the logarithm.
     """
     members = members if "tag" in members.columns else members.withColumn("tag", F.lit(0).cast("byte"))
@@ -85,7 +89,7 @@ def linked_components(
     count = 1
     while not rest.isEmpty():
         known = found.select(F.col("id").alias("node"), "component")
-        rest = rest.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = rest.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = (
             rest.groupBy("key")
             .agg(F.count("*").alias("size"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -93,12 +97,12 @@ def linked_components(
             .drop("low", "high")
         )
         draw = (F.xxhash64("node", F.lit(count)).bitwiseAND(F.lit((1 << 20) - 1))) / float(1 << 20)
-        rest = cut_lineage(rest.join(parts, "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count)))
+        rest = cut_lineage(rest.join(parts.hint("merge"), "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count)))
         pivots = rest.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("tag").alias("tag_b"))
-        pairs = rest.join(pivots, "key").filter("component <> pc").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        pairs = rest.join(pivots.hint("merge"), "key").filter("component <> pc").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         links = cut_lineage(near(pairs).select("a", "b"))
         if not links.isEmpty():
             found = cut_lineage(joined(found, links))
         rest = rest.filter("NOT pivot").select("key", "node", "tag")
-        count *= 16
+        count *= 64
     return found

@@ -70,8 +70,8 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     def near(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("ia", "ib"))
         return (
-            pairs.join(sets["a"].select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
-            .join(sets["a"].select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+            pairs.join(sets["a"].select(F.col("node").alias("a"), F.col("items").alias("ia")).hint("merge"), "a")
+            .join(sets["a"].select(F.col("node").alias("b"), F.col("items").alias("ib")).hint("merge"), "b")
             .withColumn("both", both)
             .filter(100 * F.col("both") >= percent * (F.size("ia") + F.size("ib") - F.col("both")))
         )
