@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from undertow.operators import ordered
 
-QUANTILE_LIMIT = 50_000
 
 
 def ratio(a: Column, b: Column) -> Column:

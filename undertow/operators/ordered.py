@@ -27,7 +27,6 @@ from undertow.session import cut_lineage
 
 ROWS_PER_SLICE = 2_000_000
 FOLD_ROWS = 32_768  # rows folded side by side; more rows hold more keys, so steps are wider
-MAX_SLICES = 10_000
 
 
 # --------------------------------------------------------------------------- global order
@@ -106,12 +105,14 @@ def row_numbers(df: DataFrame, order: list[Column | str], name: str = "row_num")
 
 def _with_slices(df: DataFrame, by: str, rows_per_slice: int) -> tuple[DataFrame, int]:
     """Add _slice, the time slice a row falls in; slices hold about rows_per_slice rows over all keys."""
-    slices = min(max(1, math.ceil(df.count() / rows_per_slice)), MAX_SLICES)
+    slices = max(1, math.ceil(df.count() / rows_per_slice))
     if slices == 1:
         return df.withColumn("_slice", F.lit(0.0)), 1
-    numeric = F.col(by).cast("double")
+    # null orders before, NaN after every number, as in the window
+    number = F.col(by).cast("double")
+    numeric = F.when(number.isNull(), float("-inf")).when(F.isnan(number), float("inf")).otherwise(number)
     edges = df.agg(F.percentile_approx(numeric, [i / slices for i in range(1, slices)], 10 * slices)).first()[0]
-    bounds = [float("-inf"), *sorted(set(edges)), float("inf")]
+    bounds = [float("-inf"), *sorted({e for e in edges if math.isfinite(e)}), float("inf")]
     cut = Bucketizer(splits=bounds, inputCol="_by", outputCol="_slice")
     return cut.transform(df.withColumn("_by", numeric)).drop("_by"), slices
 
@@ -154,7 +155,7 @@ def sliced_order(
         *[F.max_by(F.struct(F.col(src).alias("v")), last).alias(f"_last_{out}") for out, src in lags.items()],
         *[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums],
     )
-    # one row per (key, slice): at most MAX_SLICES rows per key
+    # one row per (key, slice)
     across = Window.partitionBy(*keys).orderBy("_slice")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carry = table.select(
@@ -164,13 +165,18 @@ def sliced_order(
         *[F.lag(f"_last_{out}").over(across)["v"].alias(f"_prev_{out}") for out in lags],
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
     )
-    joined = local.join(carry, [*keys, "_slice"])
+    # keys may be null
+    carry = carry.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumnRenamed("_slice", "_at")
+    same = F.col("_slice") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = local.join(carry, same)
     fixed = {out: F.when(F.col("_rn") == 1, F.col(f"_prev_{out}")).otherwise(F.col(out)) for out in lags}
     if row_number:
         fixed[row_number] = F.col("_rn") + F.col("_base")
     for n in sums:
         fixed[n] = F.col(n) + F.col(f"_off_{n}")
-    extra = ["_slice", "_rn", "_base", *[f"_prev_{o}" for o in lags], *[f"_off_{n}" for n in sums], *[f"_s_{n}" for n in sums]]
+    extra = ["_slice", "_at", *[f"_k_{k}" for k in keys], "_rn", "_base", *[f"_prev_{o}" for o in lags], *[f"_off_{n}" for n in sums], *[f"_s_{n}" for n in sums]]
     return joined.withColumns(fixed).drop(*extra)
 
 

@@ -130,16 +130,13 @@ def with_dt(df: DataFrame, rows_per_slice: int = ordered.ROWS_PER_SLICE) -> Data
 
 def cut_points(n: int, train: float, val: float) -> tuple[int, int]:
     """How many of n shuffled entities go to train, and to train plus val. Both of val and test get one."""
-    if n == 0:
-        return 0, 0
     if n <= 2:
-        return 1, n
-    train_cut = int(train * n)
-    val_cut = train_cut + max(int(val * n), 1)
-    if val_cut >= n:
-        val_cut = n - 1
-        train_cut = min(train_cut, val_cut - 1)
-    return train_cut, val_cut
+        return min(n, 1), n
+    # validation first, then at least one for the test part; training gets what both leave of its share
+    middle = max(1, int(val * n))
+    head = int(train * n)
+    end = min(head + middle, n - 1)
+    return (head if head + middle < n else min(head, end - 1)), end
 
 
 def split_map(

@@ -151,11 +151,11 @@ def vector_reader(vec: str) -> Reader:
 class EncodedReader:
     """Encodes inside the scan, so that wide vectors are never shuffled or stored.
 
-    Projection works on blocks of one fixed shape in single precision, so a row's result does not depend on
-    the batch it came in.
+    Weights are rounded to multiples of 2 ** -30 once. The inputs are 0 and 1, so in double precision every sum of such
+    weights is exact, in any order of addition: a row's result does not depend on the batch it came in.
     """
 
-    BLOCK = 256
+    BLOCK, GRAIN = 256, float(1 << 30)
 
     def __init__(self, model, kind: str = "record"):
         self.model, self.kind, self.kernel, self.weights = model.light(), kind, None, None
@@ -174,9 +174,10 @@ class EncodedReader:
         width = self.model.width
         bits = self._kernel().packed(batch)
         if self.weights is None:
-            self.weights = (-2.0 * wx).astype(np.float32), wx.sum(0) + bias
+            exact = np.round(np.asarray(wx, np.float64) * self.GRAIN) / self.GRAIN
+            self.weights = -2.0 * exact, exact.sum(0) + bias
         minus_two_w, base = self.weights
-        block = np.zeros((self.BLOCK, width), dtype=np.float32)
+        block = np.zeros((self.BLOCK, width), dtype=np.float64)
         out = np.empty((len(bits), wx.shape[1]))
         for at in range(0, len(bits), self.BLOCK):
             part = bits[at : at + self.BLOCK]
@@ -300,10 +301,12 @@ def encode_and_scan(df: DataFrame, model, cell: CfCCell, kind: str = "record", k
 
 
 def encoding_tasks(df: DataFrame, rows_per_task: int = 8_192) -> int:
-    """Tasks for work that costs far more per row than its bytes suggest."""
+    """Tasks for work that costs far more per row than its bytes suggest: as many as the cluster runs at once, more for
+    inputs that would give each of them over 32 times rows_per_task."""
     spark = df.sparkSession
-    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(1, min(most, df.count() // rows_per_task))
+    usual = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.count()
+    return max(1, min(usual, rows // rows_per_task), rows // (32 * rows_per_task))
 
 
 def decay_state(df: DataFrame, value: str, rate: float, out: str = "decayed", **kw) -> DataFrame:

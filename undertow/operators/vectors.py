@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """An Arrow list column of equal lengths as a float64 matrix."""
+    """An Arrow list column of equal lengths as a float64 matrix; null lists are refused, for flattening skips them."""
+    if column.null_count:
+        raise ValueError("null vectors cannot be stacked; filter or fill them first")
+    if not len(column):
+        return np.zeros((0, 0))
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 

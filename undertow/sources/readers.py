@@ -156,12 +156,16 @@ def first_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def list_datasets(spark: SparkSession, folder: str, min_bytes: int = 1_000_000) -> DataFrame:
-    """(path, bytes) of usable CSV files: no name tables, no bracketed duplicates, no tiny dataset*."""
+def list_datasets(spark: SparkSession, folder: str, min_bytes: int = 1_048_576) -> DataFrame:
+    """(path, bytes) of usable CSV files: no name tables, no bracketed duplicates, no dataset* under min_bytes (0: any).
+
+    Any part of the path below `folder` counts, since a name table may itself be a folder of part files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
+    inner = F.element_at(F.split("path", F.lit(f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/")), -1)
     return files.select("path", F.col("length").alias("bytes")).filter(
-        ~name.contains("_Names") & ~name.contains("_Feature_Names") & ~name.contains("(")
+        ~inner.contains("_Names") & ~inner.contains("_Feature_Names") & ~inner.contains("(")
         & ~(name.startswith("dataset") & (F.col("bytes") < min_bytes))
     )
 
