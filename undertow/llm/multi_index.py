@@ -186,6 +186,9 @@ def _cell_links(part: DataFrame, books, half: int, reach: float, cosine: float)
                         continue
                     v += c
                     low = _local(rep[v], ids[m])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[rep[v], ids[m]]), pa.array(np.r_[many[m], copies[v]]), pa.array(np.r_[low, low])], ["id", "links", "low"])
+                    # a row for each vector, not for each link
+                    who, first, place = np.unique(np.r_[rep[v], ids[m]], return_index=True, return_inverse=True)
+                    links = np.bincount(place, np.r_[many[m], copies[v]]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(links), pa.array(np.r_[low, low][first])], ["id", "links", "low"])
 
     return rows.mapInArrow(compare, "id long, links long, low long").groupBy("id", "low").agg(F.sum("links").alias("links"))
