@@ -20,7 +20,7 @@ PAIRWISE = 32
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has a link to another.
 
-    Each round every vertex follows its neighbour of the smallest hash, if that is smaller than its own, for four steps;
+    Each round every vertex follows its neighbour of the smallest hash, if that is smaller than its own, for two steps;
     the links move along, and a link between two vertices survives as one between their images. Hashes are a random
     order, so steps to a local minimum are few even on a path of rising ids, and vertices at least halve. Empty links
     give an empty result; null ends and self-links are ignored; repeated links count once.
@@ -31,11 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         ends = edges.select(F.col("hi").alias("id"), F.col("lo").alias("to")).union(edges.select(F.col("lo").alias("id"), F.col("hi").alias("to")))
         best = ends.groupBy("id").agg(F.min(F.struct(F.xxhash64("to").alias("h"), F.col("to"))).alias("n"))
-        up = cut_lineage(best.select("id", F.least(F.col("n"), F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("to")))["to"].alias("to")))
-        for _ in range(2):
-            again = up.select(F.col("id").alias("to"), F.col("to").alias("top"))
-            up = up.join(again.hint("merge"), "to").select("id", F.col("top").alias("to"))
-        up = cut_lineage(up)
+        up = best.select("id", F.least(F.col("n"), F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("to")))["to"].alias("to"))
+        again = up.select(F.col("id").alias("to"), F.col("to").alias("top"))
+        up = cut_lineage(up.join(again.hint("merge"), "to").select("id", F.col("top").alias("to")))
         low, high = up.select(F.col("id").alias("lo"), F.col("to").alias("l")), up.select(F.col("id").alias("hi"), F.col("to").alias("h"))
         edges = cut_lineage(
             edges.join(low.hint("merge"), "lo").join(high.hint("merge"), "hi").select(F.least("l", "h").alias("lo"), F.greatest("l", "h").alias("hi")).filter("lo < hi").distinct()
@@ -48,7 +46,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if found is None:
         return edges.select(F.col("lo").alias("id"), F.col("hi").alias("component"))
     least = found.groupBy("to").agg(F.min("id").alias("component"))
-    return cut_lineage(found.join(least.hint("merge"), "to").select("id", "component"))
+    return found.join(least.hint("merge"), "to").select("id", "component")
 
 
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:
