@@ -11,49 +11,50 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.session import cut_lineage
+from undertow.llm.tables import Tables
 
 #: Up to this many members a bucket is compared pairwise at once; larger ones against one pivot a round.
 PAIRWISE = 32
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", tables: Tables | None = None) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has a link to another.
 
     Each round every vertex follows its neighbour of the smallest hash, if that is smaller than its own, for two steps;
     the links move along, and a link between two vertices survives as one between their images. Hashes are a random
     order, so steps to a local minimum are few even on a path of rising ids, and vertices at least halve. Empty links
-    give an empty result; null ends and self-links are ignored; repeated links count once.
+    give an empty result; null ends and self-links are ignored; repeated links count once. The result reads the tables
+    edges, up and tops of `tables`, so it must be written before they are made anew.
     """
+    tables = tables or Tables(links.sparkSession)
     edges = links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), (F.col(a) != F.col(b)).alias("two"))
-    edges = cut_lineage(edges.filter("two").select("lo", "hi").distinct())
+    edges = tables.write(edges.filter("two").select("lo", "hi").distinct(), "edges")
     found: DataFrame | None = None
     while not edges.isEmpty():
         ends = edges.select(F.col("hi").alias("id"), F.col("lo").alias("to")).union(edges.select(F.col("lo").alias("id"), F.col("hi").alias("to")))
         best = ends.groupBy("id").agg(F.min(F.struct(F.xxhash64("to").alias("h"), F.col("to"))).alias("n"))
         up = best.select("id", F.least(F.col("n"), F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("to")))["to"].alias("to"))
         again = up.select(F.col("id").alias("to"), F.col("to").alias("top"))
-        up = cut_lineage(up.join(again.hint("merge"), "to").select("id", F.col("top").alias("to")))
+        up = tables.write(up.join(again.hint("merge"), "to").select("id", F.col("top").alias("to")), "up")
         low, high = up.select(F.col("id").alias("lo"), F.col("to").alias("l")), up.select(F.col("id").alias("hi"), F.col("to").alias("h"))
-        edges = cut_lineage(
-            edges.join(low.hint("merge"), "lo").join(high.hint("merge"), "hi").select(F.least("l", "h").alias("lo"), F.greatest("l", "h").alias("hi")).filter("lo < hi").distinct()
-        )
+        moved = edges.join(low.hint("merge"), "lo").join(high.hint("merge"), "hi").select(F.least("l", "h").alias("lo"), F.greatest("l", "h").alias("hi"))
+        edges = tables.write(moved.filter("lo < hi").distinct(), "edges")
         if found is None:
-            found = up
+            found = tables.write(up, "tops")
         else:
             step = up.select(F.col("id").alias("to"), F.col("to").alias("top"))
-            found = cut_lineage(found.join(step.hint("merge"), "to", "left").select("id", F.coalesce("top", "to").alias("to")))
+            found = tables.write(found.join(step.hint("merge"), "to", "left").select("id", F.coalesce("top", "to").alias("to")), "tops")
     if found is None:
         return edges.select(F.col("lo").alias("id"), F.col("hi").alias("component"))
     least = found.groupBy("to").agg(F.min("id").alias("component"))
     return found.join(least.hint("merge"), "to").select("id", "component")
 
 
-def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+def joined(found: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
     """The components `found` after more links, which are followed between components only."""
     ends = {x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")}
     coarse = links.join(ends["a"].hint("merge"), "a", "left").join(ends["b"].hint("merge"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    tops = components(coarse).withColumnRenamed("component", "top")
+    tops = components(coarse, tables=tables).withColumnRenamed("component", "top")
     known = found.join(tops.withColumnRenamed("id", "component").hint("merge"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     return known.union(tops.join(found, "id", "left_anti").select("id", F.col("top").alias("component")))
 
@@ -67,27 +68,38 @@ def linked_components(
     """(id, component) of the links that `near` confirms between members of one bucket; a missing id is on its own.
 
     `members` has a row (key, node, tag) per bucket and member. Pairs whose tags `likely` (given the names of two tag
-    columns) rules out are left. `prepare` gets the nodes (node) that may be compared, before any is. `near` gets distinct pairs (a, b), a < b, and returns the linked ones.
-    Small buckets are paired at once. In a larger bucket all members are compared with a few pivots, which then leave
-    it; each round takes 64 times as many, and only members that are not yet known to be connected are compared. So
-    no link between components is lost, a bucket of copies costs its size, and rounds grow with the logarithm.
+    columns) rules out are left. `prepare` gets the nodes (node) that may be compared, before any is. `near` gets distinct
+    pairs (a, b), a < b, and returns the linked ones.
+    First each node is compared with one other, the smallest it may be paired with in any bucket, which joins most of a
+    group of copies at the cost of its size. After that only members that are not yet known to be connected are compared:
+    small buckets at once, a larger bucket with a few pivots, which then leave it; each round takes 64 times as many. So
+    no link between components is lost, and rounds grow with the logarithm of a bucket.
     """
+    tables = Tables(members.sparkSession)
     members = members if "tag" in members.columns else members.withColumn("tag", F.lit(0).cast("byte"))
     fits = likely("tag", "tag_b") if likely else F.lit(True)
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = cut_lineage(members.join(sizes, "key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "tag")).alias("first")).filter("size > 1")
+    members = tables.write(members.join(sizes.hint("merge"), "key").select("*", F.col("first.node").alias("p"), F.col("first.tag").alias("tag_b")).drop("first"), "members")
     small = members.filter(F.col("size") <= PAIRWISE).select("key", F.col("node").alias("a"), "tag")
-    pairs = small.join(small.withColumnsRenamed({"a": "b", "tag": "tag_b"}), "key").filter("a < b").filter(fits).select("a", "b").distinct()
-    rest = members.filter(F.col("size") > PAIRWISE).select("key", "node", "tag")
+    pairs = small.join(small.withColumnsRenamed({"a": "b", "tag": "tag_b"}).hint("merge"), "key").filter("a < b").filter(fits).select("a", "b").distinct()
+    pairs = tables.write(pairs, "pairs")
+    large = members.filter(F.col("size") > PAIRWISE)
     if prepare:
-        pairs = cut_lineage(pairs)
-        prepare(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rest.select("node")).distinct())
-    links = cut_lineage(near(pairs).select("a", "b"))
-    found = components(links)
+        prepare(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct())
+    ahead = pairs.union(large.filter("p < node").filter(fits).select("p", "node")).groupBy("b").agg(F.min("a").alias("a"))
+    links = tables.write(near(ahead.select("a", "b")).select("a", "b"), "links")
+    found = tables.write(components(links, tables=tables), "found")
+    ends = {x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")).hint("merge") for x in ("a", "b")}
+    apart = pairs.join(ends["a"], "a", "left").join(ends["b"], "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    links = tables.write(near(apart).select("a", "b"), "links")
+    if not links.isEmpty():
+        found = tables.write(joined(found, links, tables), "found")
+    tables.drop("pairs")
+    rest = large.select("key", "node", "tag")
     count = 1
     while not rest.isEmpty():
         known = found.select(F.col("id").alias("node"), "component")
-        rest = rest.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = tables.write(rest.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
         parts = (
             rest.groupBy("key")
             .agg(F.count("*").alias("size"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -95,12 +107,13 @@ def linked_components(
             .drop("low", "high")
         )
         draw = (F.xxhash64("node", F.lit(count)).bitwiseAND(F.lit((1 << 20) - 1))) / float(1 << 20)
-        rest = cut_lineage(rest.join(parts.hint("merge"), "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count)))
+        rest = tables.write(rest.join(parts.hint("merge"), "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count)), "rest")
         pivots = rest.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("tag").alias("tag_b"))
         pairs = rest.join(pivots.hint("merge"), "key").filter("component <> pc").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        links = cut_lineage(near(pairs).select("a", "b"))
+        links = tables.write(near(pairs).select("a", "b"), "links")
         if not links.isEmpty():
-            found = cut_lineage(joined(found, links))
+            found = tables.write(joined(found, links, tables), "found")
         rest = rest.filter("NOT pivot").select("key", "node", "tag")
         count *= 64
+    tables.drop("members", "named", "rest", "links", "edges", "up", "tops")
     return found

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from undertow.llm.graph import linked_components
 from undertow.llm.spans import NO_ID
-from undertow.session import broadcast_if_small, cut_lineage
+from undertow.llm.tables import Tables
+from undertow.session import broadcast_if_small
 
 #: Characters of a shingle; hashes, rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.998.
 SHINGLE, HASHES, ROWS, BANDS = 8, 16, 2, 6
@@ -39,6 +40,7 @@ def _shingle(words: Column, i: Column, word: Column) -> Column:
 
 def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(key, drop): the numbers of the lines, from 0, that each document loses."""
+    tables = Tables(docs.sparkSession)
     lines = _lines(docs)
     shingles = lines.select("key", "node", _words("line").alias("words"))
     shingles = shingles.select("key", "node", "words", F.posexplode("words").alias("i", "word"))
@@ -50,7 +52,7 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     bits = F.lit(0).cast("long")
     for k in range(HASHES):
         bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{k}").cast("long").bitwiseAND(F.lit(15)), 4 * k))
-    distinct = cut_lineage(distinct.select("node", "first", bands.alias("bands"), bits.alias("tag")))
+    distinct = tables.write(distinct.select("node", "first", bands.alias("bands"), bits.alias("tag")), "distinct")
     members = distinct.select("node", "tag", F.explode("bands").alias("key"))
 
     def likely(x: str, y: str) -> Column:
@@ -65,7 +67,7 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
         # only digests are sent round, up to IDS of them; beyond it lines meet them in a shuffle, as text
         some = lines.select("node", "line").join(broadcast_if_small(nodes, IDS), "node").dropDuplicates(["node"]).select("node", _words("line").alias("words"))
         each = F.transform("words", lambda w, i: F.xxhash64(_shingle(F.col("words"), i, w)))
-        sets["a"] = cut_lineage(some.select("node", F.array_distinct(each).alias("items")))
+        sets["a"] = tables.write(some.select("node", F.array_distinct(each).alias("items")), "sets")
 
     def near(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("ia", "ib"))
@@ -77,6 +79,7 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
         )
 
     found = linked_components(members, near, likely, prepare)
+    tables.drop("sets")
     named = distinct.select("node", "first").join(found.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("node", "first", F.coalesce("component", "node").alias("component"))
     keeper = named.groupBy("component").agg(F.min("first").alias("keep"))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.llm.graph import PAIRWISE, linked_components
+from undertow.llm.tables import Tables
 from undertow.llm.text import Words, mix, signed, slices
-from undertow.session import broadcast_if_small, cut_lineage
+from undertow.session import broadcast_if_small
 
 #: Values kept of each set, and the rarest of them that open an inverted list.
 SKETCH, LISTS = 32, 10
@@ -92,14 +93,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     share = percent / 100
-    sketched = cut_lineage(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, one long, two long, sketch array<long>"))
+    tables = Tables(docs.sparkSession)
+    sketched = tables.write(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, one long, two long, sketch array<long>"), "sketches")
     real = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut_lineage(classes)
+    classes = tables.write(classes, "classes")
     values = classes.select("rep", F.explode("sketch").alias("key"))
     shared = values.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rare = (
-        values.join(shared, "key")
+        values.join(shared.hint("merge"), "key")
         .groupBy("rep")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("size", "key"))), 1, LISTS).alias("best"))
     )
@@ -127,11 +129,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             .filter(overlap >= SLACK * share * F.size(union))
             .select("a", "b", "na", "nb")
         )
-        likely = cut_lineage(likely)
+        likely = tables.write(likely, "likely")
+        if likely.isEmpty():
+            return likely
         ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
         # the sets of the candidates alone, read from their texts once more
         texts = docs.join(broadcast_if_small(ids), "doc_id")
-        sets = cut_lineage(texts.mapInArrow(_sets(size), "id long, items array<long>").dropDuplicates(["id"]))
+        sets = tables.write(texts.mapInArrow(_sets(size), "id long, items array<long>").dropDuplicates(["id"]), "sets")
         both = F.size(F.array_intersect("ia", "ib"))
         return (
             likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
@@ -141,6 +145,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         )
 
     found = linked_components(lists, near)
+    tables.drop("likely", "sets")
     named = classes.select("one", "two", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("one", "two", F.coalesce("component", "rep").alias("component"))
     lonely = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
