@@ -328,3 +328,18 @@ def test_pipeline_keeps_clean_documents(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert 0.6 * docs.count() < out.count() <= docs.count()
     assert {"doc_id", "taken", "target"} <= set(out.columns)
+
+
+def test_written_tables_replace_each_other(spark):
+    from undertow.llm.tables import Tables
+
+    tables = Tables(spark)
+    first = tables.write(spark.range(5), "t")
+    second = tables.write(first.filter("id > 2"), "t")  # derived from the table it replaces
+    assert sorted(r["id"] for r in second.collect()) == [3, 4]
+    empty = tables.write(second.filter("id > 9"), "none")
+    assert empty.isEmpty() and empty.columns == ["id"]
+    base = spark._jvm.org.apache.hadoop.fs.Path(tables.base)
+    names = {s.getPath().getName() for s in base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base)}
+    assert names == {"t-1", "none-0"}
+    tables.drop("t", "unknown")
