@@ -24,7 +24,11 @@ def _words(line: str) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(key, pos, line, node) of every line that is not blank; node is a 64-bit digest of it."""
-    plain = F.translate("text", "\t\u000b\f\r", "    ")
+    # few texts hold other white space; looking for it is cheaper than translating every character
+    other = F.lit(False)
+    for space in "\t\u000b\f\r":
+        other = other | F.contains("text", F.lit(space))
+    plain = F.when(other, F.translate("text", "\t\u000b\f\r", "    ")).otherwise(F.col("text"))
     return (
         docs.select("key", F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
         .filter("trim(line) <> ''")
