@@ -78,15 +78,16 @@ def linked_components(
     tables = Tables(members.sparkSession)
     members = members if "tag" in members.columns else members.withColumn("tag", F.lit(0).cast("byte"))
     fits = likely("tag", "tag_b") if likely else F.lit(True)
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "tag")).alias("first")).filter("size > 1")
-    members = tables.write(members.join(sizes.hint("merge"), "key").select("*", F.col("first.node").alias("p"), F.col("first.tag").alias("tag_b")).drop("first"), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("p")).filter("size > 1")
+    members = tables.write(members.join(sizes.hint("merge"), "key"), "members")
     small = members.filter(F.col("size") <= PAIRWISE).select("key", F.col("node").alias("a"), "tag")
     pairs = small.join(small.withColumnsRenamed({"a": "b", "tag": "tag_b"}).hint("merge"), "key").filter("a < b").filter(fits).select("a", "b").distinct()
     pairs = tables.write(pairs, "pairs")
     large = members.filter(F.col("size") > PAIRWISE)
+    led = large.join(large.filter("node = p").select("key", F.col("tag").alias("tag_b")).dropDuplicates(["key"]).hint("merge"), "key")
     if prepare:
         prepare(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct())
-    ahead = pairs.union(large.filter("p < node").filter(fits).select("p", "node")).groupBy("b").agg(F.min("a").alias("a"))
+    ahead = pairs.union(led.filter("p < node").filter(fits).select("p", "node")).groupBy("b").agg(F.min("a").alias("a"))
     links = tables.write(near(ahead.select("a", "b")).select("a", "b"), "links")
     found = tables.write(components(links, tables=tables), "found")
     ends = {x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")).hint("merge") for x in ("a", "b")}
