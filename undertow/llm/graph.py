@@ -6,6 +6,7 @@ relation on the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -15,46 +16,57 @@ from undertow.llm.tables import Tables
 
 #: Up to this many members a bucket is compared pairwise at once; larger ones against one pivot a round.
 PAIRWISE = 32
+#: Rows of links or vertices, two numbers each, that one task writes at least.
+TASK_ROWS = 20_000
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", tables: Tables | None = None) -> DataFrame:
+def _gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than `rows` are worth, the rows that it reads at most; small steps would else be mostly empty tasks."""
+    return df.coalesce(max(1, math.ceil(rows / TASK_ROWS)))
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", tables: Tables | None = None, rows: int | None = None) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has a link to another.
 
     Each round every vertex follows its neighbour of the smallest hash, if that is smaller than its own, for two steps;
     the links move along, and a link between two vertices survives as one between their images. Hashes are a random
     order, so steps to a local minimum are few even on a path of rising ids, and vertices at least halve. Empty links
     give an empty result; null ends and self-links are ignored; repeated links count once. The result reads the tables
-    edges, up and tops of `tables`, so it must be written before they are made anew.
+    edges, up and tops of `tables`, so it must be written before they are made anew. `rows`, if known, is the number of
+    rows at most that links are made from.
     """
     tables = tables or Tables(links.sparkSession)
     edges = links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), (F.col(a) != F.col(b)).alias("two"))
-    edges = tables.write(edges.filter("two").select("lo", "hi").distinct(), "edges")
+    edges = edges.filter("two").select("lo", "hi").distinct()
+    edges = tables.write(edges if rows is None else _gathered(edges, rows), "edges")
     found: DataFrame | None = None
-    while not edges.isEmpty():
+    held = 0
+    while n := edges.count():
         ends = edges.select(F.col("hi").alias("id"), F.col("lo").alias("to")).union(edges.select(F.col("lo").alias("id"), F.col("hi").alias("to")))
         best = ends.groupBy("id").agg(F.min(F.struct(F.xxhash64("to").alias("h"), F.col("to"))).alias("n"))
         up = best.select("id", F.least(F.col("n"), F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("to")))["to"].alias("to"))
         again = up.select(F.col("id").alias("to"), F.col("to").alias("top"))
-        up = tables.write(up.join(again.hint("merge"), "to").select("id", F.col("top").alias("to")), "up")
+        up = tables.write(_gathered(up.join(again.hint("merge"), "to").select("id", F.col("top").alias("to")), 2 * n), "up")
         low, high = up.select(F.col("id").alias("lo"), F.col("to").alias("l")), up.select(F.col("id").alias("hi"), F.col("to").alias("h"))
         moved = edges.join(low.hint("merge"), "lo").join(high.hint("merge"), "hi").select(F.least("l", "h").alias("lo"), F.greatest("l", "h").alias("hi"))
-        edges = tables.write(moved.filter("lo < hi").distinct(), "edges")
+        edges = tables.write(_gathered(moved.filter("lo < hi").distinct(), n), "edges")
         if found is None:
+            held = 2 * n
             found = tables.write(up, "tops")
         else:
             step = up.select(F.col("id").alias("to"), F.col("to").alias("top"))
-            found = tables.write(found.join(step.hint("merge"), "to", "left").select("id", F.coalesce("top", "to").alias("to")), "tops")
+            found = tables.write(_gathered(found.join(step.hint("merge"), "to", "left").select("id", F.coalesce("top", "to").alias("to")), held), "tops")
     if found is None:
         return edges.select(F.col("lo").alias("id"), F.col("hi").alias("component"))
     least = found.groupBy("to").agg(F.min("id").alias("component"))
     return found.join(least.hint("merge"), "to").select("id", "component")
 
 
-def joined(found: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
-    """The components `found` after more links, which are followed between components only."""
+def joined(found: DataFrame, links: DataFrame, tables: Tables, rows: int) -> DataFrame:
+    """The components `found` after more links, which are followed between components only; both have `rows` rows at most."""
     ends = {x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")}
     coarse = links.join(ends["a"].hint("merge"), "a", "left").join(ends["b"].hint("merge"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    tops = components(coarse, tables=tables).withColumnRenamed("component", "top")
+    tops = components(coarse, tables=tables, rows=rows).withColumnRenamed("component", "top")
     known = found.join(tops.withColumnRenamed("id", "component").hint("merge"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     return known.union(tops.join(found, "id", "left_anti").select("id", F.col("top").alias("component")))
 
@@ -89,18 +101,20 @@ def linked_components(
         prepare(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct())
     ahead = pairs.union(led.filter("p < node").filter(fits).select("p", "node")).groupBy("b").agg(F.min("a").alias("a"))
     links = tables.write(near(ahead.select("a", "b")).select("a", "b"), "links")
-    found = tables.write(components(links, tables=tables), "found")
+    n = held = links.count()
+    found = tables.write(_gathered(components(links, tables=tables, rows=n), 2 * n), "found")
     ends = {x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")).hint("merge") for x in ("a", "b")}
     apart = pairs.join(ends["a"], "a", "left").join(ends["b"], "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
     links = tables.write(near(apart).select("a", "b"), "links")
-    if not links.isEmpty():
-        found = tables.write(joined(found, links, tables), "found")
+    if n := links.count():
+        held += n
+        found = tables.write(_gathered(joined(found, links, tables, n + 2 * held), 2 * held), "found")
     tables.drop("pairs")
     rest = large.select("key", "node", "tag")
     count = 1
-    while not rest.isEmpty():
+    while n := rest.count():
         known = found.select(F.col("id").alias("node"), "component")
-        rest = tables.write(rest.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+        rest = tables.write(rest.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).transform(_gathered, n + 2 * held), "named")
         parts = (
             rest.groupBy("key")
             .agg(F.count("*").alias("size"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -108,12 +122,14 @@ def linked_components(
             .drop("low", "high")
         )
         draw = (F.xxhash64("node", F.lit(count)).bitwiseAND(F.lit((1 << 20) - 1))) / float(1 << 20)
-        rest = tables.write(rest.join(parts.hint("merge"), "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count)), "rest")
+        rest = rest.join(parts.hint("merge"), "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count))
+        rest = tables.write(_gathered(rest, n), "rest")
         pivots = rest.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("tag").alias("tag_b"))
         pairs = rest.join(pivots.hint("merge"), "key").filter("component <> pc").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         links = tables.write(near(pairs).select("a", "b"), "links")
-        if not links.isEmpty():
-            found = tables.write(joined(found, links, tables), "found")
+        if n := links.count():
+            held += n
+            found = tables.write(_gathered(joined(found, links, tables, n + 2 * held), 2 * held), "found")
         rest = rest.filter("NOT pivot").select("key", "node", "tag")
         count *= 64
     tables.drop("members", "named", "rest", "links", "edges", "up", "tops")
