@@ -91,3 +91,11 @@ def test_single_class_fallback(spark):
     assert calibrate.threshold_or_fallback(df, k=2.0) == pytest.approx(3 + 2 * np.std([1, 2, 3, 4, 5]))
     with pytest.raises(ValueError):
         calibrate.calibrate(df)
+
+
+def test_sweeps_of_empty_tables_and_single_candidates(spark):
+    none = table(spark, [], [])
+    assert evaluate.grid_sweep(none).count() == 0
+    assert evaluate.score_histogram(none).count() == 0
+    (row,) = evaluate.grid_sweep(table(spark, [0, 1, 1], [0.1, 0.5, 0.9]), candidates=1).collect()
+    assert (row["threshold"], row["tp"], row["fp"], row["fn"], row["tn"]) == (0.1, 2, 0, 0, 1)

@@ -161,3 +161,13 @@ def test_sql_functions(spark):
         "hd_permute(array(1,2,3), 1) e, hd_hamming(5L, 3L) f, cosine_sim(array(1D,0D), array(1D,0D)) g, sax_symbol(0.0D) h, cef_alert('e', 1.5D, 2D, 1D) i"
     ).first()
     assert row[:8] == (1, 0.0, [-1, 1], [1, 1], [3, 1, 2], 2, 1.0, 4) and "rt=1500 driftScore=2.0000" in row["i"]
+
+
+def test_first_line_after_many_comments(spark, tmp_path):
+    from undertow.sources import readers
+
+    (tmp_path / "log.csv").write_text("\n".join(["# note", "", "\t"] * 40 + ["a,b", "1,2"]))
+    assert readers.first_line(spark, str(tmp_path)) == "a,b"
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "log.csv").write_text("# note\n\n")
+    assert readers.first_line(spark, str(tmp_path / "none")) == ""

@@ -331,27 +331,25 @@ def most_similar(df: DataFrame, query, k: int, hv: str = "hv") -> DataFrame:
     return df.withColumn("similarity", similarity(F.col(hv))).orderBy(F.col("similarity").desc(), "flow_id").limit(k)
 
 
-def encoder_separability(df: DataFrame, hv: str = "hv", sample: int = 200) -> DataFrame:
+def encoder_separability(df: DataFrame, hv: str = "hv") -> DataFrame:
     """Class separation of encodings: centre distances, Fisher ratio, and mean pairwise cosines.
 
-    The mean of all pairwise cosines equals the dot product of the mean unit vectors, so no pair is formed.
+    The mean of all pairwise cosines equals the dot product of the mean unit vectors, so all rows count and no pair is
+    formed.
     """
-    from undertow.operators import prep
-
     by = vectors.dim_moments(df, hv, by="label")
     (n0, mu0, ss0), (n1, mu1, ss1) = by[0], by[1]
     width = len(mu0)
     cos = float(mu0 @ mu1 / (np.linalg.norm(mu0) * np.linalg.norm(mu1)))
     gap = float(np.linalg.norm(mu0 - mu1))
     fisher = gap**2 / (ss0.sum() / (n0 - 1) + ss1.sum() / (n1 - 1) + 1e-8)
-    heads = prep.head_per_class(df.select("flow_id", "label", hv), sample)
 
     def unit_sum(batch: pa.RecordBatch) -> np.ndarray:
         x = vectors.matrix(batch.column(hv))
         units = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
         return np.concatenate([[len(x)], units.sum(0)])
 
-    sums = vectors.summed(heads, [hv], unit_sum, by="label")
+    sums = vectors.summed(df, [hv], unit_sum, by="label")
     u0, u1 = (sums[c][1:] / sums[c][0] for c in (0, 1))
     intra, inter = float(u0 @ u0), float(u0 @ u1)
     row = (1.0 - cos, gap / np.sqrt(width), fisher, intra, inter, intra - inter)

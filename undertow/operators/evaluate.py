@@ -212,8 +212,8 @@ def rate_metrics(df: DataFrame, rows: str, seconds: str) -> DataFrame:
 
 
 def score_histogram(df: DataFrame, bins: int = 30, label: str = "label", score: str = "score") -> DataFrame:
-    """(label, bin, lower, rows) over equal bins; the right edge belongs to the last bin."""
-    lo, hi = df.agg(F.min(score), F.max(score)).first()
+    """(label, bin, lower, rows) over equal bins; the right edge belongs to the last bin. Empty in, empty out."""
+    lo, hi = df.agg(F.coalesce(F.min(score), F.lit(0.0)), F.coalesce(F.max(score), F.lit(0.0))).first()
     step = (hi - lo) / bins or 1.0
     which = F.least(F.floor((F.col(score) - lo) / F.lit(step)), F.lit(bins - 1)).cast("int")
     counts = df.groupBy(F.col(label).alias("label"), which.alias("bin")).agg(F.count(F.lit(1)).alias("row_count"))
@@ -332,10 +332,15 @@ def grid_sweep(df: DataFrame, candidates: int = 1000, label: str = "label", scor
     """Metrics at evenly spaced thresholds with the strict verdict score > threshold.
 
     Each row is counted once under the number of thresholds it exceeds; the running totals then run over
-    at most candidates + 1 rows.
+    at most candidates + 1 rows. A single candidate is the smallest score; a table without scores has none.
     """
     lo, hi = df.agg(F.min(score), F.max(score)).first()
-    step = (hi - lo) / (candidates - 1)
+    if lo is None:
+        lo = hi = 0.0
+        candidates = 0
+    if candidates == 1:
+        hi = lo
+    step = (hi - lo) / max(1, candidates - 1)
     x = F.col(score)
     edge = lambda j: F.when(j >= candidates - 1, F.lit(hi)).otherwise(F.lit(lo) + j * F.lit(step))
     guess = F.floor((x - lo) / F.lit(step or 1.0)).cast("long")

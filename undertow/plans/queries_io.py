@@ -113,13 +113,13 @@ def s06_dataset_manifest(spark, sf):
     return m.select("row_count", "columns_count", F.array_join("columns_sample", "|").alias("columns_sample"), F.length("sha256").alias("hash_length"))
 
 
-@query(f"WITH {FLOWS} SELECT flow_id, entity_id, label AS actual_label, CAST(value >= 50 AS INTEGER) AS predicted_label, value AS drift_score, CASE WHEN label = 1 THEN 'val' ELSE 'test' END AS split FROM flows")
+@query(f"WITH {FLOWS} SELECT flow_id, entity_id, label AS actual_label, CAST(value >= 50 AS INTEGER) AS predicted_label, value AS drift_score, 'value' AS scoring_mode, CASE WHEN label = 1 THEN 'val' ELSE 'test' END AS split FROM flows")
 def s09_decision_sink(spark, sf):
     path = _folder(spark, "run")
-    d = _decisions(spark, sf).withColumn("split", F.when(F.col("actual_label") == 1, "val").otherwise("test"))
+    d = _decisions(spark, sf).withColumns({"scoring_mode": F.lit("value"), "split": F.when(F.col("actual_label") == 1, "val").otherwise("test")})
     writers.write_decisions(d, path)
     stored = spark.read.parquet(f"{path}/decisions_parquet")
-    return stored.select("flow_id", "entity_id", "actual_label", "predicted_label", "drift_score", "split")
+    return stored.select("flow_id", "entity_id", "actual_label", "predicted_label", "drift_score", "scoring_mode", "split")
 
 
 def _runs(spark, sf):

@@ -188,8 +188,7 @@ def h16_most_similar(spark, sf):
 
 @query(f"""WITH {_CODE}, dims AS (SELECT label, i, avg(hv[i]) AS m, var_samp(hv[i]) AS v FROM enc, range(1, {D + 1}) g(i) GROUP BY 1, 2),
   c AS (SELECT a.i, a.m AS m0, b.m AS m1, a.v + b.v AS v FROM dims a JOIN dims b ON a.i = b.i AND a.label = 0 AND b.label = 1),
-  heads AS (SELECT * FROM enc QUALIFY row_number() OVER (PARTITION BY label ORDER BY flow_id) <= 200),
-  u AS (SELECT label, i, avg(hv[i] / sqrt({D}.0)) AS m FROM heads, range(1, {D + 1}) g(i) GROUP BY 1, 2),
+  u AS (SELECT label, i, avg(hv[i] / sqrt({D}.0)) AS m FROM enc, range(1, {D + 1}) g(i) GROUP BY 1, 2),
   s AS (SELECT sum(a.m * a.m) AS intra, sum(a.m * b.m) AS inter FROM u a JOIN u b ON a.i = b.i AND a.label = 0 AND b.label = 1),
   f AS (SELECT 1.0 - sum(m0 * m1) / (sqrt(sum(m0 * m0)) * sqrt(sum(m1 * m1))) AS cd, sqrt(sum((m0 - m1) ** 2)) AS gap, sum(v) AS v FROM c)
   SELECT {r('cd')} AS cos_dist, {r(f'gap / sqrt({D}.0)')} AS eucl_dist, {r('gap * gap / (v + 1e-8)')} AS fisher_ratio, {r('intra')} AS intra_sim, {r('inter')} AS inter_sim, {r('intra - inter')} AS margin FROM f, s""")

@@ -50,11 +50,10 @@ def _located(df: DataFrame) -> DataFrame:
 
 
 def first_line(spark: SparkSession, path: str) -> str:
-    for row in spark.read.text(path).limit(20).collect():
-        line = row["value"].lstrip(BOM).strip()
-        if line and not line.startswith("#"):
-            return line
-    return ""
+    """The first line that is neither blank nor a comment, however many of those come before it."""
+    line = F.trim(F.regexp_replace("value", f"[{BOM}\t\r]", " "))
+    found = spark.read.text(path).filter((line != "") & ~line.startswith("#")).head(1)
+    return found[0]["value"].lstrip(BOM).strip() if found else ""
 
 
 def _cells(line: str) -> list[str]:

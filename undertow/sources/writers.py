@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from undertow.functions import scalars as S
 
 DECISION_COLUMNS = [
-    "flow_id", "entity_id", "ts", "actual_label", "predicted_label", "drift_score", "threshold", "split",
+    "flow_id", "entity_id", "ts", "actual_label", "predicted_label", "drift_score", "threshold", "scoring_mode", "split",
 ]
 
 
