@@ -149,6 +149,24 @@ def test_near_duplicates(spark, docs, rows, size):
     assert near_duplicates(_empty(spark), size).count() == 0
 
 
+def test_near_duplicates_with_additions_rarer_than_a_large_group(spark):
+    from undertow.llm.sketch_dedup import near_duplicates
+
+    rng = np.random.default_rng(12)
+    base = _prose(rng, 201, 3000).split(" ")
+    rows = [(k, " ".join(base[:j] + [f"own{k}"] + base[j + 1 :])) for k, j in enumerate(rng.integers(1, 200, 250))] + [(300, " ".join(base))]
+    for k in range(60):
+        more = " ".join(f"more{k}x{j}" for j in range(49))
+        # 249 word pairs, 200 of them the base's; two other documents hold the addition's
+        rows += [(400 + k, " ".join(base) + " " + more), (500 + k, f"{more} {_prose(rng, 150)}"), (600 + k, f"{_prose(rng, 150)} {more}")]
+    sets = _sets(rows, 2)
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = _components(sets, linked)
+    assert all(low[400 + k] == 0 for k in range(60)) and len(set(low.values())) == 121
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == low
+
+
 def test_large_buckets_lose_no_link(spark):
     from undertow.llm.graph import linked_components
 

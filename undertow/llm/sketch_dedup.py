@@ -14,10 +14,14 @@ from undertow.llm.tables import Tables
 from undertow.llm.text import Words, mix, signed, slices
 from undertow.session import broadcast_if_small
 
-#: Values kept of each set, and the rarest of them that open an inverted list.
-SKETCH, LISTS = 32, 10
+#: Values kept of each set, and the rarest of them that open an inverted list if it is short.
+SKETCH, LISTS = 32, 20
+#: Of the pairs of long lists one in so many opens a list of its own, drawn by hash and not by rarity.
+DRAW = 16
+#: Sets of up to so many values open all pairs of the long lists among their SURE rarest values.
+SMALL, SURE = 40, 10
 #: A pair goes on to the exact check when the union sketch estimates this share of the threshold or more.
-SLACK = 0.55
+SLACK = 0.45
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,11 +86,14 @@ def _sets(size: int):
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document; links are 100 * intersection >= percent * union.
 
-    One hash function; each set keeps its SKETCH smallest values. Documents with equal sets form a class, and classes
-    meet in the inverted lists of their LISTS rarest kept values (list lengths counted over all documents), or, where
-    these are long, of two such values and a size class. A pair at the threshold shares two of them but for a chance of about
-    8 * LISTS * 0.2 ** LISTS, some 1e-5, and surely when its sets are small. The
-    sketch of the union estimates the similarity, the full sets of the pairs left confirm it.
+    One hash function; each set keeps its SKETCH smallest values. Documents with equal sets form a class. Classes meet in
+    the inverted lists of their LISTS rarest kept values as far as these are short, else in lists of two values and a
+    size class: of all pairs of values with long lists one in DRAW, drawn by hash; small sets open all pairs of their
+    SURE rarest. Values that a set does not share with its partner come first where they are rarer, so nothing is assumed
+    about the ones drawn: of f such values in a sketch at the threshold, f is binomial (SKETCH, 1 - percent / 100). At
+    0.8 the short lists miss a pair when f >= LISTS (2e-7), the drawn pairs with (1 - 1 / DRAW) ** C(SKETCH - f, 2), 4e-7 over all f, and
+    the estimate when f > 20 (3e-8); sets of up to SKETCH values are never missed. The sketch of the union estimates the similarity, the full sets
+    of the pairs left confirm it.
 
     Null, empty and blank texts have an empty set and link with nothing. Rows that repeat a doc_id and text get equal
     rows; a null doc_id stays alone with a null component and is kept. Other columns are ignored. Empty in, empty out.
@@ -103,16 +110,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rare = (
         values.join(shared.hint("merge"), "key")
         .groupBy("rep")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("size", "key"))), 1, LISTS).alias("best"))
+        .agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("best"))
     )
-    single = rare.select(F.col("rep").alias("node"), F.explode(F.expr("transform(filter(best, x -> x.size <= %d), x -> x.key)" % PAIRWISE)).alias("key"))
+    single = rare.select(F.col("rep").alias("node"), F.explode(F.expr("transform(filter(slice(best, 1, %d), x -> x.size <= %d), x -> x.key)" % (LISTS, PAIRWISE))).alias("key"))
     # values of long lists open lists of two values each, for sets of like size: copies share many, other documents few
-    long = F.expr("transform(filter(best, x -> x.size > %d), x -> x.key)" % PAIRWISE)
+    long = "array_sort(transform(filter(%%s, x -> x.size > %d), x -> x.key))" % PAIRWISE
+    twos = "flatten(transform(%s, (x, i) -> transform(slice(%s, i + 2, size(%s)), y -> xxhash64(x, y))))"
+    drawn = F.when(F.col("n") >= SKETCH, F.expr("filter(%s, h -> pmod(h, %d) = 0)" % (twos % ("v", "v", "v"), DRAW)))
+    every = F.when(F.col("n") <= SMALL, F.expr(twos % ("w", "w", "w")))
     grade = F.floor(F.log("n") / float(np.log(1 / share)) + 1e-9)
     double = (
-        rare.join(classes.select("rep", grade.alias("grade")), "rep")
-        .select("rep", F.explode(F.array(F.col("grade"), F.col("grade") + 1)).alias("grade"), F.array_sort(long).alias("v"))
-        .select(F.col("rep").alias("node"), F.explode(F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> xxhash64(x, y, grade))))")).alias("key"))
+        rare.select("rep", F.expr(long % "best").alias("v"), F.expr(long % ("slice(best, 1, %d)" % SURE)).alias("w"))
+        .filter("size(v) > 1")
+        .join(classes.select("rep", "n", grade.alias("grade")), "rep")
+        .select("rep", "grade", F.explode(F.array_union(F.coalesce(drawn, F.array().cast("array<long>")), F.coalesce(every, F.array().cast("array<long>")))).alias("h"))
+        .select(F.col("rep").alias("node"), F.explode(F.array(F.xxhash64("h", "grade"), F.xxhash64("h", F.col("grade") + 1))).alias("key"))
     )
     lists = single.union(double)
     reps = classes.select("rep", "n", "sketch")
