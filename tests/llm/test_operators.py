@@ -269,6 +269,28 @@ def test_lines(spark):
     assert dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_lines_with_one_typo_and_lines_without_spaces(spark):
+    from undertow.llm.line_dedup import dedup_lines
+
+    def shingles(line):
+        line = " ".join(line.lower().split())
+        return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+    rng = np.random.default_rng(13)
+    lines = [_prose(rng, n, 3000) for n in (12, 14, 16, 20) for _ in range(5)]
+    lines += ["".join(chr(0x4E00 + k) for k in rng.integers(0, 5000, 60)) for _ in range(5)] + ["".join(rng.choice(list("abcdefgh/-"), 70)) for _ in range(5)]
+    rows = list(enumerate(lines)) + [(1000, "abc"), (1001, "ABC"), (1002, "abd")]
+    for k, line in enumerate(lines):
+        at = len(line) // 2
+        rows.append((100 + k, line[:at] + "#" + line[at + 1 :]))
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = _components(sets, linked)
+    assert len(linked) > 25
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(low[i] != i) for i in low}
+
+
 def test_mixing(spark):
     from undertow.llm.mixing import min_cost_flow, mix, quotas, word_count
 

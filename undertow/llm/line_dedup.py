@@ -11,15 +11,16 @@ from undertow.llm.tables import Tables
 from undertow.session import broadcast_if_small
 
 #: Characters of a shingle; hashes, rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.998.
-SHINGLE, HASHES, ROWS, BANDS = 8, 16, 2, 6
+SHINGLE, HASHES, ROWS, BANDS = 5, 16, 2, 6
 #: A candidate agrees in so many of the hashes, as far as four bits of each tell: at 0.8 with chance 0.997.
 AGREE = 9
 #: Digests of candidate lines, 8 bytes each, that are broadcast at most.
 IDS = 200_000
 
 
-def _words(line: str) -> Column:
-    return F.array_remove(F.split(F.lower(line), " "), "")
+def _chars(line: str) -> Column:
+    """The characters of the words, lower-cased and one space apart."""
+    return F.split(F.array_join(F.array_remove(F.split(F.lower(line), " "), ""), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -36,19 +37,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _shingle(words: Column, i: Column, word: Column) -> Column:
-    """The characters from a word's start on; a longer word counts as a whole."""
-    run = F.concat_ws(" ", word, F.get(words, i + 1), F.get(words, i + 2))
-    return F.when(F.length(word) >= SHINGLE, word).otherwise(F.substring(run, 1, SHINGLE))
+def _shingle(chars: Column, i: Column) -> Column:
+    """Hash of the characters from one on; a shorter line counts as a whole."""
+    return F.xxhash64(*[F.get(chars, i + k) for k in range(SHINGLE)])
+
+
+def _shingles(chars: str) -> Column:
+    places = F.sequence(F.lit(0), F.greatest(F.size(chars) - SHINGLE, F.lit(0)))
+    return F.array_distinct(F.transform(places, lambda i: _shingle(F.col(chars), i)))
 
 
 def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(key, drop): the numbers of the lines, from 0, that each document loses."""
     tables = Tables(docs.sparkSession)
     lines = _lines(docs)
-    shingles = lines.select("key", "node", _words("line").alias("words"))
-    shingles = shingles.select("key", "node", "words", F.posexplode("words").alias("i", "word"))
-    shingles = shingles.select("key", "node", F.xxhash64(_shingle(F.col("words"), F.col("i"), F.col("word"))).alias("h"))
+    shingles = lines.select("key", "node", _chars("line").alias("chars"))
+    shingles = shingles.select("key", "node", "chars", F.posexplode("chars").alias("i", "char")).filter(f"i = 0 OR i <= size(chars) - {SHINGLE}")
+    shingles = shingles.select("key", "node", _shingle(F.col("chars"), F.col("i")).alias("h"))
     signature = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(HASHES)]
     # one pass: partial minima per line on the map side, merged over equal lines; all buffers are numbers, so they are hashed
     distinct = shingles.groupBy("node").agg(F.min("key").alias("first"), *signature)
@@ -69,15 +74,17 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     def prepare(nodes: DataFrame) -> None:
         # only digests are sent round, up to IDS of them; beyond it lines meet them in a shuffle, as text
-        some = lines.select("node", "line").join(broadcast_if_small(nodes, IDS), "node").dropDuplicates(["node"]).select("node", _words("line").alias("words"))
-        each = F.transform("words", lambda w, i: F.xxhash64(_shingle(F.col("words"), i, w)))
-        sets["a"] = tables.write(some.select("node", F.array_distinct(each).alias("items")), "sets")
+        some = lines.select("node", "line").join(broadcast_if_small(nodes, IDS), "node").dropDuplicates(["node"])
+        sets["a"] = tables.write(some, "sets")
 
     def near(pairs: DataFrame) -> DataFrame:
+        # lines travel as text, an eighth of their shingles' hashes
         both = F.size(F.array_intersect("ia", "ib"))
         return (
-            pairs.join(sets["a"].select(F.col("node").alias("a"), F.col("items").alias("ia")).hint("merge"), "a")
-            .join(sets["a"].select(F.col("node").alias("b"), F.col("items").alias("ib")).hint("merge"), "b")
+            pairs.join(sets["a"].select(F.col("node").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
+            .join(sets["a"].select(F.col("node").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
+            .select("a", "b", _chars("la").alias("ca"), _chars("lb").alias("cb"))
+            .select("a", "b", _shingles("ca").alias("ia"), _shingles("cb").alias("ib"))
             .withColumn("both", both)
             .filter(100 * F.col("both") >= percent * (F.size("ia") + F.size("ib") - F.col("both")))
         )
@@ -99,7 +106,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with text less its repeated lines, and n_lines and n_removed.
 
     Lines are parted by \\n and compared by their words, lower-cased. Similarity is the Jaccard index, percent / 100 or
-    more, of their shingles: the SHINGLE characters from each word's start on. Similar lines form components; of each,
+    more, of their shingles: the SHINGLE characters from each character on, one space between words. Similar lines form components; of each,
     the line with the smallest (doc_id, number) stays, in one document. Blank lines stay. Null and empty texts stay as
     they are with 0 lines removed. Rows that repeat a doc_id share verdicts, so equal rows stay equal; a null doc_id
     orders first. Columns n_lines and n_removed are replaced, other columns stay. Empty in, empty out.
