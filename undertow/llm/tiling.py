@@ -32,6 +32,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> int:
 
     while True:
         a, b = free(used_i), free(used_d)
+        before = used_i.sum()
         found = []
         if len(a) and len(b):
             ha, hb = (span_hash(h, WORD_BASE, x, x + length) for h, x in ((hash_i, a), (hash_d, b)))
@@ -57,7 +58,10 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> int:
             if n >= length:
                 used_i[i : i + n] = used_d[d : d + n] = True
         if length == least:
-            return int(used_i.sum())
+            # what is left of a match that lost words to an earlier tile may be one itself
+            if used_i.sum() == before:
+                return int(before)
+            continue
         length = max(least, length // 2)
 
 
@@ -68,17 +72,18 @@ class Bench:
         self.least = least
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
-        seeds, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        seeds, owners, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             words = Words(raw, np.array([0, len(raw)]), fold=True, breaks=PUNCTUATION)
             self.words.append(words.hash)
-            grams = np.unique(words.grams(least))
+            grams, often = np.unique(words.grams(least), return_counts=True)
             seeds.append(grams)
+            times.append(often)
             owners.append(np.full(len(grams), k))
         seed, owner = np.concatenate(seeds), np.concatenate(owners)
         order = np.argsort(seed, kind="stable")
-        self.owner = owner[order]
+        self.owner, self.times = owner[order], np.concatenate(times)[order]
         self.seed, self.first = np.unique(seed[order], return_index=True)
         self.last = np.r_[self.first[1:], len(order)]
 
@@ -95,11 +100,12 @@ class Bench:
                 best, item, over = 0.0, None, 0
                 own = hits[np.searchsorted(rows, r, "left") : np.searchsorted(rows, r, "right")]
                 if len(own):
-                    shared = np.concatenate([self.owner[self.first[s] : self.last[s]] for s in np.unique(spot[own])])
+                    entries = np.concatenate([np.arange(self.first[s], self.last[s]) for s in np.unique(spot[own])])
+                    candidates, place = np.unique(self.owner[entries], return_inverse=True)
                     doc = words.hash[words.bounds[r] : words.bounds[r + 1]]
-                    for k, seeds in zip(*np.unique(shared, return_counts=True)):
+                    for k, seeds in zip(candidates, np.bincount(place, self.times[entries])):
                         whole = self.words[k]
-                        # each shared seed brings `least` words to the tiles at most
+                        # each place of a shared seed in the item brings `least` words to the tiles at most
                         if seeds * self.least < threshold * len(whole):
                             continue
                         part = tiles(whole, doc, self.least) / len(whole)
