@@ -24,16 +24,16 @@ def _chars(line: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(key, pos, line, node) of every line that is not blank; node is a 64-bit digest of it."""
+    """(key, dig, pos, line, node) of every line that is not blank; node is a 64-bit digest of it."""
     # few texts hold other white space; looking for it is cheaper than translating every character
     other = F.lit(False)
     for space in "\t\u000b\f\r":
         other = other | F.contains("text", F.lit(space))
     plain = F.when(other, F.translate("text", "\t\u000b\f\r", "    ")).otherwise(F.col("text"))
     return (
-        docs.select("key", F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
+        docs.select("key", "dig", F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
         .filter("trim(line) <> ''")
-        .select("key", "pos", "line", F.xxhash64("line").alias("node"))
+        .select("key", "dig", "pos", "line", F.xxhash64("line").alias("node"))
     )
 
 
@@ -48,20 +48,20 @@ def _shingles(chars: str) -> Column:
 
 
 def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(key, drop): the numbers of the lines, from 0, that each document loses."""
+    """(key, dig, drop): the numbers of the lines, from 0, that each document (doc_id and digest of the text) loses."""
     tables = Tables(docs.sparkSession)
     lines = _lines(docs)
-    shingles = lines.select("key", "node", _chars("line").alias("chars"))
-    shingles = shingles.select("key", "node", "chars", F.posexplode("chars").alias("i", "char")).filter(f"i = 0 OR i <= size(chars) - {SHINGLE}")
-    shingles = shingles.select("key", "node", _shingle(F.col("chars"), F.col("i")).alias("h"))
+    shingles = lines.select("node", _chars("line").alias("chars"))
+    shingles = shingles.select("node", "chars", F.posexplode("chars").alias("i", "char")).filter(f"i = 0 OR i <= size(chars) - {SHINGLE}")
+    shingles = shingles.select("node", _shingle(F.col("chars"), F.col("i")).alias("h"))
     signature = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(HASHES)]
     # one pass: partial minima per line on the map side, merged over equal lines; all buffers are numbers, so they are hashed
-    distinct = shingles.groupBy("node").agg(F.min("key").alias("first"), *signature)
+    distinct = shingles.groupBy("node").agg(*signature)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     bits = F.lit(0).cast("long")
     for k in range(HASHES):
         bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{k}").cast("long").bitwiseAND(F.lit(15)), 4 * k))
-    distinct = tables.write(distinct.select("node", "first", bands.alias("bands"), bits.alias("tag")), "distinct")
+    distinct = tables.write(distinct.select("node", bands.alias("bands"), bits.alias("tag")), "distinct")
     members = distinct.select("node", "tag", F.explode("bands").alias("key"))
 
     def likely(x: str, y: str) -> Column:
@@ -91,15 +91,14 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     found = linked_components(members, near, likely, prepare)
     tables.drop("sets")
-    named = distinct.select("node", "first").join(found.withColumnRenamed("id", "node"), "node", "left")
-    named = named.select("node", "first", F.coalesce("component", "node").alias("component"))
-    keeper = named.groupBy("component").agg(F.min("first").alias("keep"))
-    keep = named.join(keeper, "component").select("node", "component", "keep")
-    places = lines.select("key", "pos", "node").join(keep, "node").select("key", "pos", "component", "keep")
-    # of the first document's lines the first one stays
-    kept = places.filter("key = keep").groupBy("component").agg(F.min("pos").alias("at"))
-    drop = places.join(kept, "component").filter("NOT (key = keep AND pos = at)")
-    return drop.groupBy("key").agg(F.collect_set("pos").alias("drop"))
+    named = distinct.select("node").join(found.withColumnRenamed("id", "node"), "node", "left")
+    named = named.select("node", F.coalesce("component", "node").alias("component"))
+    place = F.struct("key", "dig", "pos")
+    places = lines.select("key", "dig", "pos", "node").join(named, "node").select("key", "dig", "pos", "component")
+    # the first line of the first document stays
+    kept = places.groupBy("component").agg(F.min(place).alias("keep"))
+    drop = places.join(kept, "component").filter(place != F.col("keep"))
+    return drop.groupBy("key", "dig").agg(F.collect_set("pos").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -108,12 +107,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Lines are parted by \\n and compared by their words, lower-cased. Similarity is the Jaccard index, percent / 100 or
     more, of their shingles: the SHINGLE characters from each character on, one space between words. Similar lines form components; of each,
     the line with the smallest (doc_id, number) stays, in one document. Blank lines stay. Null and empty texts stay as
-    they are with 0 lines removed. Rows that repeat a doc_id share verdicts, so equal rows stay equal; a null doc_id
-    orders first. Columns n_lines and n_removed are replaced, other columns stay. Empty in, empty out.
+    they are with 0 lines removed. Equal rows share verdicts; different texts of one doc_id are documents of their
+    own, in the order of their digests; a null doc_id orders first. Columns n_lines and n_removed are replaced, other columns stay. Empty in, empty out.
     """
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    verdict = line_verdicts(slim, percent).withColumnRenamed("key", "_key").withColumnRenamed("drop", "_drop")
-    joined = docs.drop("n_lines", "n_removed").withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(verdict, "_key", "left")
+    slim = slim.select("key", F.xxhash64("text").alias("dig"), "text")
+    verdict = line_verdicts(slim, percent).withColumnsRenamed({"key": "_key", "dig": "_dig", "drop": "_drop"})
+    joined = docs.drop("n_lines", "n_removed").withColumns(
+        {"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_dig": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    )
+    joined = joined.join(verdict, ["_key", "_dig"], "left")
     parts = F.split("text", "\n")
     gone = F.map_from_arrays("_drop", F.transform("_drop", lambda p: F.lit(True)))
     left = F.filter("_parts", lambda x, i: ~F.coalesce(F.try_element_at(F.col("_gone"), i), F.lit(False)))
@@ -122,4 +125,4 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     count = F.coalesce(F.size("_parts"), F.lit(0))
     return out.withColumns({"n_lines": F.greatest(count, F.lit(0)), "n_removed": F.coalesce(F.size("_drop"), F.lit(0))}).withColumn(
         "n_removed", F.greatest("n_removed", F.lit(0))
-    ).drop("_key", "_drop", "_parts", "_gone")
+    ).drop("_key", "_dig", "_drop", "_parts", "_gone")

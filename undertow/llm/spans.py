@@ -98,32 +98,42 @@ def _settle(gram, snip, doc, lo, hi, strict):
     return (doc[later], lo[later], hi[later]), (gram[left], snip[left], doc[left], lo[left], hi[left])
 
 
-_FOUND = "gram long, snip long, doc long, lo long, hi long, mark boolean"
+_FOUND = "gram long, snip long, doc long, dig long, lo long, hi long, mark boolean"
 
 
-def _found(gram, snip, doc, lo, hi, mark: bool) -> pa.RecordBatch:
-    n = len(doc)
+def _ranked(doc: np.ndarray, dig: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Numbers of texts in the order of (doc_id, digest), and what they stand for: rows may share a doc_id, not a number."""
+    order = np.lexsort((dig, doc))
+    doc, dig = doc[order], dig[order]
+    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (dig[1:] != dig[:-1])][: len(doc)]
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    return rank, (doc[fresh], dig[fresh])
+
+
+def _found(gram, snip, rank, lo, hi, texts, mark: bool) -> pa.RecordBatch:
+    n, doc, dig = len(rank), texts[0][rank], texts[1][rank]
     return pa.RecordBatch.from_arrays(
-        [pa.array(signed(np.asarray(x))) for x in (gram, snip)] + [pa.array(x) for x in (doc, lo, hi)] + [pa.array(np.full(n, mark))],
-        ["gram", "snip", "doc", "lo", "hi", "mark"],
+        [pa.array(signed(np.asarray(x))) for x in (gram, snip)] + [pa.array(x) for x in (doc, dig, lo, hi)] + [pa.array(np.full(n, mark))],
+        ["gram", "snip", "doc", "dig", "lo", "hi", "mark"],
     )
 
 
 def _scan(w: Windows):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ranks, texts = _ranked(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
             parts = []
-            for a, b, data, at in slices(batch.column(1)):
+            for a, b, data, at in slices(batch.column(2)):
                 row, gram, snip, lo, hi = anchors(data, at, w)
-                parts.append((gram, snip, ids[a:b][row], lo, hi))
+                parts.append((gram, snip, ranks[a:b][row], lo, hi))
             if not parts:
                 continue
             marks, left = _settle(*(np.concatenate(x) for x in zip(*parts)), w.strict)
             marks = merged(*marks)
             # marks take part in the same shuffle; their key only spreads them
-            yield _found(marks[0], marks[1], *marks, True)
-            yield _found(*left, False)
+            yield _found(texts[0][marks[0]], marks[1], *marks, texts, True)
+            yield _found(*left, texts, False)
 
     return run
 
@@ -153,44 +163,49 @@ def _grouped(batches: Iterator[pa.RecordBatch], limit: int, weight: Callable[[pa
 def _compare(w: Windows):
     def run(batches):
         for table in _grouped(batches, 1 << 17, lambda b: b.num_rows):
-            gram, snip, doc, lo, hi = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("gram", "snip", "doc", "lo", "hi"))
+            gram, snip, doc, dig, lo, hi = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("gram", "snip", "doc", "dig", "lo", "hi"))
+            doc, texts = _ranked(doc, dig)
+            known = doc, lo, hi
             mark = table.column("mark").combine_chunks().to_numpy(zero_copy_only=False)
             marks, (gram, snip, doc, lo, hi) = _settle(gram[~mark], snip[~mark], doc[~mark], lo[~mark], hi[~mark], w.strict)
-            out = merged(*(np.concatenate([a, b[mark]]) for a, b in zip(marks, (table.column(c).combine_chunks().to_numpy() for c in ("doc", "lo", "hi")))))
-            yield _found(out[0], out[1], *out, True)
+            out = merged(*(np.concatenate([a, b[mark]]) for a, b in zip(marks, known)))
+            yield _found(texts[0][out[0]], out[1], *out, texts, True)
             if not len(gram):
                 continue
             # sorted by gram, then snippet: a gram with more than one snippet needs the texts
             edge = np.r_[True, gram[1:] != gram[:-1]]
             kinds = np.add.reduceat(np.r_[True, (snip[1:] != snip[:-1])] | edge, np.flatnonzero(edge))
             several = (kinds > 1)[np.cumsum(edge) - 1]
-            yield _found(gram[several], snip[several], doc[several], lo[several], hi[several], False)
+            yield _found(gram[several], snip[several], doc[several], lo[several], hi[several], texts, False)
 
     return run
 
 
 def repeated(docs: DataFrame, w: Windows, resolve: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """docs (key, text) with `spans`: the byte ranges, as array<struct<lo, hi>>, under windows that occur earlier.
+    """docs (key, dig, text) with `spans`: the byte ranges, as array<struct<lo, hi>>, under windows that occur earlier.
 
     `resolve` gets rows (gram, doc, lo, snip) of whole grams, sorted by (gram, doc, lo), and returns the ranges
-    (doc, lo, hi) of the windows among them that occur earlier.
+    (doc, lo, hi) of the windows among them that occur earlier. There doc numbers the texts by (doc_id, digest of the
+    text): equal rows share their spans, different texts of one doc_id or of none do not.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("key", F.xxhash64("text").alias("dig"), "text")
     # neither column can be null, so no filter is inferred and both joins read one exchange of the texts
     found = docs.mapInArrow(_scan(w), _FOUND).repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(w), _FOUND)
-    asked = found.filter("NOT mark").select(F.col("doc").alias("key"), "gram", "lo", "hi")
+    asked = found.filter("NOT mark").select(F.col("doc").alias("key"), "dig", "gram", "lo", "hi")
     snippet = F.expr("substring(cast(text AS binary), cast(lo + 1 AS int), cast(hi - lo AS int))")
-    texts = asked.join(docs, "key", "left").select("gram", F.col("key").alias("doc"), "lo", snippet.alias("snip")).filter("octet_length(snip) > 0")
+    texts = asked.join(docs, ["key", "dig"], "left").select("gram", F.col("key").alias("doc"), "dig", "lo", snippet.alias("snip")).filter("octet_length(snip) > 0")
 
     def resolved(batches):
         for table in _grouped(batches, RESOLVE_BYTES, lambda b: b.column("snip").nbytes):
-            doc, lo, hi = merged(*resolve(table))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(hi)], ["doc", "lo", "hi"])
-
-    partial = texts.repartition("gram").sortWithinPartitions("gram", "doc", "lo").mapInArrow(resolved, "doc long, lo long, hi long")
-    marks = found.filter("mark").select("doc", "lo", "hi").union(partial)
-    spans = marks.groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(spans, "key", "left")
+            rank, names = _ranked(*(table.column(c).combine_chunks().to_numpy() for c in ("doc", "dig")))
+            rank, lo, hi = merged(*resolve(table.set_column(table.column_names.index("doc"), "doc", pa.array(rank))))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[0][rank], names[1][rank], lo, hi)], ["doc", "dig", "lo", "hi"])
+
+    partial = texts.repartition("gram").sortWithinPartitions("gram", "doc", "dig", "lo").mapInArrow(resolved, "doc long, dig long, lo long, hi long")
+    marks = found.filter("mark").select("doc", "dig", "lo", "hi").union(partial)
+    spans = marks.groupBy(F.col("doc").alias("key"), "dig").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return docs.join(spans, ["key", "dig"], "left")
 
 
 def cover(spans: pa.Array, r: int) -> tuple[np.ndarray, np.ndarray]:

@@ -156,8 +156,8 @@ def repeated_bytes(docs: DataFrame, size: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): bytes under `size`-byte strings that also start earlier go.
 
     Earlier is a smaller doc_id, or an earlier start in the same document; strings overlap and are judged on the input.
-    Null is the empty text. Rows that repeat a doc_id share the spans found for it; equal rows get equal results and do
-    not remove each other. A null doc_id orders first. Other columns are ignored. Empty in, empty out.
+    Null is the empty text. Equal rows get equal results and do not remove each other; different texts of one doc_id are
+    documents of their own, in the order of their digests. A null doc_id orders first. Other columns are ignored. Empty in, empty out.
     """
     spans = repeated(docs, Windows(size, min(GRAM, size), words=False, strict=False), resolver(size))
 

@@ -78,8 +78,9 @@ def resolver(size: int):
 def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): words under windows of `size` words that a smaller doc_id holds go.
 
-    Words are kept as written; windows are judged on the input. Null and blank texts have no words. Rows that repeat a
-    doc_id share the spans found for it and do not remove each other. A null doc_id orders first. Other columns are
+    Words are kept as written; windows are judged on the input. Null and blank texts have no words. Equal rows
+    get equal results and do not remove each other; different texts of one doc_id are documents of their own, in the
+    order of their digests. A null doc_id orders first. Other columns are
     ignored. Empty in, empty out.
     """
     spans = repeated(docs, Windows(size, min(GRAM, size), words=True, strict=True), resolver(size))
