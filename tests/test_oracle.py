@@ -9,7 +9,7 @@ import pytest
 from undertow.plans.catalogue import ORACLES, QUERIES
 
 QUICK = [
-    "n02_normalize_label", "n05_synthetic_clock", "n11_sax_symbol", "d01_inject", "d03_split_map", "d05_split_tags", "d11_split_profile",
+    "n02_normalize_label", "n05_synthetic_clock", "n11_sax_symbol", "n14_attack_family", "d01_inject", "d03_split_map", "d05_split_tags", "d11_split_profile",
     "d12_sequence_windows", "d14_curriculum", "d15_normal_holdout", "g02_exact_quantiles", "c03_f1_max", "c09_grid_sweep", "c10_operating_points",
     "e01_classification_metrics", "e08_roc_coordinates", "e12_score_stats", "h08_record_encoder", "h10_rff_encoder", "h17_encoder_separability",
     "t02_state_scan", "t07_fit_readout", "t11_state_space_scan", "m11_mahalanobis", "m18_lr_boost", "m28_ewma_drift", "m30_ewma_k",

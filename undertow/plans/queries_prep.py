@@ -128,10 +128,11 @@ def n11_sax_symbol(spark, sf):
     return t.select("flow_id", S.sax_symbol("value", mu, sd if sd > 1e-6 else 1.0).alias("symbol"))
 
 
-@query(f"WITH {FLOWS}, raw AS (SELECT flow_id, {_sql_pick(ATTACK_TEXTS)} AS a FROM flows) SELECT flow_id, "
-       + "CASE " + " ".join(
-           f"WHEN lower(a) IN ({', '.join(repr(n) for n in names.split())}) THEN '{fam}'" for fam, names in S.ATTACK_FAMILIES.items())
-       + " END AS family FROM raw")
+_FAMILY_ROWS = ", ".join(f"('{name}', '{family}')" for name, family in S.ATTACK_FAMILIES.items())
+
+
+@query(f"WITH {FLOWS}, raw AS (SELECT flow_id, {_sql_pick(ATTACK_TEXTS)} AS a FROM flows), known(name, family) AS (VALUES {_FAMILY_ROWS}) "
+       "SELECT flow_id, family FROM raw LEFT JOIN known ON lower(a) = name")
 def n14_attack_family(spark, sf):
     return src.events(spark, sf).select("flow_id", S.attack_family(_pick(ATTACK_TEXTS)).alias("family"))
 
