@@ -107,8 +107,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         part = classes.filter(F.col("width") == width)
         n = part.count()
         draw = F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-        sample = part.filter(draw < min(1.0, FIT_ROWS / n)).orderBy(draw, "rep").limit(FIT_ROWS).select("embedding").toPandas()["embedding"]
-        x = np.stack([np.asarray(v, float) for v in sample]) if len(sample) else np.ones((1, width))
+        sample = part.filter(draw < min(1.0, FIT_ROWS / n)).orderBy(draw, "rep").limit(FIT_ROWS).select("embedding").toArrow().column(0).combine_chunks()
+        x = _matrix(sample) if len(sample) else np.ones((1, width))
         x /= np.sqrt((x**2).sum(1))[:, None]
         half = width // 2
         books = codebook(x[:, :half], CODES), codebook(x[:, half:], CODES)
