@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.llm import filter_audit as audit
+from undertow.llm import prefix_trie as trie
 from undertow.llm.extract import extract
 from undertow.llm.langid import predictions
 from undertow.llm.line_dedup import dedup_lines
@@ -87,6 +88,14 @@ def op2_host_suffix_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op12_double_array_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_double_array_conversation_trie"] = trie.SQL
+
+
 @query
 def op13_recursive_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
