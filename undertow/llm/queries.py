@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from undertow.llm import filter_audit as audit
 from undertow.llm import prefix_trie as trie
 from undertow.llm.extract import extract
+from undertow.llm.fingerprint import fingerprints
 from undertow.llm.langid import predictions
 from undertow.llm.line_dedup import dedup_lines
 from undertow.llm.mixing import mix, word_count
@@ -88,6 +89,11 @@ def op2_host_suffix_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_double_array_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
