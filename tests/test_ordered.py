@@ -1,5 +1,7 @@
 """Order-dependent operators: exact under any partitioning, with a key that holds a third of the rows."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -117,3 +119,68 @@ def test_quantiles_with_one_heavy_value(spark):
     v = df.toPandas()["v"]
     qs = [0.01, 0.05, 0.3, 0.5, 0.9]
     assert np.allclose(ordered.exact_quantiles(df, "v", qs, limit=50), np.quantile(v, qs))
+
+
+def _odd_rows(spark):
+    """Null keys, null and NaN times, and one time that most rows share."""
+    rows = [(i, [None, "a", "b"][i % 3], [None, float("nan"), 7.0, 7.0, 7.0, 7.0, float(i)][i % 7], float(i % 5)) for i in range(210)]
+    return spark.createDataFrame(rows, "flow_id long, entity_id string, ts double, value double")
+
+
+@pytest.mark.parametrize("rows_per_slice", [1, 7, 97])
+def test_sliced_order_cuts_the_whole_order(spark, rows_per_slice):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("entity_id").orderBy("ts", "flow_id")
+    for df in (_odd_rows(spark), _odd_rows(spark).withColumn("ts", F.lit(None).cast("double")), _odd_rows(spark).withColumn("ts", F.lit(3.0))):
+        run = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        want = df.select("flow_id", F.lag("flow_id").over(w).alias("p"), F.row_number().over(w).alias("n"), run.alias("r")).collect()
+        got = ordered.sliced_order(df, "entity_id", ["ts", "flow_id"], lags={"p": "flow_id"}, row_number="n", sums={"r": F.col("value")}, rows_per_slice=rows_per_slice)
+        assert sorted(tuple(r) for r in got.select("flow_id", "p", "n", "r").collect()) == sorted(tuple(r) for r in want)
+
+
+def test_a_heavy_time_lies_on_many_slices(spark):
+    df = _odd_rows(spark).withColumn("ts", F.lit(3.0))
+    cut, _ = ordered._with_slices(df, ["ts", "flow_id"], 10)
+    assert max(r["count"] for r in cut.groupBy("_slice").count().collect()) <= 20
+
+
+@pytest.mark.parametrize("partitions", [1, 9, 64])
+def test_null_keys_are_one_key_of_a_scan(spark, partitions):
+    df = _odd_rows(spark).withColumn("ts", F.col("flow_id").cast("double"))
+    named = df.withColumn("entity_id", F.coalesce("entity_id", F.lit("none")))
+    for scan in (lambda d: recurrent.decay_state(d, "value", 0.1, partitions=partitions).select("flow_id", F.round("decayed", 9)),
+                 lambda d: ewma.ewma_drift(d, "value", partitions=partitions).select("flow_id", F.round("ewma_mean", 9), F.round("ewma_var", 9)),
+                 lambda d: ordered.carry_scan(d, memory_fold(), [T.StructField("parity", T.DoubleType()), T.StructField("first", T.DoubleType())], partitions=partitions).select("flow_id", "parity", "first")):
+        assert sorted(map(tuple, scan(df).collect())) == sorted(map(tuple, scan(named).collect()))
+
+
+def _jobs(spark, run) -> int:
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_affine_folds_of_one_key_take_a_fixed_number_of_jobs(spark, hot, hot_pdf):
+    one = hot.withColumn("entity_id", F.lit("only"))
+    pdf = hot_pdf.sort_values(["ts", "flow_id"])
+    cell = recurrent.SSMCell.seeded(2, 3)
+    read = recurrent.columns_reader(["value", "label"], [0.01, 1.0])
+    scans = {
+        "decay": lambda n: recurrent.decay_state(one, "value", 0.001, partitions=n),
+        "ewma": lambda n: ewma.ewma_drift(one, "value", partitions=n),
+        "ssm": lambda n: recurrent.state_scan(one, cell, read, partitions=n),
+    }
+    for name, scan in scans.items():
+        counts = {n: _jobs(spark, lambda n=n: scan(n)) for n in (4, 64)}
+        assert counts[4] == counts[64] <= 8, (name, counts)
+    got = scans["ewma"](64).toPandas().sort_values(["ts", "flow_id"])
+    want = np.array(_ewma_by_hand(pdf["value"], 0.05, 3.0, 0), dtype=float)
+    assert np.allclose(got["ewma_mean"], want[:, 0], rtol=1e-12) and np.allclose(got["ewma_var"], want[:, 1], rtol=1e-11)
+    state, ys = np.zeros((1, 6)), []
+    for x in pdf[["value", "label"]].to_numpy(float) * [0.01, 1.0]:
+        state, y = cell.step(x[None], state)
+        ys.append(y[0])
+    assert np.allclose(np.stack(scans["ssm"](64).toPandas().sort_values(["ts", "flow_id"])["y"]), ys, rtol=1e-10, atol=1e-12)

@@ -171,3 +171,14 @@ def test_first_line_after_many_comments(spark, tmp_path):
     (tmp_path / "none").mkdir()
     (tmp_path / "none" / "log.csv").write_text("# note\n\n")
     assert readers.first_line(spark, str(tmp_path / "none")) == ""
+
+
+def test_flows_without_entity_keep_their_split(spark):
+    rows = [(i, None if i % 5 == 0 else f"e{i % 7}", float(i), 0) for i in range(30)]
+    f = spark.createDataFrame(rows, "flow_id long, entity_id string, ts double, label int")
+    splits = prep.split_map(f)
+    assert splits.count() == splits.select("entity_id").distinct().count() == 8
+    tagged = prep.tag_split(f, splits)
+    assert tagged.count() == 30 and tagged.columns == [*f.columns, "split"]
+    assert tagged.filter("entity_id IS NULL").select("split").distinct().count() == 1
+    assert prep.split_map(f.filter("entity_id IS NULL")).count() == 1

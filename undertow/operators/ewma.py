@@ -20,9 +20,13 @@ FIELDS = [
 
 
 class EwmaFold(Fold):
-    """State: [mean, variance, rows seen up to warm-up + 1]."""
+    """State: [mean, variance, rows seen up to warm-up + 2].
 
-    width = 3
+    The mean is an affine map of the mean before. The variance is one of the variance before; where the mean began
+    elsewhere it differs by the spread between the old rows and the new ones, as in pooling two groups.
+    """
+
+    width, affine = 3, True
 
     def __init__(self, value: str, alpha: float, k: float, warmup: int, initial: float):
         self.value, self.alpha, self.k, self.warmup, self.initial = value, alpha, k, warmup, initial
@@ -36,13 +40,42 @@ class EwmaFold(Fold):
         first = count == 0
         diff = d - mean
         new_mean = np.where(first, d, mean + self.alpha * diff)
-        new_var = np.where(first, 0.0, (1 - self.alpha) * (var + self.alpha * diff**2))
+        new_var = np.where(first, 0.0, (1 - self.alpha) * (var + self.alpha * (diff * diff)))
         new_count = np.minimum(count + 1, self.warmup + 2)
         threshold = np.where(first, self.initial, new_mean + self.k * np.sqrt(new_var))
         early = (d > self.initial) if (self.warmup == 0 and self.initial < 1.0) else np.zeros(len(d), dtype=bool)
         hit = np.where(first, early, (d > threshold) & (new_count > self.warmup))
         return np.column_stack([new_mean, new_var, new_count]), [new_mean, new_var, threshold, hit]
 
+    def walk(self, state, rows):
+        """A key that has begun: the same sums on plain numbers."""
+        alpha, rest = self.alpha, 1 - self.alpha
+        mean, var = float(state[0]), float(state[1])
+        means, variances = [], []
+        for d in rows[0].tolist():
+            diff = d - mean
+            mean = mean + alpha * diff
+            var = rest * (var + alpha * (diff * diff))
+            means.append(mean)
+            variances.append(var)
+        means, variances = np.array(means), np.array(variances)
+        count = np.minimum(state[2] + 1 + np.arange(len(means)), self.warmup + 2)
+        threshold = means + self.k * np.sqrt(variances)
+        hit = (rows[0] > threshold) & (count > self.warmup)
+        return [means, variances, threshold, hit], np.array([mean, var, count[-1]])
+
+    def opening(self, first):
+        return np.array([[first[0][0], 0.0, self.warmup + 2.0]])
+
+    def gain(self, rows):
+        return np.array([float(len(rows[0]))])
+
+    def moved(self, start, opened, gain, end):
+        left = (1.0 - self.alpha) ** gain[0]
+        off = start[0] - opened[0]
+        spread = left * off * ((1.0 - left) * (start[0] + opened[0]) - 2.0 * (end[0] - left * opened[0]))
+        return np.array([end[0] + left * off, max(left * start[1] + end[1] + spread, 0.0), min(start[2] + gain[0], self.warmup + 2.0)])
+
     def outputs(self, arrays):
         return [pa.array(a) for a in arrays]
 

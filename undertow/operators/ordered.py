@@ -6,14 +6,15 @@ Three tools, all exact:
 * ``sliced_order``: lag, row number and running sums inside each key. A key's rows are cut into time
   slices; each slice is one window group and a small slice table carries what crosses a border.
 * ``carry_scan``: a sequential fold inside each key. Rows are range partitioned by (key, order), so a
-  hot key lies on many partitions; the folds of those partitions run in parallel from guessed start
-  states and are repeated only where a predecessor's end state differs from the guess.
+  hot key lies on many partitions; the folds of those partitions run in parallel. Affine folds are composed over the
+  partitions in one pass; others start from guessed states and are repeated only where a predecessor's end differs.
 * ``exact_quantiles`` / ``value_at_rank``: order statistics by narrowing, no sort and no collected column.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from undertow.session import cut_lineage
 
 ROWS_PER_SLICE = 2_000_000
+NARROW = 8  # keys up to which plain numbers are faster than arrays
 FOLD_ROWS = 32_768  # rows folded side by side; more rows hold more keys, so steps are wider
 
 
@@ -103,18 +105,45 @@ def row_numbers(df: DataFrame, order: list[Column | str], name: str = "row_num")
 # --------------------------------------------------------------------------- order inside keys
 
 
-def _with_slices(df: DataFrame, by: str, rows_per_slice: int) -> tuple[DataFrame, int]:
-    """Add _slice, the time slice a row falls in; slices hold about rows_per_slice rows over all keys."""
+def _number(by: str) -> Column:
+    """A column as a number for cutting: null orders before, NaN after every number, as in the window."""
+    number = F.col(by).cast("double")
+    return F.when(number.isNull(), float("-inf")).when(F.isnan(number), float("inf")).otherwise(number)
+
+
+def _with_slices(df: DataFrame, order: list[str], rows_per_slice: int) -> tuple[DataFrame, int]:
+    """Add _slice, where in the order a row falls; slices hold about rows_per_slice rows over all keys.
+
+    Slices are cut on the first column. A value of it that fills several slices is cut further by the second one, if that
+    is a number: into parts of equal width between its least and largest value there.
+    """
     slices = max(1, math.ceil(df.count() / rows_per_slice))
+    whole = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("at", "side", "part")])
     if slices == 1:
-        return df.withColumn("_slice", F.lit(0.0)), 1
-    # null orders before, NaN after every number, as in the window
-    number = F.col(by).cast("double")
-    numeric = F.when(number.isNull(), float("-inf")).when(F.isnan(number), float("inf")).otherwise(number)
-    edges = df.agg(F.percentile_approx(numeric, [i / slices for i in range(1, slices)], 10 * slices)).first()[0]
+        return df.withColumn("_slice", whole), 1
+    edges = df.agg(F.percentile_approx(_number(order[0]), [i / slices for i in range(1, slices)], 10 * slices)).first()[0]
     bounds = [float("-inf"), *sorted({e for e in edges if math.isfinite(e)}), float("inf")]
-    cut = Bucketizer(splits=bounds, inputCol="_by", outputCol="_slice")
-    return cut.transform(df.withColumn("_by", numeric)).drop("_by"), slices
+    at = F.lit(0).cast("long")
+    work = df.withColumn("_by", _number(order[0]))
+    if len(bounds) > 2:
+        work = Bucketizer(splits=bounds, inputCol="_by", outputCol="_bucket").transform(work)
+        at = F.col("_bucket").cast("long")
+    fills = Counter(edges)
+    heavy = [v for v, n in fills.items() if n > 1]
+    side, part = F.lit(1), F.lit(0).cast("long")
+    if heavy and len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.NumericType):
+        inner = F.col(order[1]).cast("double")
+        found = work.filter(F.col("_by").isin(heavy)).groupBy("_by").agg(F.min(inner).alias("_lo"), F.max(inner).alias("_hi"))
+        rows = [(r["_by"], r["_lo"], r["_hi"], 2.0 * fills[r["_by"]]) for r in found.collect() if r["_lo"] is not None and r["_lo"] < r["_hi"]]
+        if rows:  # no more rows than slices
+            spans = df.sparkSession.createDataFrame(rows, "_heavy double, _lo double, _hi double, _parts double")
+            work = work.join(F.broadcast(spans), F.col("_by") == F.col("_heavy"), "left")
+            share = F.floor((_number(order[1]) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts"))
+            part = F.when(F.col("_heavy").isNull(), 0).when(F.col(order[1]).isNull(), -1).when(F.isnan(inner), F.col("_parts") + 1).otherwise(share).cast("long")
+            # a value is an edge, so the others of its slice come after it; infinity alone ends one
+            side = F.when(F.col("_heavy").isNull(), 1).when(F.col("_by") == float("inf"), 2).otherwise(0)
+    cut = work.withColumn("_slice", F.struct(at.alias("at"), side.cast("long").alias("side"), part.alias("part")))
+    return cut.drop("_by", "_bucket", "_heavy", "_lo", "_hi", "_parts"), slices
 
 
 def sliced_order(
@@ -128,12 +157,12 @@ def sliced_order(
 ) -> DataFrame:
     """lag(1), row number and running sums per key, with a hot key spread over its slices.
 
-    `order[0]` must be numeric; the rest breaks ties. `lags` maps output name to input column.
+    `order[0]` must be numeric; the rest breaks ties. `lags` maps output name to input column. Null keys are one key.
     """
     keys = [key] if isinstance(key, str) else list(key)
     lags, sums = lags or {}, sums or {}
     work = df.withColumns({f"_s_{n}": c for n, c in sums.items()}) if sums else df
-    work, slices = _with_slices(work, order[0], rows_per_slice)
+    work, slices = _with_slices(work, list(order), rows_per_slice)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = {out: F.lag(src).over(inside) for out, src in lags.items()}
@@ -188,9 +217,15 @@ class Fold:
 
     `width` is the state length. `inputs` turns an Arrow batch into per-row arrays once; `step` advances
     a set of keys by one row each and returns (new states, list of per-row outputs).
+
+    A fold whose end state is an affine map of its start state sets `affine` and says what a run that was read from an
+    `opening` state would have ended at, had it begun at another: so one pass and a prefix over partitions suffice.
     """
 
     width: int
+    affine = False
+    #: Optional: (state, rows of one key) -> (outputs, end state), row by row and bit for bit as `step` would.
+    walk: Callable | None = None
 
     def start(self, n: int) -> np.ndarray:
         return np.zeros((n, self.width))
@@ -204,38 +239,65 @@ class Fold:
     def outputs(self, arrays: list[np.ndarray]) -> list[pa.Array]:
         raise NotImplementedError
 
+    def run(self, rows: tuple[np.ndarray, ...], starts: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Per-row outputs, and the end state of each run, of runs that begin at `starts` in the states given."""
+        total = int(lengths.sum())
+        by_length = np.argsort(-lengths, kind="stable")
+        starts_s, lengths_s = starts[by_length], lengths[by_length]
+        state = state[by_length]
+        outs: list[np.ndarray] | None = None
+        active = len(starts_s)
+        for t in range(int(lengths_s[0])):
+            while active and lengths_s[active - 1] <= t:
+                active -= 1
+            if active <= NARROW and t and self.walk is not None:
+                for i in range(active):
+                    stretch = slice(starts_s[i] + t, starts_s[i] + lengths_s[i])
+                    produced, state[i] = self.walk(state[i], tuple(r[stretch] for r in rows))
+                    for o, p in zip(outs, produced):
+                        o[stretch] = p
+                break
+            at = starts_s[:active] + t
+            new, produced = self.step(state[:active], tuple(r[at] for r in rows))
+            state[:active] = new
+            if outs is None:
+                outs = [np.empty((total, *p.shape[1:]), dtype=p.dtype) for p in produced]
+            for o, p in zip(outs, produced):
+                o[at] = p
+        ends = np.empty_like(state)
+        ends[by_length] = state
+        return outs, ends
+
+    # for affine folds only
+
+    def opening(self, first: tuple[np.ndarray, ...]) -> np.ndarray:
+        """State (1 row) to read a run from while its own is unknown; `first` holds the run's first row."""
+        raise NotImplementedError
+
+    def gain(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        """What `moved` must know of a stretch of rows; gains of stretches add up."""
+        raise NotImplementedError
+
+    def moved(self, start: np.ndarray, opened: np.ndarray, gain: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """End of a run from `start`, given its end from `opened`."""
+        raise NotImplementedError
+
 
 def _runs(keys: pa.Array) -> np.ndarray:
-    """Start offsets of equal-key runs in a sorted key column."""
-    codes = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    """Start offsets of equal-key runs in a sorted key column; nulls are equal."""
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
     return np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
 
 
-def fold_batch(fold: Fold, batch: pa.RecordBatch, key: str, first: np.ndarray | None):
+def fold_batch(fold: Fold, batch: pa.RecordBatch, key: str, first: np.ndarray | None, rows: tuple[np.ndarray, ...] | None = None):
     """Fold all runs of a batch side by side; `first` is the state carried into the first run."""
     starts = _runs(batch.column(key))
-    lengths = np.diff(np.concatenate([starts, [batch.num_rows]]))
     state = fold.start(len(starts))
     if first is not None:
         state[0] = first
-    rows = fold.inputs(batch)
-    by_length = np.argsort(-lengths, kind="stable")
-    starts_s, lengths_s = starts[by_length], lengths[by_length]
-    state = state[by_length]
-    outs: list[np.ndarray] | None = None
-    active = len(starts_s)
-    for t in range(int(lengths_s[0])):
-        while active and lengths_s[active - 1] <= t:
-            active -= 1
-        at = starts_s[:active] + t
-        new, produced = fold.step(state[:active], tuple(r[at] for r in rows))
-        state[:active] = new
-        if outs is None:
-            outs = [np.empty((batch.num_rows, *p.shape[1:]), dtype=p.dtype) for p in produced]
-        for o, p in zip(outs, produced):
-            o[at] = p
-    last_run = int(np.flatnonzero(by_length == len(starts) - 1)[0])
-    return outs, state[last_run].copy()
+    lengths = np.diff(np.append(starts, batch.num_rows))
+    outs, ends = fold.run(fold.inputs(batch) if rows is None else rows, starts, lengths, state)
+    return outs, ends[-1].copy()
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -254,17 +316,16 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
 
 def _fold_partition(fold: Fold, batches, key: str, carried: dict):
     """Yield (batch, outputs, end state, last key) over one partition, streaming."""
-    held_key, held = None, None
+    begun, held_key, held = False, None, None
     for batch in _gathered(batches, FOLD_ROWS):
         first_key = batch.column(key)[0].as_py()
-        if held_key is None:
-            pid = batch.column("_pid")[0].as_py()
-            carry = carried.get(pid)
+        if not begun:
+            carry = carried.get(batch.column("_pid")[0].as_py())
             first = np.frombuffer(carry).copy() if carry is not None else None
         else:
             first = held if first_key == held_key else None
         outs, held = fold_batch(fold, batch, key, first)
-        held_key = batch.column(key)[batch.num_rows - 1].as_py()
+        begun, held_key = True, batch.column(key)[batch.num_rows - 1].as_py()
         yield batch, outs, held, held_key
 
 
@@ -277,11 +338,11 @@ def carry_scan(
     keep: list[str] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Run `fold` over each key's rows in order and append its outputs to every row."""
+    """Run `fold` over each key's rows in order and append its outputs to every row. Null keys are one key."""
     laid = range_layout(df, [key, *order], partitions)
-    borders = sorted(
-        laid.groupBy("_pid").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect(), key=lambda r: r["_pid"]
-    )
+    # within a struct, null orders before every key
+    least, most = F.min(F.struct(F.col(key).alias("k")))["k"], F.max(F.struct(F.col(key).alias("k")))["k"]
+    borders = sorted(laid.groupBy("_pid").agg(least.alias("lo"), most.alias("hi")).collect(), key=lambda r: r["_pid"])
     carried = _border_states(laid, fold, key, borders)
     kept = keep if keep is not None else [c for c in df.columns]
     schema = T.StructType([laid.schema[c] for c in kept] + out_fields)
@@ -298,34 +359,79 @@ def carry_scan(
 def _border_states(laid: DataFrame, fold: Fold, key: str, borders: list) -> dict[int, bytes]:
     """State to start each partition's first key with, for keys that began on an earlier partition.
 
-    Only rows of border keys are folded, and only partitions whose start state was wrong are folded
-    again. One state per partition comes to the driver.
+    Only rows of keys that cross a border are folded here; they are few unless keys are hot. One state per partition
+    comes to the driver.
     """
-    follows = {
-        nxt["_pid"]: cur["_pid"] for cur, nxt in zip(borders, borders[1:]) if cur["hi"] == nxt["lo"]
-    }
+    follows = {nxt["_pid"]: cur["_pid"] for cur, nxt in zip(borders, borders[1:]) if cur["hi"] == nxt["lo"]}
     if not follows:
         return {}
+    crossing = {b["hi"] for b in borders if b["_pid"] in set(follows.values())}
+    inside = F.col(key).isin([k for k in crossing if k is not None])
+    if None in crossing:
+        inside = F.coalesce(inside, F.lit(False)) | F.col(key).isNull()
+    rows = laid.filter(inside)
     single = {b["_pid"] for b in borders if b["lo"] == b["hi"]}
-    border_keys = sorted({b["hi"] for b in borders if b["_pid"] in set(follows.values())})
-    rows = laid.filter(F.col(key).isin(border_keys))
     last_key = {b["_pid"]: b["hi"] for b in borders}
+    if fold.affine:
+        return _composed_states(rows, fold, key, follows, single, last_key)
+    return _settled_states(rows, fold, key, follows, single, last_key)
+
+
+def _tails(rows: DataFrame, fold: Fold, key: str, last_key: dict, wanted: set[int], known: dict[int, bytes], unknown: set[int]) -> list:
+    """(pid, state, opened, gain) of the last run of each wanted partition: its end state from what is known of its start,
+    or from an opening state where that is not known."""
+
+    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, held_key, held, opened, gain = None, None, None, None, None
+        for batch in _gathered(batches, FOLD_ROWS):
+            rows = fold.inputs(batch)
+            first = held if held is not None and batch.column(key)[0].as_py() == held_key else None
+            if pid is None:
+                pid = batch.column("_pid")[0].as_py()
+                if pid in unknown:
+                    first = opened = fold.opening(tuple(r[:1] for r in rows))[0]
+                elif pid in known:
+                    first = np.frombuffer(known[pid])
+            _, held = fold_batch(fold, batch, key, first, rows)
+            held_key = batch.column(key)[batch.num_rows - 1].as_py()
+            if opened is not None:
+                more = fold.gain(rows)
+                gain = more if gain is None else gain + more
+        if pid in wanted and held_key == last_key[pid]:
+            parts = [None if x is None else np.ascontiguousarray(x, float).tobytes() for x in (held, opened, gain)]
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), *[pa.array([p], pa.binary()) for p in parts]], names=["pid", "state", "opened", "gain"])
+
+    return rows.filter(F.col("_pid").isin(sorted(wanted))).mapInArrow(tail, "pid int, state binary, opened binary, gain binary").collect()
+
+
+def _composed_states(rows: DataFrame, fold: Fold, key: str, follows: dict[int, int], single: set[int], last_key: dict) -> dict[int, bytes]:
+    """Two passes, however many partitions a key fills. In the first, a partition whose start is not known is read from an
+    opening state; the ends are then moved, partition by partition, on the driver. The second folds those partitions from
+    these starts row by row, so that what moving has rounded differently fades as the fold forgets."""
+    wanted = set(follows.values())
+    unknown = {p for p in wanted if p in single and p in follows}
+    ends = {}
+    found = {r["pid"]: r for r in _tails(rows, fold, key, last_key, wanted, {}, unknown)}
+    carried: dict[int, bytes] = {}
+    for pid in sorted(follows):
+        before = found[follows[pid]]
+        end = bytes(before["state"])
+        if before["opened"] is not None:
+            end = fold.moved(*(np.frombuffer(x) for x in (carried[before["pid"]], before["opened"], before["gain"], before["state"]))).tobytes()
+        carried[pid] = ends[before["pid"]] = end
+    if unknown:
+        ends |= {r["pid"]: bytes(r["state"]) for r in _tails(rows, fold, key, last_key, unknown, carried, set())}
+    return {pid: ends[before] for pid, before in follows.items()}
+
+
+def _settled_states(rows: DataFrame, fold: Fold, key: str, follows: dict[int, int], single: set[int], last_key: dict) -> dict[int, bytes]:
+    """Rounds: only partitions whose start state was wrong are folded again, over rows that were cut out once."""
+    rows = cut_lineage(rows)
     carried: dict[int, bytes] = {}
     ends: dict[int, bytes] = {}
     todo = set(follows.values())
     while todo:
-        wanted, known = sorted(todo), dict(carried)
-
-        def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pid, held, held_key = None, None, None
-            for batch, _, held, held_key in _fold_partition(fold, batches, key, known):
-                pid = batch.column("_pid")[0].as_py()
-            if pid is not None and held_key == last_key[pid]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([pid], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["pid", "state"]
-                )
-
-        found = rows.filter(F.col("_pid").isin(wanted)).mapInArrow(tail, "pid int, state binary").collect()
+        found = _tails(rows, fold, key, last_key, todo, carried, set())
         ends.update({r["pid"]: bytes(r["state"]) for r in found})
         changed = set()
         for pid, before in follows.items():

@@ -145,13 +145,15 @@ def split_map(
     seed: int = 42,
     pinned=RESERVED_ENTITIES,
 ) -> DataFrame:
-    """(entity_id, split): entities ranked by a seeded hash and cut at exact counts; pinned ones are test."""
+    """(entity_id, split): entities ranked by a seeded hash and cut at exact counts; pinned ones are test.
+
+    A null entity is an entity like others; it ranks first.
+    """
     if abs(sum(ratios) - 1.0) > 1e-9:
         raise ValueError("split ratios must sum to 1")
     entities = df.select("entity_id").distinct()
-    free = entities.filter(~F.col("entity_id").isin(*pinned)).withColumn(
-        "_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("entity_id")))
-    )
+    held = F.coalesce(F.col("entity_id").isin(*pinned), F.lit(False))
+    free = entities.filter(~held).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("entity_id"))))
     n = free.count()
     train_cut, val_cut = cut_points(n, ratios[0], ratios[1])
     ranked = ordered.row_numbers(free, ["_h", "entity_id"], "_rank")
@@ -159,14 +161,13 @@ def split_map(
         "entity_id",
         F.when(F.col("_rank") <= train_cut, "train").when(F.col("_rank") <= val_cut, "val").otherwise("test").alias("split"),
     )
-    return named.unionByName(
-        entities.filter(F.col("entity_id").isin(*pinned)).select("entity_id", F.lit("test").alias("split"))
-    )
+    return named.unionByName(entities.filter(held).select("entity_id", F.lit("test").alias("split")))
 
 
 def tag_split(df: DataFrame, splits: DataFrame) -> DataFrame:
-    """Attach each flow's split; the entity table is broadcast only when its size was checked."""
-    return df.join(broadcast_if_small(splits), "entity_id")
+    """Attach each flow's split, that of null to flows without entity; the entity table is broadcast only when its size was checked."""
+    named = broadcast_if_small(splits.withColumnRenamed("entity_id", "_entity"))
+    return df.join(named, F.col("entity_id").eqNullSafe(F.col("_entity"))).drop("_entity")
 
 
 def split_entities(df: DataFrame, ratios=(0.70, 0.15, 0.15), seed: int = 42, pinned=RESERVED_ENTITIES) -> DataFrame:

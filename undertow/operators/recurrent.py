@@ -120,10 +120,14 @@ class SSMCell:
             np.ones(inputs),
         )
 
+    def delta(self, x: np.ndarray) -> np.ndarray:
+        """Step length of each input, from the row itself."""
+        return np.logaddexp(0.0, x @ self.w_delta + self.b_delta)
+
     def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, width, size = len(x), x.shape[1], len(self.a)
         h = state.reshape(n, width, size)
-        delta = np.logaddexp(0.0, x @ self.w_delta + self.b_delta)
+        delta = self.delta(x)
         drive = delta[:, :, None] * (x @ self.w_b)[:, None, :] * x[:, :, None]
         h = np.exp(delta[:, :, None] * self.a) * h + drive
         y = (h * (x @ self.w_c)[:, None, :]).sum(-1) + x * self.d
@@ -239,6 +243,8 @@ class LSTMFold(Fold):
 
 
 class SSMFold(Fold):
+    affine = True
+
     def __init__(self, cell: SSMCell, read: Reader):
         self.cell, self.read = cell, read
         self.width = len(cell.d) * len(cell.a)
@@ -250,14 +256,23 @@ class SSMFold(Fold):
         new, y = self.cell.step(rows[0], state)
         return new, [y]
 
+    def opening(self, first):
+        return np.zeros((1, self.width))
+
+    def gain(self, rows):
+        return self.cell.delta(rows[0]).sum(0)
+
+    def moved(self, start, opened, gain, end):
+        return end + np.exp(gain[:, None] * self.cell.a).reshape(-1) * start
+
     def outputs(self, arrays):
         return [vectors.list_column(arrays[0])]
 
 
 class DecayFold(Fold):
-    """s' = exp(-rate dt) s + x."""
+    """s' = exp(-rate dt) s + x. State: [s, last ts, started]."""
 
-    width = 3
+    width, affine = 3, True
 
     def __init__(self, value: str, rate: float, ts: str = "ts"):
         self.value, self.rate, self.ts = value, rate, ts
@@ -270,6 +285,24 @@ class DecayFold(Fold):
         s = np.exp(-self.rate * _gap(state, ts)) * state[:, 0] + x
         return np.column_stack([s, ts, np.ones(len(ts))]), [s]
 
+    def walk(self, state, rows):
+        x, ts = rows
+        kept = np.exp(-self.rate * np.maximum(ts - np.r_[state[1], ts[:-1]], 0.0))
+        s, out = float(state[0]), []
+        for a, b in zip(kept.tolist(), x.tolist()):
+            s = a * s + b
+            out.append(s)
+        return [np.array(out)], np.array([s, ts[-1], 1.0])
+
+    def opening(self, first):
+        return np.array([[0.0, first[1][0], 1.0]])
+
+    def gain(self, rows):
+        return np.zeros(1)
+
+    def moved(self, start, opened, gain, end):
+        return np.array([end[0] + np.exp(-self.rate * max(end[1] - start[1], 0.0)) * start[0], end[1], 1.0])
+
     def outputs(self, arrays):
         return [pa.array(arrays[0])]
 
