@@ -100,3 +100,34 @@ def test_small_experiment_and_modes(spark, sf):
 def test_families_follow_column_names():
     fams = study.families(["proto", "state", "flag"], ["sbytes", "spkts", "dur"])
     assert fams["TCP/state"] == (["state", "flag"], []) and fams["Bytes"] == ([], ["sbytes"]) and fams["Duration/timing"] == ([], ["dur"])
+
+
+def test_every_row_of_a_shuffled_stream_comes_out(spark):
+    """Null entities, a null time, rows behind the watermark: all are given back, each once."""
+    rows = [(i, [None, "a", "b"][i % 3], float(i * 60), float(i % 9)) for i in range(300)] + [(1000, "a", None, 1.0)]
+    df = spark.createDataFrame(rows, "flow_id long, entity_id string, ts double, value double")
+    df = df.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+    mixed = df.withColumn("arrival", F.when(F.col("flow_id") == 5, 1e9).otherwise(F.col("flow_id") - F.col("flow_id") % 7 * 2))
+    path = live.stage_stream(mixed, order="arrival", chunks=3)
+    live.end_stream(path, mixed.schema, spark)
+    stream = live.stream_flows(spark, path, mixed.schema, files_per_trigger=1).drop("arrival")
+    out = live.run_bounded(live.stream_ewma(stream, "value", delay="20 minutes"), spark)
+    got = {r["flow_id"]: r for r in out.collect()}
+    assert out.count() == len(got) == 301
+    assert sorted(i for i, r in got.items() if r["late"]) == [5, 1000]
+    want = ewma.ewma_drift(df.drop("event_time").filter("flow_id NOT IN (5, 1000)"), "value").collect()
+    assert all(got[r["flow_id"]]["ewma_var"] == r["ewma_var"] for r in want)
+
+
+def test_backlog_of_a_stream_equals_the_batch_one(spark):
+    from undertow.operators import prep
+
+    rows = [(i, f"e{i % 40}" if i % 11 else None, float(i % 50), 0.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "flow_id long, entity_id string, ts double, value double")
+    for capacity in (1, 30, 1000):
+        path = live.stage_stream(df, order="flow_id", chunks=3)
+        live.end_stream(path, df.schema, spark)
+        out = live.run_bounded(live.stream_backlog(live.stream_flows(spark, path, df.schema, files_per_trigger=1), capacity), spark)
+        kept, dropped = live.settled_backlog(out, capacity)
+        want, lost = prep.keep_latest(df, capacity)
+        assert dropped == lost and {r["flow_id"] for r in kept.collect()} == {r["flow_id"] for r in want.collect()}

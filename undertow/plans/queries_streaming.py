@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from undertow.operators import evaluate, ewma, recurrent
+from undertow.operators import evaluate, recurrent, scoring
 from undertow.plans import experiment, study
 from undertow.plans import flows as src
 from undertow.plans.queries_prep import STATES, _CEF, _decisions, _tagged
@@ -65,38 +65,118 @@ def _shown(df):
     return df.select("entity_id", F.unix_seconds("window_start").alias("window_start"), "row_count", "alerts", "max_score")
 
 
-@query(f"WITH {FLOWS} SELECT entity_id, CAST(floor(floor(ts) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS row_count, count(*) FILTER (value >= 50) AS alerts, max(value) AS max_score FROM flows GROUP BY 1, 2")
+_TUMBLING = f"WITH {FLOWS} SELECT entity_id, CAST(floor(floor(ts) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS row_count, count(*) FILTER (value >= 50) AS alerts, max(value) AS max_score FROM flows GROUP BY 1, 2"
+_SLIDING = f"WITH {FLOWS}, w AS (SELECT *, CAST((floor(floor(ts) / 1800) - j) * 1800 AS BIGINT) AS window_start FROM flows, range(0, 2) g(j)) SELECT entity_id, window_start, count(*) AS row_count, count(*) FILTER (value >= 50) AS alerts, max(value) AS max_score FROM w GROUP BY 1, 2"
+_SESSION = f"""WITH {FLOWS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < 1800 THEN 0 ELSE 1 END AS fresh FROM flows WINDOW w AS (PARTITION BY entity_id ORDER BY ts, flow_id)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY entity_id ORDER BY ts, flow_id) AS sid FROM g)
+ SELECT entity_id, CAST(floor(min(ts)) AS BIGINT) AS window_start, count(*) AS row_count, count(*) FILTER (value >= 50) AS alerts, max(value) AS max_score FROM s GROUP BY entity_id, sid"""
+
+
+@query(_TUMBLING)
 def r11_tumbling_windows(spark, sf):
     return _shown(live.alert_windows(_decided(src.events(spark, sf)), "1 hour"))
 
 
-@query(f"WITH {FLOWS}, w AS (SELECT *, CAST((floor(floor(ts) / 1800) - j) * 1800 AS BIGINT) AS window_start FROM flows, range(0, 2) g(j)) SELECT entity_id, window_start, count(*) AS row_count, count(*) FILTER (value >= 50) AS alerts, max(value) AS max_score FROM w GROUP BY 1, 2")
+@query(_SLIDING)
 def r11_sliding_windows(spark, sf):
     return _shown(live.alert_windows(_decided(src.events(spark, sf)), "1 hour", slide="30 minutes"))
 
 
-@query(f"""WITH {FLOWS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < 1800 THEN 0 ELSE 1 END AS fresh FROM flows WINDOW w AS (PARTITION BY entity_id ORDER BY ts, flow_id)),
- s AS (SELECT *, sum(fresh) OVER (PARTITION BY entity_id ORDER BY ts, flow_id) AS sid FROM g)
- SELECT entity_id, CAST(floor(min(ts)) AS BIGINT) AS window_start, count(*) AS row_count, count(*) FILTER (value >= 50) AS alerts, max(value) AS max_score FROM s GROUP BY entity_id, sid""")
+@query(_SESSION)
 def r11_session_windows(spark, sf):
     return _shown(live.alert_windows(_decided(src.events(spark, sf)), "", gap="30 minutes"))
 
 
-@query(f"""WITH {FLOWS} SELECT CAST(0 AS BIGINT) AS wrong, TRUE AS in_order, TRUE AS once""")
-def r10_reordered_parity(spark, sf):
-    """Events replayed with each block of ten reversed: released rows match batch and none is repeated."""
-    f = src.events(spark, sf).select("flow_id", "entity_id", "ts", "value")
-    mixed = f.withColumns({
-        "event_time": F.timestamp_micros((F.col("ts") * 1e6).cast("long")),
-        "arrival": F.floor(F.col("flow_id") / 10) * 10 + 9 - F.col("flow_id") % 10})
+def _windows_of_stream(spark, sf, **frame):
+    """Windows in append mode; a row far behind the last one moves the watermark past all of them."""
+    d = _decided(src.events(spark, sf))
+    path = live.stage_stream(d, order="event_time", chunks=4)
+    far = d.agg(F.max("event_time") + F.expr("INTERVAL 30 days")).first()[0]
+    live.end_stream(path, d.schema, spark, buckets=1, event_time=far)
+    stream = live.stream_flows(spark, path, d.schema, files_per_trigger=1)
+    return _shown(live.run_bounded(live.stream_alert_windows(stream, "10 minutes", **frame), spark))
+
+
+@query(_TUMBLING)
+def r11_stream_tumbling(spark, sf):
+    return _windows_of_stream(spark, sf, size="1 hour")
+
+
+@query(_SLIDING)
+def r11_stream_sliding(spark, sf):
+    return _windows_of_stream(spark, sf, size="1 hour", slide="30 minutes")
+
+
+@query(_SESSION)
+def r11_stream_sessions(spark, sf):
+    return _windows_of_stream(spark, sf, gap="30 minutes")
+
+
+def _replayed(spark, mixed, **kw):
+    """Rows in order of `arrival`, then the end of the stream, through the reordering scan."""
     path = live.stage_stream(mixed, order="arrival")
+    live.end_stream(path, mixed.schema, spark)
     s = live.stream_flows(spark, path, mixed.schema, files_per_trigger=1).drop("arrival")
-    out = live.run_bounded(live.stream_ewma(s, "value", warmup=3, delay="2 hours"), spark)
-    batch = ewma.ewma_drift(f, "value", warmup=3).select("flow_id", F.col("ewma_var").alias("v"))
-    both = out.filter(~F.col("late")).join(batch, "flow_id")
-    wrong = both.filter(F.abs(F.col("ewma_var") - F.col("v")) > 1e-6)
-    n, ids, late = out.agg(F.count(F.lit(1)), F.count_distinct("flow_id"), F.sum(F.col("late").cast("long"))).first()
-    return wrong.agg(F.count(F.lit(1)).alias("wrong")).select("wrong", F.lit(late == 0).alias("in_order"), F.lit(n == ids).alias("once"))
+    return live.run_bounded(live.stream_ewma(s, "value", delay="2 days", **kw), spark)
+
+
+def _with_event_time(f):
+    return f.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+
+
+def _released(out):
+    return rounded(out.select("flow_id", "ewma_mean", "ewma_var", "is_anomaly", "late"), "ewma_mean", "ewma_var")
+
+
+@query(ewma_sql(warmup=3, value="ln(1 + value)") + f" SELECT flow_id, {r('mean')} AS ewma_mean, {r('var')} AS ewma_var, hit AS is_anomaly, FALSE AS late FROM walk")
+def r10_reordered_parity(spark, sf):
+    """Events replayed with each block of ten reversed: every row comes out once, with the numbers of the ordered pass."""
+    f = _with_event_time(src.events(spark, sf).select("flow_id", "entity_id", "ts", F.log1p("value").alias("value")))
+    mixed = f.withColumn("arrival", F.floor(F.col("flow_id") / 10) * 10 + 9 - F.col("flow_id") % 10)
+    return _released(_replayed(spark, mixed, warmup=3))
+
+
+#: Every 50th event of the first fifth of the time comes with the last ones.
+_LATE = "flow_id % 50 = 7 AND ts < (SELECT min(ts) + 0.2 * (max(ts) - min(ts)) FROM flows)"
+
+
+@query(ewma_sql(warmup=3, value="ln(1 + value)").replace("FROM flows)", f"FROM flows WHERE NOT ({_LATE}))", 1)
+       + f" SELECT flow_id, {r('mean')} AS ewma_mean, {r('var')} AS ewma_var, hit AS is_anomaly, FALSE AS late FROM walk UNION ALL SELECT flow_id, NULL, NULL, NULL, TRUE FROM flows WHERE {_LATE}")
+def r10_late_rows(spark, sf):
+    """Rows that come after their time was released are given back as late; the others are folded as if they had never been."""
+    f = _with_event_time(src.events(spark, sf).select("flow_id", "entity_id", "ts", F.log1p("value").alias("value")))
+    lo, hi = f.agg(F.min("ts"), F.max("ts")).first()
+    late = (F.col("flow_id") % 50 == 7) & (F.col("ts") < lo + 0.2 * (hi - lo))
+    return _released(_replayed(spark, f.withColumn("arrival", F.when(late, hi + 1).otherwise(F.col("ts"))), warmup=3))
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, entity_id, value, (SELECT greatest(count(*) - 500, 0) FROM flows) AS dropped FROM flows QUALIFY row_number() OVER (ORDER BY ts DESC, flow_id DESC) <= 500")
+def d19_stream_backlog(spark, sf):
+    f = src.events(spark, sf).select("flow_id", "entity_id", "ts", "value")
+    path = live.stage_stream(f)
+    live.end_stream(path, f.schema, spark)
+    out = live.run_bounded(live.stream_backlog(live.stream_flows(spark, path, f.schema, files_per_trigger=1), 500), spark)
+    kept, dropped = live.settled_backlog(out, 500)
+    return kept.select("flow_id", "entity_id", "value", F.lit(dropped).cast("long").alias("dropped"))
+
+
+@query(f"WITH {FLOWS} SELECT count(*) AS input_rows, CAST(4 AS BIGINT) AS batches, TRUE AS rated FROM flows")
+def r07_stream_rates(spark, sf):
+    """Progress of a bounded stream of four files, from the listener's table."""
+    with live.rate_table(spark) as listener:
+        live.run_bounded(_stream(spark, sf), spark)
+    fed = listener.rates().filter("input_rows > 0")
+    rated = (F.col("processed_rate") > 0) & (F.col("duration_ms") > 0)
+    return fed.agg(F.sum("input_rows").alias("input_rows"), F.count_distinct("batch_id").alias("batches"), F.every(rated).alias("rated"))
+
+
+@query(_cfc_sql() + f", s AS (SELECT flow_id, h[1] + 2.0 * h[2] AS score FROM walk WHERE rn > 0) SELECT flow_id, {r('score')} AS drift_score, round(score, 6) >= 0.05 AS is_anomaly, 'linear' AS scoring_mode FROM s")
+def r01_live_decisions(spark, sf):
+    """State, score and verdict of a stream, with weights that SQL can follow."""
+    states = live.stream_state_scan(_stream(spark, sf), _small_cell(), _READ, keep=["flow_id", "entity_id", "ts"])
+    scored = states.withColumn("score", F.round(F.col("h")[0] + 2.0 * F.col("h")[1], 6))
+    out = live.run_bounded(scoring.decide(scored, 0.05, mode="linear").select("flow_id", "drift_score", "is_anomaly", "scoring_mode"), spark)
+    return rounded(out, "drift_score")
 
 
 @query("SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS unmatched, TRUE AS passed FROM events")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from undertow.operators import encode as enc
 from undertow.operators import ewma, recurrent, scoring, vectors
 from undertow.session import shared_dir
-from undertow.streaming.state import reordered_scan, stream_scan, use_rocksdb
+from undertow.streaming.state import BUCKETS, END, bounded_backlog, reordered_scan, stream_scan, use_rocksdb
 
 DOUBLES = T.ArrayType(T.DoubleType())
 STATE_FIELDS = [T.StructField("h", DOUBLES), T.StructField("z", DOUBLES), T.StructField("dt", T.DoubleType())]
@@ -84,6 +87,25 @@ def alert_windows(decisions: DataFrame, size: str, slide: str | None = None, gap
     return grouped.select("entity_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "row_count", "alerts", "max_score")
 
 
+def stream_alert_windows(decisions: DataFrame, delay: str, size: str = "", slide: str | None = None, gap: str | None = None, time: str = "event_time") -> DataFrame:
+    """The same windows of a stream, each emitted once, when the watermark has passed its end (append mode)."""
+    use_rocksdb(decisions.sparkSession)
+    return alert_windows(decisions.withWatermark(time, delay), size, slide, gap, time)
+
+
+def stream_backlog(stream: DataFrame, capacity: int) -> DataFrame:
+    use_rocksdb(stream.sparkSession)
+    return bounded_backlog(stream, capacity)
+
+
+def settled_backlog(out: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """Newest `capacity` rows of an ended backlog stream, and how many were dropped in all."""
+    from undertow.operators.prep import keep_latest
+
+    kept, dropped = keep_latest(out.filter("NOT dropped").drop("dropped"), capacity)
+    return kept, dropped + out.filter("dropped").count()
+
+
 def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Process everything available now into files, stop, and return the result as a table."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -93,17 +115,92 @@ def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append") ->
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def stage_stream(df: DataFrame, order: str = "ts", chunks: int = 4) -> str:
-    """Write a table as files in time order, one chunk after another, for replay as a stream."""
+def stage_stream(df: DataFrame, order: str = "ts", chunks: int = 4, chunk_rows: int = 1_000_000) -> str:
+    """Write a table as files in time order, one chunk after another, for replay as a stream; rows without a time first.
+
+    A file is a chunk, so that a trigger of one file reads a stretch of time whole; chunks grow in number, not in size.
+    """
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
-    edges = df.agg(F.percentile_approx(order, [i / chunks for i in range(1, chunks)])).first()[0]
-    bounds = [None, *edges, None]
+    chunks = max(chunks, -(-df.count() // chunk_rows))
+    edges = df.agg(F.percentile_approx(order, [i / chunks for i in range(1, chunks)], 100 * chunks)).first()[0] if chunks > 1 else []
+    bounds = [None, *(edges or []), None]
     for lo, hi in zip(bounds, bounds[1:]):
-        part = df
-        if lo is not None:
-            part = part.filter(F.col(order) > lo)
-        if hi is not None:
-            part = part.filter(F.col(order) <= hi)
-        part.coalesce(1).write.mode("append").parquet(base)
+        after = F.col(order) > lo if lo is not None else F.lit(True)
+        upto = F.col(order) <= hi if hi is not None else F.lit(True)
+        if lo is None and hi is not None:
+            upto = F.coalesce(upto, F.lit(True))
+        df.filter(after & upto).coalesce(1).write.mode("append").parquet(base)
     return base
+
+
+def end_stream(base: str, schema: T.StructType, spark: SparkSession, buckets: int = BUCKETS, **values) -> None:
+    """Append rows that end a replayed stream: one for each bucket, of infinite time. `values` fills other columns."""
+    rows = spark.range(buckets).select(
+        *[
+            F.lit(values[f.name]).cast(f.dataType).alias(f.name)
+            if f.name in values
+            else (F.lit(END) if f.name == "ts" else F.col("id") if f.name == "flow_id" else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
+    )
+    rows.coalesce(1).write.mode("append").parquet(base)
+
+
+# --------------------------------------------------------------------------- rates
+
+
+RATES = "query_id string, name string, batch_id long, started string, input_rows long, input_rate double, processed_rate double, duration_ms long, state_rows long"
+
+
+class RateListener(StreamingQueryListener):
+    """Progress of running streams as rows: what each micro-batch read, how fast, and the state it left.
+
+    Rows wait in memory until `flush_rows` of them are written to the folder, so a stream that runs for ever holds few.
+    """
+
+    def __init__(self, spark: SparkSession, flush_rows: int = 1000):
+        self.spark, self.flush_rows, self.waiting, self.done = spark, flush_rows, [], set()
+        self.path = f"{shared_dir(spark)}/rates-{uuid.uuid4().hex}"
+        self.written = False
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        state = sum(s.numRowsTotal for s in p.stateOperators)
+        self.waiting.append((str(p.id), p.name, p.batchId, p.timestamp, p.numInputRows, float(p.inputRowsPerSecond), float(p.processedRowsPerSecond), p.batchDuration, state))
+        if len(self.waiting) >= self.flush_rows:
+            self._flush()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.done.add(str(event.id))
+
+    def _flush(self) -> None:
+        rows, self.waiting = self.waiting, []
+        self.spark.createDataFrame(rows, RATES).coalesce(1).write.mode("append").parquet(self.path)
+        self.written = True
+
+    def rates(self) -> DataFrame:
+        """A row per micro-batch so far."""
+        if self.waiting or not self.written:
+            self._flush()
+        return self.spark.read.schema(RATES).parquet(self.path)
+
+
+@contextmanager
+def rate_table(spark: SparkSession, wait: float = 30.0):
+    """A RateListener for the streams that run inside; on leaving it has heard of the end of those it heard of."""
+    listener = RateListener(spark)
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+        until = time.monotonic() + wait
+        while time.monotonic() < until and (not listener.waiting or {r[0] for r in listener.waiting} - listener.done):
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
