@@ -108,3 +108,19 @@ def test_long_packing_and_permutation(spark):
 def test_kernel_rejects_unknown_kind(model):
     with pytest.raises(ValueError):
         encode.Kernel(EncoderModel(["a"], [], 64), "other")
+
+
+def test_a_million_tokens_fit_into_features(spark):
+    df = spark.range(1_000_000).select(F.col("id").alias("flow_id"), F.concat(F.lit("t"), "id").alias("token"), (F.col("id") % 7).cast("double").alias("x"))
+    vocabulary = df.select(F.lit("token").alias("col"), "token", (F.col("flow_id") + 1).cast("int").alias("token_id"))
+    model = encode.EncoderModel(["token"], ["x"], vocabulary=vocabulary)
+    some = df.filter("flow_id % 100000 = 5").unionByName(spark.createDataFrame([(-1, "never seen", 2.0)], df.schema))
+    got = {r["flow_id"]: r["features"] for r in encode.raw_features(some, model).collect()}
+    assert len(got) == 11 and all(v.size == 1 + 1_000_001 for v in got.values())
+    assert got[300_005].indices.tolist() == [0, 1 + 300_006] and got[-1].indices.tolist() == [0, 1]
+
+
+def test_features_without_categories(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "flow_id long, a double, b double")
+    model = encode.EncoderModel([], ["a", "b"], vocabulary=spark.createDataFrame([], "col string, token string, token_id int"))
+    assert encode.raw_features(df, model).first()["features"].toArray().tolist() == [2.0, 3.0]

@@ -121,6 +121,38 @@ def test_folded_network_equals_the_fitted_model(two_classes):
     assert np.allclose(head.probability(x), want, atol=1e-5)
 
 
-def test_nearest_reference_is_bounded(spark, cloud):
-    with pytest.raises(ValueError):
-        manifold.nearest_reference(states(spark, cloud), "h", states(spark, cloud), "d", max_rows=10)
+def _brute_nearest(rows, refs):
+    out = {}
+    for i, x in rows:
+        d = [float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())) for j, y in refs if j != i and y is not None] if x is not None else []
+        out[i] = min(d) if d else None
+    return out
+
+
+@pytest.mark.parametrize("block_rows, visitors, most", [(2048, 131_072, 1024), (7, 5, 1024), (7, 50, 2)])
+def test_nearest_neighbours_are_exact(spark, monkeypatch, block_rows, visitors, most):
+    from undertow.operators import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(nearest, "VISITORS", visitors)
+    monkeypatch.setattr(nearest, "MOST_CENTRES", most)
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(c, 0.2, (60, 3)) for c in (0, 3, 3.5, 50)] + [np.full((70, 3), 9.0)])  # a third are copies
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(points)] + [(900, None), (901, [1e6, 0.0, 0.0]), (902, [1e6, 0.0, 1e-3])]
+    df = spark.createDataFrame(rows, "flow_id long, h array<double>")
+    got = {r["flow_id"]: r["d"] for r in nearest.nearest_distance(df, "h", df, "d").collect()}
+    assert got == pytest.approx(_brute_nearest(rows, rows), abs=1e-12)
+    refs = rows[100:140] + [(2000, rows[3][1])]
+    got = nearest.nearest_distance(df, "h", spark.createDataFrame(refs, df.schema), "d").collect()
+    assert {r["flow_id"]: r["d"] for r in got} == pytest.approx(_brute_nearest(rows, refs), abs=1e-12)
+
+
+def test_nearest_of_few_and_none(spark):
+    from undertow.operators.nearest import nearest_distance
+
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 5.0])], "flow_id long, h array<double>")
+    one = df.filter("flow_id = 1")
+    assert nearest_distance(one, "h", one, "d").first()["d"] is None
+    assert nearest_distance(df, "h", df.limit(0), "d").filter("d IS NULL").count() == 2
+    assert sorted(r["d"] for r in nearest_distance(df, "h", df, "d").collect()) == [5.0, 5.0]
+    assert nearest_distance(df.limit(0), "h", df, "d").count() == 0

@@ -363,32 +363,27 @@ def encoder_separability(df: DataFrame, hv: str = "hv") -> DataFrame:
 
 
 def raw_features(df: DataFrame, model: EncoderModel, sizes: dict[str, int] | None = None) -> DataFrame:
-    """Numbers followed by one-hot categories as an ML vector; slot 0 of each category is 'unseen'."""
-    from pyspark.ml.feature import VectorAssembler
+    """Numbers followed by one-hot categories as an ML vector; slot 0 of each category is 'unseen'.
+
+    The categories are index and value alone, so a vector costs as much for a million tokens as for ten.
+    """
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 
     looked = lookup(df, model.vocabulary, model.cat_cols)
+    if not model.cat_cols:
+        return VectorAssembler(inputCols=list(model.num_cols), outputCol="features").transform(looked)
     sizes = sizes or vocabulary_sizes(model)
-    hot = []
-    for c in model.cat_cols:
-        # a slot per known token plus slot 0; no slot is dropped
-        looked = looked.withColumn(f"{c}_hot", _one_hot(F.col(f"{c}_id"), sizes[c] + 1))
-        hot.append(f"{c}_hot")
-    out = VectorAssembler(inputCols=[*model.num_cols, *hot], outputCol="features").transform(looked)
+    ids, hot = [f"{c}_id" for c in model.cat_cols], [f"{c}_hot" for c in model.cat_cols]
+    # the last slot of each category stands for its size; no slot is dropped
+    last = df.sparkSession.createDataFrame([tuple(float(max(sizes[c], 1)) for c in model.cat_cols)], ids)
+    encoder = OneHotEncoder(inputCols=ids, outputCols=hot, dropLast=False).fit(last)
+    out = VectorAssembler(inputCols=[*model.num_cols, *hot], outputCol="features").transform(encoder.transform(looked))
     return out.drop(*hot)
 
 
-def _one_hot(index: Column, size: int) -> Column:
-    from pyspark.ml.functions import array_to_vector
-
-    return array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == index).cast("double")))
-
-
 def vocabulary_sizes(model: EncoderModel) -> dict[str, int]:
-    """Distinct tokens per column; refuses columns too wide for dense one-hot features."""
+    """Distinct tokens per column."""
     sizes = {r["col"]: r["n"] for r in model.vocabulary.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wide = {c: n for c, n in sizes.items() if n > 100_000}
-    if wide:
-        raise ValueError(f"categories too wide for one-hot features: {wide}")
     return {c: sizes.get(c, 0) for c in model.cat_cols}
 
 

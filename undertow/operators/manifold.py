@@ -196,29 +196,10 @@ def min_distance(df: DataFrame, vec: str, centres: np.ndarray, out: str = "min_d
     return df.withColumn(out, nearest(F.col(vec)))
 
 
-def nearest_reference(df: DataFrame, vec: str, sample: DataFrame, out: str, max_rows: int = 2_000) -> DataFrame:
-    """Distance of each row to its nearest row of a bounded sample, other than itself (by flow_id)."""
-    rows = sample.select("flow_id", vec).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"the reference sample must have at most {max_rows} rows")
-    ids, ref = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
-
-    def nearest(flow_id, col):
-        x, own = vectors.matrix(col), flow_id.to_numpy(zero_copy_only=False)
-        best = np.full(len(x), np.inf)
-        for i, r in zip(ids, ref):
-            d = np.sqrt(((x - r) ** 2).sum(1))
-            best = np.minimum(best, np.where(own == i, np.inf, d))
-        return vectors.pa.array(best)
-
-    return df.withColumn(out, F.arrow_udf(nearest, "double")(F.col("flow_id"), F.col(vec)))
-
-
-def nn_overlap(df: DataFrame, vec: str, n: int = 300) -> DataFrame:
-    """Share of the first n normals that lie nearer to an attack than to another normal."""
-    from undertow.operators import prep
-
-    good = prep.first_ids(prep.normals(df), n)
-    bad = prep.first_ids(prep.attacks(df), n)
-    near = nearest_reference(nearest_reference(good, vec, good, "_dn"), vec, bad, "_da")
+def nn_overlap(df: DataFrame, vec: str) -> DataFrame:
+    """Share of normals that lie nearer to an attack than to another normal, over all rows."""
+    from undertow.operators.nearest import nearest_distance
+
+    good, bad = df.filter(F.col("label") == 0).select("flow_id", vec), df.filter(F.col("label") == 1).select("flow_id", vec)
+    near = nearest_distance(nearest_distance(good, vec, good, "_dn"), vec, bad, "_da")
     return near.agg(F.avg((F.col("_da") < F.col("_dn")).cast("double")).alias("nn_overlap"))

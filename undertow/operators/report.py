@@ -50,6 +50,39 @@ def dataset_summary(catalog: DataFrame, runs: DataFrame, key: str = "dataset") -
     )
 
 
+def assemble_report(runs: DataFrame, catalogue: DataFrame, keys: tuple[str, ...] = ("dataset", "model")) -> DataFrame:
+    """Every run that the catalogue plans and every run there is, by a full outer join on the keys, null keys included.
+
+    status is ok, missing (planned, not run) or unlisted (run, not planned). Columns of both tables keep their names;
+    of a name in both, that of the run is taken first.
+    """
+    both = [c for c in catalogue.columns if c in runs.columns and c not in keys]
+    planned = catalogue.select(*[F.col(c).alias(f"_p_{c}") for c in catalogue.columns], F.lit(True).alias("_planned"))
+    done = runs.withColumn("_done", F.lit(True))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    out = done.join(planned, same, "full_outer")
+    status = F.when(F.col("_done").isNull(), "missing").when(F.col("_planned").isNull(), "unlisted").otherwise("ok")
+    key = [F.when(F.col("_done").isNull(), F.col(f"_p_{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    rest = [F.coalesce(F.col(c), F.col(f"_p_{c}")).alias(c) if c in both else F.col(c) for c in runs.columns if c not in keys]
+    more = [F.col(f"_p_{c}").alias(c) for c in catalogue.columns if c not in keys and c not in both]
+    return out.select(*key, *rest, *more, status.alias("status"))
+
+
+def report_grid(assembled: DataFrame, metric: str, columns: list[str], row: str = "dataset", column: str = "model", digits: int = 4, bold_from: float | None = None, absent: str = "-") -> DataFrame:
+    """One metric as text, a row per dataset and a column per model asked for, every cell filled.
+
+    A cell without a run shows `absent`; of several runs it shows the mean; from `bold_from` on it is set in bold.
+    """
+    shown = F.format_number(F.avg(metric), digits)
+    cell = F.regexp_replace(shown, ",", "")
+    if bold_from is not None:
+        cell = F.when(F.avg(metric) >= bold_from, F.concat(F.lit("**"), cell, F.lit("**"))).otherwise(cell)
+    grid = assembled.groupBy(row).pivot(column, columns).agg(cell)
+    return grid.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit(absent)).alias(c) for c in columns])
+
+
 def error_taxonomy(errors: DataFrame, service: str = "service", attack: str | None = None) -> DataFrame:
     """Counts of false alarms by service and of misses by attack class, one column each."""
     s = F.lower(F.col(service))

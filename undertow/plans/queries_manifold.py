@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars as S
-from undertow.operators import calibrate, covariance, evaluate, manifold, prep, scoring, vectors
+from undertow.operators import calibrate, covariance, evaluate, manifold, nearest, prep, scoring, vectors
 from undertow.plans import flows as src
 from undertow.plans.queries_prep import STATES
 from undertow.plans.queries_vectors import sql_solve
@@ -299,15 +299,20 @@ def j05_min_distance(spark, sf):
     return manifold.min_distance(st, "h", centres).select("flow_id", r6("min_distance").alias("min_distance"))
 
 
-_HEADS = "heads AS (SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY label ORDER BY flow_id) <= 300), g AS (SELECT * FROM heads WHERE label = 0), b AS (SELECT * FROM heads WHERE label = 1)"
-_L2 = "sqrt(list_sum(list_transform(x.h, lambda v, i: (v - y.h[i]) ** 2)))"
+_CLASSES = "g AS (SELECT * FROM states WHERE label = 0), b AS (SELECT * FROM states WHERE label = 1)"
+_L2 = "list_distance(x.h, y.h)"
 
 
-@query(f"WITH {STATES}, {_HEADS} SELECT x.flow_id, {r(f'min({_L2})')} AS nearest FROM g x, b y GROUP BY x.flow_id")
+@query(f"WITH {STATES}, {_CLASSES} SELECT x.flow_id, {r(f'min({_L2})')} AS nearest FROM g x, b y GROUP BY x.flow_id")
 def j06_nearest_pairs(spark, sf):
     st = src.states(spark, sf)
-    good, bad = prep.first_ids(prep.normals(st), 300), prep.first_ids(prep.attacks(st), 300)
-    return manifold.nearest_reference(good, "h", bad, "nearest").select("flow_id", r6("nearest").alias("nearest"))
+    return nearest.nearest_distance(prep.normals(st), "h", prep.attacks(st), "nearest").select("flow_id", r6("nearest").alias("nearest"))
+
+
+@query(f"WITH {STATES} SELECT x.flow_id, {r(f'min({_L2})')} AS nearest FROM states x JOIN states y ON x.flow_id <> y.flow_id GROUP BY x.flow_id")
+def j06_nearest_others(spark, sf):
+    st = src.states(spark, sf)
+    return nearest.nearest_distance(st, "h", st, "nearest").select("flow_id", r6("nearest").alias("nearest"))
 
 
 @query(f"WITH {STATES}, c AS (SELECT i, avg(h[i]) FILTER (label=0) AS m0, avg(h[i]) FILTER (label=1) AS m1, var_pop(h[i]) FILTER (label=0) AS v0, var_pop(h[i]) FILTER (label=1) AS v1 FROM states, range(1, {P + 1}) g(i) GROUP BY i), "
@@ -322,7 +327,7 @@ def e16_effective_rank(spark, sf):
     return rounded(spark.createDataFrame([(rank,)], "effective_rank double"), "effective_rank")
 
 
-@query(f"WITH {STATES}, {_HEADS}, nn AS (SELECT x.flow_id, min({_L2}) AS d FROM g x JOIN g y ON x.flow_id <> y.flow_id GROUP BY 1), na AS (SELECT x.flow_id, min({_L2}) AS d FROM g x, b y GROUP BY 1) "
+@query(f"WITH {STATES}, {_CLASSES}, nn AS (SELECT x.flow_id, min({_L2}) AS d FROM g x JOIN g y ON x.flow_id <> y.flow_id GROUP BY 1), na AS (SELECT x.flow_id, min({_L2}) AS d FROM g x, b y GROUP BY 1) "
        f"SELECT {r('avg(CASE WHEN na.d < nn.d THEN 1.0 ELSE 0.0 END)')} AS nn_overlap FROM nn JOIN na USING (flow_id)")
 def e17_nn_overlap(spark, sf):
     return rounded(manifold.nn_overlap(src.states(spark, sf), "h"), "nn_overlap")
