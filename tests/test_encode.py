@@ -124,3 +124,20 @@ def test_features_without_categories(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "flow_id long, a double, b double")
     model = encode.EncoderModel([], ["a", "b"], vocabulary=spark.createDataFrame([], "col string, token string, token_id int"))
     assert encode.raw_features(df, model).first()["features"].toArray().tolist() == [2.0, 3.0]
+
+
+def test_codebook_gives_the_same_vectors_when_it_starts_again(monkeypatch):
+    import pyarrow as pa
+
+    model = EncoderModel(["c"], ["x"], width=200, levels=10, ranges={"x": (0.0, 1.0)})
+    names = [f"t{i % 3000}" for i in range(9000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array([0 if n == "t7" else 1 for n in names], pa.int32()), pa.array([0.5] * 9000)], ["c", "c_id", "x"])
+    encode._books.clear()
+    whole = encode.Kernel(model).packed(batch)
+    encode._books.clear()
+    monkeypatch.setattr(encode, "CODEBOOK_BYTES", 1)  # 1,024 tokens
+    parts = [encode.Kernel(model).packed(batch.slice(a, 500)) for a in range(0, 9000, 500)]
+    assert np.array_equal(whole, np.concatenate(parts))
+    assert len(encode._codebook(200, model.seed, "c").known) <= 1024
+    keys = ["tok:c:t1", "", "é"]
+    assert np.array_equal(H.base_bits(keys, 77), H.pack_bits(np.stack([H.base_vector(k, 77) for k in keys])))

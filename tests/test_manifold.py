@@ -156,3 +156,22 @@ def test_nearest_of_few_and_none(spark):
     assert nearest_distance(df, "h", df.limit(0), "d").filter("d IS NULL").count() == 2
     assert sorted(r["d"] for r in nearest_distance(df, "h", df, "d").collect()) == [5.0, 5.0]
     assert nearest_distance(df.limit(0), "h", df, "d").count() == 0
+
+
+def test_switches_speak_up(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(v) for v in rng.normal(size=3)], 0 if i < 60 else 1) for i in range(65)]
+    df = spark.createDataFrame(rows, "flow_id long, h array<double>, label int")
+    with pytest.warns(UserWarning, match="no attack model"):
+        assert scoring.fit_base(df).attack is None
+    assert scoring.fit_base(df, min_class_rows=5).attack is not None
+    with pytest.raises(ValueError, match="trim ratio"):
+        manifold.fit_manifold(df, "h", trim=0.5)
+    with pytest.warns(UserWarning, match="not trimmed"):
+        manifold.fit_manifold(df.limit(20), "h", trim=0.02)
+    with pytest.warns(UserWarning, match="one cluster"):
+        assert len(manifold.fit_manifold(df, "h", clusters=5, trim=0.0).means) == 1
+    assert len(manifold.fit_manifold(df, "h", clusters=5, trim=0.0, cluster_rows=5).means) == 5
+    with pytest.warns(UserWarning, match="wider than 2"):
+        assert scoring.fit_base(df, wide=2).normal.kind == "cosine"
+    assert manifold.fit_manifold(df, "h", wide=None).kind == "full"

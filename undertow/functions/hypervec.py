@@ -26,6 +26,23 @@ def base_vector(key: str, width: int, seed: int = SEED) -> np.ndarray:
     return np.where(digits < ord("8"), 1, -1).astype(np.int8)
 
 
+def base_bits(keys: list[str], width: int, seed: int = SEED) -> np.ndarray:
+    """Packed base vectors of many keys, as pack_bits gives them: a hex digit is 8 or more where its first bit is set."""
+    blocks = math.ceil(width / 32)
+    tails = [f"|{b}".encode() for b in range(blocks)]
+    parts = []
+    for key in keys:
+        head = hashlib.md5(f"{seed}|{key}".encode())
+        for tail in tails:
+            h = head.copy()
+            h.update(tail)
+            parts.append(h.digest())
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(len(keys), blocks * 16)
+    bits = np.empty((len(keys), blocks * 32), np.uint8)
+    bits[:, 0::2], bits[:, 1::2] = raw >> 7, (raw >> 3) & 1
+    return np.packbits(bits[:, :width], axis=1)
+
+
 def level_vectors(width: int, levels: int = 100, seed: int = SEED) -> np.ndarray:
     """Level l is the base vector with its first l * (width div levels) positions flipped."""
     if levels > width:

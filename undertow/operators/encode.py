@@ -6,7 +6,7 @@ joined for the seen/unseen flag, and vectors are derived from hashes inside the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -140,6 +140,54 @@ def encode_expression(df: DataFrame, model: EncoderModel, kind: str = "record")
 # --------------------------------------------------------------------------- Arrow path (any width)
 
 
+def _as_words(packed: np.ndarray, words: int) -> np.ndarray:
+    return np.pad(packed, ((0, 0), (0, words * 8 - packed.shape[1]))).view(np.uint64)
+
+
+#: Bytes of token vectors that a worker keeps for one column.
+CODEBOOK_BYTES = 128 << 20
+
+
+class Codebook:
+    """Bound vectors of a column's tokens, kept by a worker from batch to batch; full, it starts again. Slot 0: unseen."""
+
+    def __init__(self, width: int, column: str):
+        self.column, self.words = column, -(-width // 64)
+        self.most = max(1024, CODEBOOK_BYTES // (8 * self.words))
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, self.words), np.uint64)
+
+    def slots(self, names: list[str], vectors_of: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+        """The slot of each name, new ones made by vectors_of; slots of earlier calls hold only as long as the book does."""
+        new = [n for n in names if n not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known, self.table, new = {}, np.zeros((0, self.words), np.uint64), list(names)
+        if not len(self.table):
+            self.table = np.zeros((max(64, len(new) + 1), self.words), np.uint64)
+            self.table[0] = vectors_of([f"oov:{self.column}"])[0]
+        if new:
+            at = len(self.known) + 1
+            if at + len(new) > len(self.table):
+                grown = np.zeros((max(at + len(new), 2 * len(self.table)), self.words), np.uint64)
+                grown[:at] = self.table[:at]
+                self.table = grown
+            self.table[at : at + len(new)] = vectors_of([f"tok:{self.column}:{n}" for n in new])
+            self.known.update(zip(new, range(at, at + len(new))))
+        return np.fromiter((self.known[n] for n in names), np.int64, len(names))
+
+
+_books: dict[tuple[int, int, str], Codebook] = {}
+
+
+def _codebook(width: int, seed: int, column: str) -> Codebook:
+    key = (width, seed, column)
+    if key not in _books:
+        if len(_books) >= 16:
+            _books.clear()
+        _books[key] = Codebook(width, column)
+    return _books[key]
+
+
 class Kernel:
     """Turns an Arrow batch of tokens, seen flags and numbers into hypervectors. Built once per task.
 
@@ -166,19 +214,19 @@ class Kernel:
             raise ValueError(f"unknown encoder {kind!r}")
 
     def _words(self, vectors_: np.ndarray) -> np.ndarray:
-        packed = H.pack_bits(vectors_)
-        return np.pad(packed, ((0, 0), (0, self.words * 8 - packed.shape[1]))).view(np.uint64)
+        return _as_words(H.pack_bits(vectors_), self.words)
 
     def _bits(self, keys: list[str]) -> np.ndarray:
-        return self._words(np.stack([H.base_vector(k, self.model.width, self.model.seed) for k in keys]))
+        return _as_words(H.base_bits(keys, self.model.width, self.model.seed), self.words)
 
     def _tokens(self, batch: pa.RecordBatch, c: str) -> tuple[np.ndarray, np.ndarray]:
-        """Bound vectors of the batch's distinct tokens, the unseen one last, and which one each row uses."""
-        coded = batch.column(c).dictionary_encode()
+        """Bound vectors of tokens, and which one each row uses: of the worker's codebook, the unseen one first."""
         seen = batch.column(f"{c}_id").to_numpy(zero_copy_only=False) > 0
-        names = coded.dictionary.to_pylist()
-        table = self._bits([*[f"tok:{c}:{t}" for t in names], f"oov:{c}"]) ^ self.keys[c]
-        return table, np.where(seen, coded.indices.to_numpy(zero_copy_only=False), len(names))
+        coded = batch.column(c).dictionary_encode()
+        names, book = coded.dictionary.to_pylist(), _codebook(self.model.width, self.model.seed, c)
+        slots = book.slots(names, lambda keys: self._bits(keys) ^ self.keys[c])
+        index = np.where(seen, coded.indices.fill_null(0).to_numpy(zero_copy_only=False), len(names))
+        return book.table, np.append(slots, 0)[index]
 
     def _units(self, batch: pa.RecordBatch, c: str) -> np.ndarray:
         x = batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
@@ -215,7 +263,8 @@ class Kernel:
         m = self.model
         total = np.zeros((batch.num_rows, m.width))
         for table, index in self._fields(batch):
-            total += H.unpack_bits(table.view(np.uint8), m.width)[index]
+            used, place = np.unique(index, return_inverse=True)
+            total += H.unpack_bits(table[used].view(np.uint8), m.width)[place]
         units = np.column_stack([self._units(batch, c) for c in m.num_cols])
         total += np.sqrt(2.0 / m.width) * np.cos(units @ self.weights + self.phase)
         return np.where(total >= 0, 1, -1).astype(np.int8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +14,12 @@ from pyspark.sql import functions as F
 from undertow.operators import covariance, ordered, vectors
 from undertow.session import cut_lineage
 
-WIDE = 1000  # above this width the distance is cosine to the mean
+#: Default width above which the distance is cosine to the mean; None for never.
+WIDE = 1000
+#: Defaults of the trim: largest share, and rows from which on it is done.
+MOST_TRIMMED, TRIM_ROWS = 0.20, 50
+#: Default rows per cluster that several clusters need.
+CLUSTER_ROWS = 20
 
 
 @dataclass
@@ -77,22 +83,28 @@ class Manifold:
         return np.sqrt(np.clip(best, 0.0, None))
 
 
-def trim_core(df: DataFrame, vec: str, ratio: float = 0.02, clusters: int = 1, centre: tuple[int, np.ndarray] | None = None) -> DataFrame:
+def trim_core(df: DataFrame, vec: str, ratio: float = 0.02, clusters: int = 1, centre: tuple[int, np.ndarray] | None = None, min_rows: int = TRIM_ROWS) -> DataFrame:
     """Drop rows far from the mean, beyond the (1 - ratio) percentile of squared distance.
 
-    The distances are stored once, as one double per row, before the percentile is searched.
+    A ratio outside 0 to MOST_TRIMMED is refused. Under min_rows rows, or where too few would stay for the clusters and
+    the width, nothing is dropped and a warning says so. The distances are stored once, as one double per row, before the
+    percentile is searched.
     """
-    ratio = min(max(ratio, 0.0), 0.20)
+    if not 0.0 <= ratio <= MOST_TRIMMED:
+        raise ValueError(f"the trim ratio must lie in 0 to {MOST_TRIMMED}, not {ratio}")
     if ratio == 0.0:
         return df
     n, mean = centre or vectors.vector_means(df, vec).get(0, (0, np.zeros(0)))
-    if n < 50:
+    if n < min_rows:
+        warnings.warn(f"not trimmed: {n} rows are under {min_rows}", stacklevel=2)
         return df
     far = vectors.scalar_udf(lambda x: ((x - mean) ** 2).sum(1))
     squared = far(F.col(vec))
     stored = cut_lineage(df.select(squared.alias("_d2")))
     cut = ordered.exact_quantiles(stored, "_d2", [1.0 - ratio])[0]
-    if stored.filter(F.col("_d2") <= cut).count() < max(clusters * 10, len(mean)):
+    left = stored.filter(F.col("_d2") <= cut).count()
+    if left < max(clusters * 10, len(mean)):
+        warnings.warn(f"not trimmed: {left} rows would be left for {clusters} clusters of width {len(mean)}", stacklevel=2)
         return df
     return df.withColumn("_d2", squared).filter(F.col("_d2") <= cut).drop("_d2")
 
@@ -113,18 +125,26 @@ def fit_manifold(
     seed: int = 42,
     eps: float = 1e-5,
     centre: tuple[int, np.ndarray] | None = None,
+    wide: int | None = WIDE,
+    cluster_rows: int = CLUSTER_ROWS,
 ) -> Manifold:
-    """Fit on the rows given (normals, or attacks with trim=0). `centre` is (rows, mean) when known."""
+    """Fit on the rows given (normals, or attacks with trim=0). `centre` is (rows, mean) when known.
+
+    Vectors wider than `wide` get a cosine model. Several clusters need cluster_rows rows each; with fewer there is one,
+    and a warning.
+    """
     core = trim_core(df, vec, trim, clusters, centre)
     head = core.select(F.size(vec)).first()
     if head is None:
         raise ValueError("a manifold needs at least one row")
-    if head[0] > WIDE:
+    if wide is not None and head[0] > wide:
         n, mean = vectors.vector_means(core, vec)[0]
         return Manifold(mean[None, :], None, "cosine", n=n)
     pooled = vectors.moments(core, vec)[0]
     n, mean = pooled.n, pooled.mean
-    if clusters <= 1 or n < clusters * 20:
+    if clusters > 1 and n < clusters * cluster_rows:
+        warnings.warn(f"one cluster: {n} rows are too few for {clusters} of {cluster_rows}", stacklevel=2)
+    if clusters <= 1 or n < clusters * cluster_rows:
         single = from_moments(pooled, estimator, eps)
         if kind == "diagonal" and clusters > 1:
             return Manifold(single.means, np.diag(single.precisions[0])[None, :], "diagonal", single.shrinkage, n)

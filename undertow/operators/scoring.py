@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 from undertow.functions import scalars as S
 from undertow.operators import evaluate, ordered, vectors
-from undertow.operators.manifold import Manifold, fit_manifold, from_moments
+from undertow.operators.manifold import WIDE, Manifold, fit_manifold, from_moments
 from undertow.operators.recurrent import sigmoid
 from undertow.session import cut_lineage
 
+#: Rows of a class from which on an attack model or a discriminant is fitted, unless the caller names another number.
 MIN_CLASS_ROWS = 10
 
 
@@ -38,17 +40,22 @@ class Fisher:
     scale: float
 
 
-def fisher_direction(by: dict[int, vectors.Moments], eps: float = 1e-4) -> np.ndarray | None:
-    """(half the summed class covariances + eps I)^-1 (attack mean - normal mean), unit length."""
-    if any(c not in by or by[c].n < MIN_CLASS_ROWS for c in (0, 1)):
+def fisher_direction(by: dict[int, vectors.Moments], eps: float = 1e-4, min_rows: int = MIN_CLASS_ROWS) -> np.ndarray | None:
+    """(half the summed class covariances + eps I)^-1 (attack mean - normal mean), unit length.
+
+    None, with a warning, where a class has under min_rows rows (two at least are needed for a covariance).
+    """
+    short = {c: by[c].n if c in by else 0 for c in (0, 1) if c not in by or by[c].n < max(2, min_rows)}
+    if short:
+        warnings.warn(f"no discriminant: class rows {short} are under {max(2, min_rows)}", stacklevel=2)
         return None
     pooled = 0.5 * (by[0].covariance(1) + by[1].covariance(1)) + eps * np.eye(len(by[0].mean))
     w = np.linalg.solve(pooled, by[1].mean - by[0].mean)
     return w / np.linalg.norm(w)
 
 
-def fit_fisher(df: DataFrame, vec: str, label: str = "label", by: dict[int, vectors.Moments] | None = None) -> Fisher | None:
-    w = fisher_direction(by or vectors.moments(df, vec, by=label))
+def fit_fisher(df: DataFrame, vec: str, label: str = "label", by: dict[int, vectors.Moments] | None = None, min_rows: int = MIN_CLASS_ROWS) -> Fisher | None:
+    w = fisher_direction(by or vectors.moments(df, vec, by=label), min_rows=min_rows)
     if w is None:
         return None
     normal = cut_lineage(df.filter(F.col(label) == 0).select(projection(w, vec).alias("_p")))
@@ -306,18 +313,28 @@ def features(scorer: Scorer, which: str, h: str, z: str | None = None) -> Column
 # --------------------------------------------------------------------------- fitting
 
 
-def fit_base(df: DataFrame, vec: str = "h", clusters: int = 1, kind: str = "full", trim: float = 0.02, eps: float = 0.5) -> Scorer:
-    """Normal manifold, attack manifold and discriminant, as far as the classes allow.
+def fit_base(
+    df: DataFrame, vec: str = "h", clusters: int = 1, kind: str = "full", trim: float = 0.02, eps: float = 0.5,
+    min_class_rows: int = MIN_CLASS_ROWS, wide: int | None = WIDE,
+) -> Scorer:
+    """Normal manifold, attack manifold and discriminant, as far as the classes allow; a warning names what is left out.
 
-    The class moments are summed once and serve the trim centre, the attack manifold and the discriminant.
+    The class moments are summed once and serve the trim centre, the attack manifold and the discriminant. Vectors wider
+    than `wide` get the normals' cosine model alone, before any matrix of their width squared is summed.
     """
+    head = df.select(F.size(vec)).first()
+    if wide is not None and head is not None and head[0] > wide:
+        warnings.warn(f"vectors of {head[0]} elements are wider than {wide}: cosine to the normals' mean only", stacklevel=2)
+        return Scorer(normal=fit_manifold(df.filter(F.col("label") == 0), vec, 1, kind, trim, wide=wide), eps=eps)
     by = vectors.moments(df, vec, by="label")
     centre = (by[0].n, by[0].mean) if 0 in by else None
-    normal = fit_manifold(df.filter(F.col("label") == 0), vec, clusters, kind, trim, centre=centre)
+    normal = fit_manifold(df.filter(F.col("label") == 0), vec, clusters, kind, trim, centre=centre, wide=None)
     scorer = Scorer(normal=normal, eps=eps)
-    if 1 in by and by[1].n >= MIN_CLASS_ROWS:
+    if 1 in by and by[1].n >= max(2, min_class_rows):
         scorer.attack = from_moments(by[1])
-        scorer.fisher = fit_fisher(df, vec, by=by)
+        scorer.fisher = fit_fisher(df, vec, by=by, min_rows=min_class_rows)
+    else:
+        warnings.warn(f"no attack model: {by[1].n if 1 in by else 0} attack rows are under {max(2, min_class_rows)}", stacklevel=2)
     return scorer
 
 

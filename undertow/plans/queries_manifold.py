@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -291,6 +293,57 @@ def m33_score_dispatch(spark, sf):
     return st.select("flow_id", r6(scoring.score(s, "h")).alias("score"), F.lit(s.mode()).alias("mode"))
 
 
+#: Fixed weights, so that SQL can follow every head: element i of a row j.
+def _w(i, j=0):
+    return ((i + j) % 5 - 2) / 10.0
+
+
+def _head(width):
+    return scoring.Head("logistic", [(np.array([[_w(i)] for i in range(width)]), np.array([0.1]))])
+
+
+def _net(width, hidden=3):
+    first = np.array([[_w(i, j) for j in range(hidden)] for i in range(width)]), np.array([0.05 * j for j in range(hidden)])
+    return scoring.Head("mlp", [first, (np.array([[-0.5, 0.25 * (j + 1)] for j in range(hidden)]), np.array([0.0, -0.2]))])
+
+
+def _branches(s):
+    """Scorers that reach each branch of the dispatch, over the fitted distances and discriminant."""
+    with_ = lambda **kw: dataclasses.replace(s, **kw)
+    return {
+        "distance": with_(attack=None), "ratio": with_(fisher=None), "boosted": s, "linear": with_(linear=_head(P + 2)), "quadratic": with_(quadratic=_head(5)),
+        "student": with_(student=_net(5), student_basis=np.eye(P)[:, :4]),
+        "teacher": with_(teacher=_net(P + 2), alpha=0.5, base_mean=1.0, base_std=0.5, gate=1.0, gate_margin=0.3),
+        "head": with_(head=_net(P + 2)), "fusion": with_(fusion=_head(2 * P), fusion_dim=-1),
+        "fusion_full": with_(fusion=_net(2 * P + 3), fusion_dim=None, fisher_z=np.ones(P) / 8.0),
+    }
+
+
+def _sql_head(x):
+    return f"1.0 / (1.0 + exp(-(list_sum(list_transform({x}, lambda v, i: v * ((i - 1) % 5 - 2) / 10.0)) + 0.1)))"
+
+
+def _sql_net(x, hidden=3):
+    cell = lambda j: f"{0.25 * (j + 1) + 0.5} / (1.0 + exp(-(list_sum(list_transform({x}, lambda v, i: v * ((i - 1 + {j}) % 5 - 2) / 10.0)) + {0.05 * j})))"
+    return f"1.0 / (1.0 + exp(-({' + '.join(cell(j) for j in range(hidden))} - 0.2)))"
+
+
+_BRANCH_SQL = _BOOST + f""", x AS (SELECT flow_id, h, dn, lr, f, score, list_transform(h, lambda v: tanh(v * 3.0)) AS z FROM (SELECT lrs.flow_id, h, dn, lr, list_dot_product(h, w) AS f, score FROM lrs JOIN boosted USING (flow_id), fw)),
+ y AS (SELECT *, list_concat(h, [f, lr]) AS x66, [f, lr, f * f, lr * lr, f * lr] AS x5, list_concat(h[1:4], [lr]) AS xs, list_concat(h, z) AS hz, list_sum(z) / 8.0 AS fz, 1.0 / (1.0 + exp(-(lr - 1.0) / (0.5 + 1e-5))) AS base FROM x),
+ t AS (SELECT *, {_sql_net('x66')} AS p FROM y)
+ SELECT flow_id, {r('dn')} AS distance, {r('lr')} AS ratio, {r('score')} AS boosted, {r(_sql_head('x66'))} AS linear, {r(_sql_head('x5'))} AS quadratic, {r(_sql_net('xs'))} AS student,
+  {r('CASE WHEN abs(lr - 1.0) / 1.0 >= 0.3 THEN lr ELSE base + 0.5 * (p - base) END')} AS teacher, {r('p')} AS head, {r(_sql_head('hz'))} AS fusion, {r(_sql_net('list_concat(hz, [f, fz, lr])'))} AS fusion_full FROM t"""
+
+
+@query(_BRANCH_SQL)
+def m33_all_branches(spark, sf):
+    """Every branch of the score dispatch, with heads of fixed weights."""
+    st, s = _scorer(spark, sf)
+    st = st.withColumn("z", F.transform("h", lambda x: F.tanh(x * 3.0)))
+    scored = {n: scoring.score(b, "h", "z" if b.fusion is not None else None) for n, b in _branches(s).items()}
+    return st.select("flow_id", *[r6(c).alias(n) for n, c in scored.items()])
+
+
 @query(f"WITH {STATES}, c AS (SELECT i, label, avg(h[i]) AS m FROM states, range(1, {P + 1}) g(i) GROUP BY 1, 2), cv AS (SELECT label, list(m ORDER BY i) AS m FROM c GROUP BY label) "
        f"SELECT flow_id, {r('min(sqrt(list_sum(list_transform(h, lambda x, i: (x - m[i]) ** 2))))')} AS min_distance FROM states, cv GROUP BY flow_id")
 def j05_min_distance(spark, sf):
