@@ -131,3 +131,30 @@ def test_backlog_of_a_stream_equals_the_batch_one(spark):
         kept, dropped = live.settled_backlog(out, capacity)
         want, lost = prep.keep_latest(df, capacity)
         assert dropped == lost and {r["flow_id"] for r in kept.collect()} == {r["flow_id"] for r in want.collect()}
+
+
+@pytest.mark.parametrize("kind", ["ssm", "conv"])
+def test_projected_cells_equal_single_steps(spark, kind):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"e{i % 3}" if i < 60 else "long", float(i), [float(v) for v in rng.normal(size=7)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "flow_id long, entity_id string, ts double, x array<double>")
+    cell = recurrent.ProjectedCell.seeded(kind, 7, 4)
+    got = {r["flow_id"]: r["h"] for r in recurrent.state_scan(df, cell, recurrent.vector_reader("x"), partitions=9).collect()}
+    width = 4 * 16 if kind == "ssm" else 2 * 4
+    state = {}
+    for i, e, _, x in rows:
+        state[e], y = cell.inner.step(cell.project(np.array([x])), state.get(e, np.zeros((1, width))))
+        assert np.allclose(got[i], y[0], atol=1e-12)
+
+
+def test_fused_geometry_and_information_loss(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 2, f"g{i % 3}", [float(v) for v in rng.normal(i % 2, 1, 5)], [float(i % 2)]) for i in range(120)] + [(500, 0, "lone", [0.0] * 5, [0.0])]
+    df = spark.createDataFrame(rows, "flow_id long, label int, g string, a array<double>, b array<double>")
+    got = {r["stage"]: r for r in study.fused_geometry(df, ["a", "b"]).collect()}
+    x, y = np.array([r[3] for r in rows]), np.array([r[1] for r in rows])
+    apart, spread = x[y == 1].mean(0) - x[y == 0].mean(0), [x[y == c].var(0).sum() for c in (0, 1)]
+    assert got["a"]["centroid_dist"] == pytest.approx(np.linalg.norm(apart)) and got["a"]["var_att"] == pytest.approx(spread[1])
+    assert got["b"]["centroid_dist"] == pytest.approx(1.0) and got["a"]["fdr"] == pytest.approx((apart**2).sum() / (sum(spread) + 1e-9))
+    loss = {r["group"]: r["fdr"] for r in study.information_loss(df, "g", {"a": "a"}).collect()}
+    assert set(loss) == {"g0", "g1", "g2", "lone"} and loss["lone"] == 0.0 and all(loss[g] > 0.2 for g in ("g0", "g1", "g2"))

@@ -134,6 +134,48 @@ class SSMCell:
         return h.reshape(n, -1), y
 
 
+@dataclass
+class ConvCell:
+    """Causal convolution over the last rows: tanh(window @ kernel + b). Its state is the rows before, zeros at first."""
+
+    kernel: np.ndarray
+    b: np.ndarray
+
+    @staticmethod
+    def seeded(inputs: int, taps: int = 3, seed: int = H.SEED) -> "ConvCell":
+        return ConvCell(seeded("conv:kernel", taps * inputs, inputs, seed, 1.0 / np.sqrt(taps * inputs)), seeded("conv:bias", 1, inputs, seed)[0])
+
+    @property
+    def hidden(self) -> int:
+        return len(self.b)
+
+    @property
+    def taps(self) -> int:
+        return len(self.kernel) // len(self.b)
+
+    def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        window = np.column_stack([state, x])
+        return window[:, self.hidden :], np.tanh(window @ self.kernel + self.b)
+
+
+@dataclass
+class ProjectedCell:
+    """A cell over a narrow projection of wide rows, so that its own weights do not grow with their width."""
+
+    wx: np.ndarray
+    b: np.ndarray
+    inner: SSMCell | ConvCell
+
+    @staticmethod
+    def seeded(kind: str, inputs: int, hidden: int = 64, seed: int = H.SEED) -> "ProjectedCell":
+        bound = 1.0 / np.sqrt(inputs)
+        inner = {"ssm": SSMCell.seeded, "conv": ConvCell.seeded}[kind](hidden, seed=seed)
+        return ProjectedCell(seeded(f"{kind}:in", inputs, hidden, seed, bound), seeded(f"{kind}:in_bias", 1, hidden, seed, bound)[0], inner)
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.wx + self.b
+
+
 # --------------------------------------------------------------------------- folds
 
 Reader = Callable[[pa.RecordBatch], np.ndarray]
@@ -269,6 +311,22 @@ class SSMFold(Fold):
         return [vectors.list_column(arrays[0])]
 
 
+class ConvFold(Fold):
+    def __init__(self, cell: ConvCell, read: Reader):
+        self.cell, self.read = cell, read
+        self.width = (cell.taps - 1) * cell.hidden
+
+    def inputs(self, batch):
+        return (self.read(batch),)
+
+    def step(self, state, rows):
+        new, y = self.cell.step(rows[0], state)
+        return new, [y]
+
+    def outputs(self, arrays):
+        return [vectors.list_column(arrays[0])]
+
+
 class DecayFold(Fold):
     """s' = exp(-rate dt) s + x. State: [s, last ts, started]."""
 
@@ -311,13 +369,18 @@ class DecayFold(Fold):
 
 
 def state_scan(df: DataFrame, cell, read: Reader, keep: list[str] | None = None, emit=("h", "z", "dt"), **kw) -> DataFrame:
-    """Append the state after each row. A CfC cell gives h, z and dt; an LSTM h; a state-space cell y."""
+    """Append the state after each row. A CfC cell gives h, z and dt; an LSTM or a projected cell h; others y."""
     if isinstance(cell, CfCCell):
         fields = [T.StructField("h", DOUBLES), T.StructField("z", DOUBLES), T.StructField("dt", T.DoubleType())]
         df = df.drop("dt")
         keep = [c for c in (keep or df.columns) if c != "dt"]
         out = ordered.carry_scan(df, CfCFold(cell, read), fields, keep=keep, **kw)
         return out.drop(*[f.name for f in fields if f.name not in emit])
+    if isinstance(cell, ProjectedCell):
+        fold = (SSMFold if isinstance(cell.inner, SSMCell) else ConvFold)(cell.inner, lambda batch: projected(cell, read, batch))
+        return ordered.carry_scan(df, fold, [T.StructField("h", DOUBLES)], keep=keep, **kw)
+    if isinstance(cell, ConvCell):
+        return ordered.carry_scan(df, ConvFold(cell, read), [T.StructField("y", DOUBLES)], keep=keep, **kw)
     if isinstance(cell, LSTMCell):
         return ordered.carry_scan(df, LSTMFold(cell, read), [T.StructField("h", DOUBLES)], keep=keep, **kw)
     return ordered.carry_scan(df, SSMFold(cell, read), [T.StructField("y", DOUBLES)], keep=keep, **kw)

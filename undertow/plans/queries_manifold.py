@@ -8,11 +8,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars as S
-from undertow.operators import calibrate, covariance, evaluate, manifold, nearest, prep, scoring, vectors
+from undertow.operators import calibrate, covariance, evaluate, manifold, nearest, prep, recurrent, scoring, vectors
 from undertow.plans import flows as src
 from undertow.plans.queries_prep import STATES
 from undertow.plans.queries_vectors import sql_solve
 from undertow.plans.registry import query, r, r6, rounded
+from undertow.session import cut_lineage
 
 P = 64
 
@@ -108,7 +109,7 @@ def m06_whitened_ledoit_wolf(spark, sf):
 @query(None)
 def m07_robust_covariance(spark, sf):
     """Log-determinants of the concentration steps; they fall."""
-    _, dets = covariance.minimum_covariance_determinant(prep.normals(src.states(spark, sf)), "h", steps=6)
+    _, dets = covariance.minimum_covariance_determinant(prep.normals(src.states(spark, sf)), "h")
     return spark.createDataFrame([(i, float(d)) for i, d in enumerate(dets)], "step int, log_det double")
 
 
@@ -228,8 +229,11 @@ def m20_quadratic_features(spark, sf):
 def _fusion_query(name, dim):
     @query(None, name=name)
     def run(spark, sf):
-        st, s = _scorer(spark, sf)
-        st = st.withColumn("z", F.transform("h", lambda x: F.tanh(x * 3.0)))
+        """Heads over the state and the backbone output of one scan of the events."""
+        f = src.events(spark, sf).select("flow_id", "entity_id", "ts", "value", "k", "label")
+        cell = recurrent.CfCCell.seeded(2, 8, 16)
+        st = cut_lineage(recurrent.state_scan(f, cell, recurrent.columns_reader(["value", "k"], [0.01, 0.01]), keep=["flow_id", "label"], emit=("h", "z")))
+        s = scoring.fit_base(st)
         scoring.fit_fusion(s, st, "h", "z", dim, alpha=0.4 if dim is None else 0.0)
         return st.select("flow_id", "label", r6(scoring.score(s, "h", "z")).alias("score"))
 

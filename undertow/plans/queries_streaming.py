@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from undertow.operators import evaluate, recurrent, scoring
+from undertow.operators import encode, evaluate, recurrent, scoring
 from undertow.plans import experiment, study
 from undertow.plans import flows as src
 from undertow.plans.queries_prep import STATES, _CEF, _decisions, _tagged
@@ -230,7 +230,7 @@ def r01_live_scoring_parity(spark, sf):
 
 @query(None)
 def e31_ablation(spark, sf):
-    variants = {"cfc": {}, "lstm": {"cell": "lstm"}, "vector_only": {"cell": "none", "width": 128, "levels": 32}, "cosine": {"mode": "cosine"}, "autoencoder": {"mode": "autoencoder"}}
+    variants = {"cfc": {}, "lstm": {"cell": "lstm"}, "state_space": {"cell": "ssm"}, "convolution": {"cell": "conv"}, "vector_only": {"cell": "none", "width": 1200}, "cosine": {"mode": "cosine"}, "autoencoder": {"mode": "autoencoder"}}
     out = experiment.ablate(src.events(spark, sf), _params(width=128, levels=32), variants)
     return out.select("variant", "f1_score", "auroc", "sample_size")
 
@@ -251,10 +251,45 @@ def e19_family_audit(spark, sf):
     return study.family_audit(t, ["proto", "state"], ["sbytes", "dur"]).select("family", "f1", "auroc")
 
 
+_ROLES = dict(duration="value", count="k", rate="k", size="value", proto="weekday", service="hour")
+
+
+def _representations(spark, sf):
+    p = _params(width=128, levels=32, cat_cols=("hour", "weekday"))
+    tagged = experiment.prepare(src.events(spark, sf), p)
+    model = encode.fit_encoder(tagged.filter("split = 'train'"), p.cat_cols, p.num_cols, p.width, p.levels)
+    return study.representations(tagged, model, experiment.make_cell(p), _ROLES)
+
+
 @query(None)
 def e20_stage_audit(spark, sf):
-    st = _state_splits(spark, sf).withColumn("squashed", F.transform("h", lambda x: F.tanh(x * 3.0)))
-    return study.stage_audit(st, {"h": "h", "squashed": "squashed"})
+    """All nine stages from raw features to the final score."""
+    return study.stage_audit(_representations(spark, sf))
+
+
+@query(None)
+def e20_temporal_audit(spark, sf):
+    return study.temporal_audit(_representations(spark, sf))
+
+
+_REPS = {"raw": "[value, k]", "raw_interactions": "[value, k, value * k, k * k]", "z": "z", "h": "h", "h_z": "list_concat(h, z)", "dh": "dh", "h_dh": "list_concat(h, dh)", "all": "list_concat(z, h, dz, dh)"}
+
+
+@query(_cfc_sql() + ", m AS (SELECT a.flow_id, a.h, a.z, list_transform(a.h, lambda v, i: v - coalesce(b.h[i], 0.0)) AS dh, list_transform(a.z, lambda v, i: v - CASE WHEN b.rn > 0 THEN b.z[i] ELSE 0.0 END) AS dz "
+       "FROM walk a JOIN walk b ON a.entity_id = b.entity_id AND a.rn = b.rn + 1), x AS (SELECT m.*, f.value, f.k, f.label FROM m JOIN flows f USING (flow_id)), reps AS ("
+       + " UNION ALL ".join(f"SELECT '{n}' AS stage, label, {e} AS v FROM x" for n, e in _REPS.items())
+       + "), c AS (SELECT stage, i, avg(v[i]) FILTER (label = 0) AS m0, avg(v[i]) FILTER (label = 1) AS m1, var_pop(v[i]) FILTER (label = 0) AS v0, var_pop(v[i]) FILTER (label = 1) AS v1 FROM reps, range(1, 65) t(i) WHERE i <= len(v) GROUP BY 1, 2), "
+       "g AS (SELECT stage, sqrt(sum((m1 - m0) ** 2)) AS d, sum(v0) AS v0, sum(v1) AS v1 FROM c GROUP BY stage) "
+       f"SELECT stage, {r('d')} AS centroid_dist, {r('v0', 3)} AS var_norm, {r('v1', 3)} AS var_att, {r('d * d / (v0 + v1 + 1e-9)')} AS fdr FROM g")
+def e20_stage_geometry(spark, sf):
+    """Geometry of raw, interacting and temporal representations, all in one pass, where SQL can follow the state."""
+    f = src.events(spark, sf).select("flow_id", "entity_id", "ts", "value", "k", "label")
+    d = recurrent.state_deltas(recurrent.state_scan(f, _small_cell(), _READ), "h", "z")
+    value, k = F.col("value"), F.col("k")
+    reps = d.select(
+        "label", F.array(value, k).alias("raw"), F.array(value, k, value * k, k * k).alias("raw_interactions"), "z", "h", F.concat("h", "z").alias("h_z"),
+        F.col("h_delta").alias("dh"), F.concat("h", "h_delta").alias("h_dh"), F.concat("z", "h", "z_delta", "h_delta").alias("all"))
+    return rounded(rounded(study.fused_geometry(reps, list(_REPS)), "centroid_dist", "fdr"), "var_norm", "var_att", digits=3)
 
 
 @query(None)
