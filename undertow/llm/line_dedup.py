@@ -10,17 +10,20 @@ from undertow.llm.spans import NO_ID
 from undertow.llm.tables import Tables
 from undertow.session import broadcast_if_small
 
-#: Characters of a shingle; hashes, rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.998.
-SHINGLE, HASHES, ROWS, BANDS = 5, 16, 2, 6
-#: A candidate agrees in so many of the hashes, as far as four bits of each tell: at 0.8 with chance 0.997.
-AGREE = 9
+#: Characters of a shingle; rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.998, one of 0.3
+#: with chance 0.22.
+SHINGLE, ROWS, BANDS = 5, 3, 9
+#: A candidate agrees in so many of the first HASHES hashes, as far as four bits of each tell: at 0.8 with chance 0.997.
+HASHES, AGREE = 16, 9
+#: Bytes of a character in the encoding that shingles are cut from, where a place is found without counting.
+WIDE = 4
 #: Digests of candidate lines, 8 bytes each, that are broadcast at most.
 IDS = 200_000
 
 
-def _chars(line: str) -> Column:
-    """The characters of the words, lower-cased and one space apart."""
-    return F.split(F.array_join(F.array_remove(F.split(F.lower(line), " "), ""), " "), "")
+def _plain(line: str) -> Column:
+    """The words, lower-cased and one space apart."""
+    return F.array_join(F.array_remove(F.split(F.lower(line), " "), ""), " ")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -37,24 +40,24 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _shingle(chars: Column, i: Column) -> Column:
-    """Hash of the characters from one on; a shorter line counts as a whole."""
-    return F.xxhash64(*[F.get(chars, i + k) for k in range(SHINGLE)])
+def _places(plain: Column) -> Column:
+    """Where shingles start; a shorter line counts as a whole."""
+    return F.sequence(F.lit(0), F.greatest(F.length(plain) - SHINGLE, F.lit(0)))
 
 
-def _shingles(chars: str) -> Column:
-    places = F.sequence(F.lit(0), F.greatest(F.size(chars) - SHINGLE, F.lit(0)))
-    return F.array_distinct(F.transform(places, lambda i: _shingle(F.col(chars), i)))
+def _shingle(wide: Column, i: Column) -> Column:
+    """Hash of the characters from one on."""
+    return F.xxhash64(F.substring(wide, i * WIDE + 1, F.lit(SHINGLE * WIDE)))
 
 
 def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(key, dig, drop): the numbers of the lines, from 0, that each document (doc_id and digest of the text) loses."""
     tables = Tables(docs.sparkSession)
     lines = _lines(docs)
-    shingles = lines.select("node", _chars("line").alias("chars"))
-    shingles = shingles.select("node", "chars", F.posexplode("chars").alias("i", "char")).filter(f"i = 0 OR i <= size(chars) - {SHINGLE}")
-    shingles = shingles.select("node", _shingle(F.col("chars"), F.col("i")).alias("h"))
-    signature = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(HASHES)]
+    shingles = lines.select("node", _plain("line").alias("plain"))
+    shingles = shingles.select("node", F.encode("plain", "UTF-32").alias("wide"), F.explode(_places(F.col("plain"))).alias("i"))
+    shingles = shingles.select("node", _shingle(F.col("wide"), F.col("i")).alias("h"))
+    signature = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
     # one pass: partial minima per line on the map side, merged over equal lines; all buffers are numbers, so they are hashed
     distinct = shingles.groupBy("node").agg(*signature)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
@@ -75,16 +78,15 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     def prepare(nodes: DataFrame) -> None:
         # only digests are sent round, up to IDS of them; beyond it lines meet them in a shuffle, as text
         some = lines.select("node", "line").join(broadcast_if_small(nodes, IDS), "node").dropDuplicates(["node"])
-        sets["a"] = tables.write(some, "sets")
+        some = some.select("node", _plain("line").alias("plain")).select("node", "plain", F.encode("plain", "UTF-32").alias("wide"))
+        held = F.array_distinct(F.transform(_places(F.col("plain")), lambda i: _shingle(F.col("wide"), i)))
+        sets["a"] = tables.write(some.select("node", held.alias("held")), "sets")
 
     def near(pairs: DataFrame) -> DataFrame:
-        # lines travel as text, an eighth of their shingles' hashes
         both = F.size(F.array_intersect("ia", "ib"))
         return (
-            pairs.join(sets["a"].select(F.col("node").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
-            .join(sets["a"].select(F.col("node").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
-            .select("a", "b", _chars("la").alias("ca"), _chars("lb").alias("cb"))
-            .select("a", "b", _shingles("ca").alias("ia"), _shingles("cb").alias("ib"))
+            pairs.join(sets["a"].select(F.col("node").alias("a"), F.col("held").alias("ia")).hint("merge"), "a")
+            .join(sets["a"].select(F.col("node").alias("b"), F.col("held").alias("ib")).hint("merge"), "b")
             .withColumn("both", both)
             .filter(100 * F.col("both") >= percent * (F.size("ia") + F.size("ib") - F.col("both")))
         )
