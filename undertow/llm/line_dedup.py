@@ -55,7 +55,9 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     tables = Tables(docs.sparkSession)
     lines = _lines(docs)
     shingles = lines.select("node", _plain("line").alias("plain"))
-    shingles = shingles.select("node", F.encode("plain", "UTF-32").alias("wide"), F.explode(_places(F.col("plain"))).alias("i"))
+    # below the explosion, so that a line is encoded once
+    shingles = shingles.select("node", F.encode("plain", "UTF-32").alias("wide"), _places(F.col("plain")).alias("places"))
+    shingles = shingles.select("node", "wide", F.explode("places").alias("i"))
     shingles = shingles.select("node", _shingle(F.col("wide"), F.col("i")).alias("h"))
     signature = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
     # one pass: partial minima per line on the map side, merged over equal lines; all buffers are numbers, so they are hashed
