@@ -81,6 +81,8 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
         # only digests are sent round, up to IDS of them; beyond it lines meet them in a shuffle, as text
         some = lines.select("node", "line").join(broadcast_if_small(nodes, IDS), "node").dropDuplicates(["node"])
         some = some.select("node", _plain("line").alias("plain")).select("node", "plain", F.encode("plain", "UTF-32").alias("wide"))
+        # written, for the planner would else encode the line again for each of its shingles
+        some = tables.write(some, "wide")
         held = F.array_distinct(F.transform(_places(F.col("plain")), lambda i: _shingle(F.col("wide"), i)))
         sets["a"] = tables.write(some.select("node", held.alias("held")), "sets")
 
@@ -94,7 +96,7 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
         )
 
     found = linked_components(members, near, likely, prepare)
-    tables.drop("sets")
+    tables.drop("sets", "wide")
     named = distinct.select("node").join(found.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("node", F.coalesce("component", "node").alias("component"))
     place = F.struct("key", "dig", "pos")
