@@ -205,6 +205,25 @@ def test_near_vectors(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_near_vectors_of_many_cells(spark, monkeypatch):
+    """Small cells and blocks: no link is made up or counted twice, and the measured bound reaches nearly all."""
+    from undertow.llm import multi_index
+
+    monkeypatch.setattr(multi_index, "CELL", 12)
+    monkeypatch.setattr(multi_index, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(30, 16))
+    x = (centre[rng.integers(0, 30, 900) // rng.integers(1, 9, 900)] + rng.normal(0, 0.2, (900, 16))).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i]], 1) for i in range(900)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in multi_index.near_vectors(frame).collect()}
+    want = near.sum(1)
+    assert all(got[i] <= want[i] for i in range(900))
+    assert sum(got.values()) >= 0.99 * want.sum() > 1000
+
+
 def test_language(spark):
     from undertow.llm.langid import BiGru, predictions
 
