@@ -94,7 +94,8 @@ def min_cost_flow(supply: dict[tuple, float], quota: dict[str, float], epochs: i
 def mix(docs: DataFrame, size: Column, members: Column, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
     """docs with size, source_size, target and taken: how many of its words the mix takes of each document.
 
-    `members` is the array of the sources a document belongs to (null among them counts as a source). Documents are
+    `members` is the array of the sources a document belongs to (null among them counts as a source, a null array is one
+    of the null source alone). Columns of these four names in the input are replaced, all others stay. Documents are
     counted by membership pattern; sources in code point order, null last, get the weights in turn and share `share`
     times all words, none above `most` times its size. The flow gives each pattern its words per round: full rounds take
     every document, the last one a seeded selection: documents in the order of a hash of (doc_id, seed) while they fit, and
@@ -105,7 +106,11 @@ def mix(docs: DataFrame, size: Column, members: Column, weights: list[float], sh
     """
     place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(BINS * BINS))
     key = F.concat_ws("\u0001", F.transform("_of", lambda q: F.coalesce(F.concat(F.lit("="), q), F.lit("-"))))
-    tagged = docs.withColumn("size", size.cast("long")).withColumn("_of", members).withColumn("_place", place).withColumn("_key", key)
+    # the input's columns travel in one struct, so that none meets a name used here
+    mine = ("size", "source_size", "target", "taken")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in mine])
+    of = F.coalesce(members, F.array(F.lit(None).cast("string")))
+    tagged = docs.select(row.alias("_row"), "doc_id", size.cast("long").alias("size"), of.alias("_of"), place.alias("_place")).withColumn("_key", key)
     # what the decisions need, read from the texts once
     slim = cut_lineage(tagged.select("doc_id", "size", "_of", "_key", "_place"))
     supply, keys = {}, {}
@@ -137,7 +142,7 @@ def mix(docs: DataFrame, size: Column, members: Column, weights: list[float], sh
     out = tagged.join(F.broadcast(plan), "_key")
     inside = (F.col("_place") < F.col("_border")) | F.coalesce(F.col("doc_id") == F.col("_closing"), F.lit(False))
     taken = F.col("size") * (F.col("_full") + F.when(inside, 1).otherwise(0))
-    return out.withColumn("taken", taken.cast("long")).drop("_of", "_place", "_key", "_full", "_border", "_closing")
+    return out.select("_row.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def _small(spark, rows: list[tuple], schema: str) -> DataFrame:

@@ -126,7 +126,7 @@ def resolver(size: int):
         doc, lo, snips = doc[fresh], lo[fresh], snips.filter(pa.array(fresh))
         found = [np.zeros(0, np.int64)] * 2
         for _, _, data, at in slices(snips, 1 << 62):
-            # snippets one after another, each closed by a zero byte, which a text does not hold in practice
+            # snippets one after another, each closed by a zero byte; a text may hold such bytes as well
             length = np.diff(at)
             owner = np.repeat(np.arange(len(length)), length + 1)
             place = np.arange(len(owner)) - np.repeat(at[:-1] + np.arange(len(length)), length + 1)
@@ -134,14 +134,14 @@ def resolver(size: int):
             text[place < length[owner]] = data
             order, words = two_stage(text, size + 8)
             deep = common_prefixes(order, words, size) >= size
+            # a run of deep neighbours is one window of `size` bytes, counted before windows that reach over a border go
+            run = np.cumsum(~deep)
             whole = length[owner[order]] - place[order] >= size
-            order, deep = order[whole], deep[whole]
+            order, run = order[whole], run[whole]
             if not len(order):
                 continue
-            # runs of deep neighbours are equal windows; the rows come by document and place, so the first is the smallest
-            head = np.flatnonzero(~deep)
-            if not len(head) or head[0] != 0:
-                head = np.r_[0, head]
+            # the rows come by document and place, so the first of a run is the smallest
+            head = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             earliest = np.minimum.reduceat(order, head)
             first = np.repeat(earliest, np.diff(np.r_[head, len(order)]))
             later = order[order != first]
