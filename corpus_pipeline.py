@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.llm.langid import identify
@@ -16,34 +16,61 @@ from undertow.session import shared_dir
 LEAST_SHARE = 0.3
 
 
+def _apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs as the columns that a stage needs, and all others in one struct, where they meet no column of an operator."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(F.lit(True).alias("_"), *rest).alias("_rest"))
+
+
+def _whole(done: DataFrame, docs: DataFrame, *needed: str, **changed: Column) -> DataFrame:
+    """The columns of docs, in their order, from what _apart made; `changed` are computed anew."""
+    return done.select(*[changed[c].alias(c) if c in changed else F.col(c) if c in needed else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the network learns from these documents' own labels."""
-    named = identify(docs, docs)
-    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    """Documents whose language is recognised; the network learns from these documents' own labels.
+
+    Null, empty and letterless texts go. Rows that repeat stay or go alike. Null labels are not learnt from.
+    """
+    needed = "doc_id", "text", "lang"
+    named = identify(_apart(docs, *needed), docs)
+    return _whole(named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)), docs, *needed)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less lines that an earlier document holds; a document with no line left was made of copies and goes."""
-    done = dedup_lines(docs)
+    """Texts less lines that an earlier document holds; a document with no line left was made of copies and goes.
+
+    Null and empty texts have no line to lose and stay; n_chars, if there, follows the text. Rows that repeat a doc_id
+    and text share their verdict; of ties the smaller doc_id keeps its line, null first.
+    """
+    needed = "doc_id", "text"
+    done = dedup_lines(_apart(docs, *needed))
     done = done.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return _whole(done, docs, *needed, **changed)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words to a shingle, similarity 0.8."""
-    kept = near_duplicates(docs, size=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns)
+    """One document of each group of near-duplicates: five words to a shingle, similarity 0.8.
+
+    Null, empty and blank texts and null ids are near nothing and stay; rows that repeat a kept doc_id all stay.
+    """
+    kept = near_duplicates(docs, size=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("NOT contaminated").select(*docs.columns)
+    """Documents that hold no benchmark item; null and empty texts hold none, repeated rows go alike."""
+    needed = "doc_id", "text"
+    found = contamination(_apart(docs, *needed), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _whole(found.filter("NOT contaminated"), docs, *needed)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with their number (twice a document's size: two rounds)."""
+    """The documents that the mix takes words of, with their number (twice a document's size: two rounds).
+
+    Null and blank texts have no words and go. Columns size, source_size, target and taken of the input are replaced.
+    """
     return mix(docs, word_count(), F.array("source"), [3.0, 1.0, 2.0], share=1.5, most=2.0).filter("taken > 0")
 
 
