@@ -93,3 +93,21 @@ def test_mixing_stage_takes_effect(spark):
     whole = {r["doc_id"]: r["taken"] for r in mix(frame, word_count(), F.array("source"), [3.0, 1.0, 2.0], share=1.5, most=2.0).collect()}
     got = {r["doc_id"]: r["taken"] for r in STAGES["mixing"](spark, frame, "").collect()}
     assert 0 in whole.values() and got == {i: n for i, n in whole.items() if n > 0}
+
+
+def test_clashing_names_and_empty_tables(spark, sf):
+    """Columns named like an operator's own come back as they were, and an empty table stays one."""
+    rng = np.random.default_rng(31)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    one = prose(60)
+    rows = [(1, one, "en", "s", 7), (2, prose(50), "en", "s", 8), (3, one, "xx", None, 9), (4, None, None, None, 10), (4, "", "xx", "t", 11), (None, prose(20), "xx", "t", 12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_removed long")
+    frame = frame.selectExpr("*", "n_removed AS n_lines", "n_removed AS score", "n_removed AS coverage", "n_removed AS contaminated", "n_removed AS _kept_id", "n_removed AS _rest")
+    own = ["n_removed", "n_lines", "score", "coverage", "contaminated", "_kept_id", "_rest"]
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        done = stage(spark, frame, sf)
+        assert done.columns == frame.columns, name
+        # the copy goes, or what is left of it
+        want = [7, 8, 10, 11, 12] if name != "decontamination" else [7, 8, 9, 10, 11, 12]
+        assert sorted(tuple(r) for r in done.select(*own).collect()) == [(k,) * len(own) for k in want], name
+        assert stage(spark, frame.limit(0), sf).count() == 0, name
