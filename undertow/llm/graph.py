@@ -125,7 +125,8 @@ def linked_components(
         rest = rest.join(parts.hint("merge"), "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count))
         rest = tables.write(_gathered(rest, n), "rest")
         pivots = rest.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("tag").alias("tag_b"))
-        pairs = rest.join(pivots.hint("merge"), "key").filter("component <> pc").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        # two pivots meet once
+        pairs = rest.join(pivots.hint("merge"), "key").filter("component <> pc AND (NOT pivot OR node < p)").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         links = tables.write(near(pairs).select("a", "b"), "links")
         if n := links.count():
             held += n

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undertow.llm.graph import PAIRWISE, linked_components
 from undertow.llm.tables import Tables
 from undertow.llm.text import Words, mix, signed, slices
-from undertow.session import broadcast_if_small
+from undertow.session import broadcast_if_small, is_small
 
 #: Values kept of each set, and the rarest of them that open an inverted list if it is short.
 SKETCH, LISTS = 32, 20
-#: Of the pairs of long lists one in so many opens a list of its own, drawn by hash and not by rarity.
-DRAW = 16
-#: Sets of up to so many values open all pairs of the long lists among their SURE rarest values.
-SMALL, SURE = 40, 10
+#: Of the pairs of long lists among the FEW rarest values one in so many opens a list of its own, drawn by hash.
+DRAW, FEW = 4, 22
+#: Sets of up to so many values open all pairs of the long lists that a set at the threshold can need.
+SMALL = 40
+#: Lists of a set, the smallest keys, that its other lists know of: a pair is not compared again in each list it shares.
+FIRST = 8
+#: Bytes of sketches or sets that are sent round to the pairs; beyond it both are shuffled.
+SENT = 32 << 20
+#: Pairs that one task compares.
+TASK_PAIRS = 10_000
 #: A pair goes on to the exact check when the union sketch estimates this share of the threshold or more.
 SLACK = 0.45
 
@@ -83,17 +90,28 @@ def _sets(size: int):
     return run
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def _of(side: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of a side (its first column is an end of the pairs) that the pairs need."""
+    return side.join(pairs.select(side.columns[0]).distinct(), side.columns[0], "left_semi")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document; links are 100 * intersection >= percent * union.
 
     One hash function; each set keeps its SKETCH smallest values. Documents with equal sets form a class. Classes meet in
-    the inverted lists of their LISTS rarest kept values as far as these are short, else in lists of two values and a
-    size class: of all pairs of values with long lists one in DRAW, drawn by hash; small sets open all pairs of their
-    SURE rarest. Values that a set does not share with its partner come first where they are rarer, so nothing is assumed
-    about the ones drawn: of f such values in a sketch at the threshold, f is binomial (SKETCH, 1 - percent / 100). At
-    0.8 the short lists miss a pair when f >= LISTS (2e-7), the drawn pairs with (1 - 1 / DRAW) ** C(SKETCH - f, 2), 4e-7 over all f, and
-    the estimate when f > 20 (3e-8); sets of up to SKETCH values are never missed. The sketch of the union estimates the similarity, the full sets
-    of the pairs left confirm it.
+    the inverted lists of their LISTS rarest kept values as far as these are short. Of the values with long lists only
+    those among the FEW rarest count, and two of them make a list; one pair in DRAW is opened, drawn by hash. A passage
+    that many documents hold is what is commonest in their sketches, so it mostly falls to the values left out, while
+    copies still share many pairs. At the threshold f of the values of a sketch are not shared, f being binomial
+    (SKETCH, 1 - percent / 100), and FEW - f of the FEW rarest are, whichever values are the rare ones: at 0.8 the drawn
+    pairs miss a link with (1 - 1 / DRAW) ** C(FEW - f, 2), 6e-6 over all f, the short lists when f >= LISTS (2e-7), the
+    estimate when f > 20 (3e-8). A set of n <= SMALL values has at most n * (1 - percent / 100) values that its partner
+    lacks, so all pairs of its two more rarest are opened; sets of up to SKETCH values are never missed. The sketch of
+    the union estimates the similarity, the full sets of the pairs left confirm it.
 
     Null, empty and blank texts have an empty set and link with nothing. Rows that repeat a doc_id and text get equal
     rows; a null doc_id stays alone with a null component and is kept. Other columns are ignored. Empty in, empty out.
@@ -112,19 +130,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("best"))
     )
-    single = rare.select(F.col("rep").alias("node"), F.explode(F.expr("transform(filter(slice(best, 1, %d), x -> x.size <= %d), x -> x.key)" % (LISTS, PAIRWISE))).alias("key"))
-    # values of long lists open lists of two values each, for sets of like size: copies share many, other documents few
-    long = "array_sort(transform(filter(%%s, x -> x.size > %d), x -> x.key))" % PAIRWISE
+    single = rare.select("rep", F.explode(F.expr("transform(filter(slice(best, 1, %d), x -> x.size <= %d), x -> x.key)" % (LISTS, PAIRWISE))).alias("key"))
+    single = single.join(classes.select("rep", "n"), "rep").select(F.col("rep").alias("node"), "key", F.struct("n", F.array().cast("array<long>").alias("first")).alias("tag"))
+    # values of long lists open lists of two values each: copies share many, other documents few
+    long = "array_sort(transform(filter(slice(best, 1, %%s), x -> x.size > %d), x -> x.key))" % PAIRWISE
+    needed = "cast(floor(n * %s + 1e-9) AS int) + 2" % round(1 - share, 9)
     twos = "flatten(transform(%s, (x, i) -> transform(slice(%s, i + 2, size(%s)), y -> xxhash64(x, y))))"
-    drawn = F.when(F.col("n") >= SKETCH, F.expr("filter(%s, h -> pmod(h, %d) = 0)" % (twos % ("v", "v", "v"), DRAW)))
-    every = F.when(F.col("n") <= SMALL, F.expr(twos % ("w", "w", "w")))
-    grade = F.floor(F.log("n") / float(np.log(1 / share)) + 1e-9)
+    none = F.array().cast("array<long>")
+    drawn = F.when(F.col("n") >= SKETCH, F.expr("filter(%s, h -> pmod(h, %d) = 0)" % (twos % ("v", "v", "v"), DRAW))).otherwise(none)
+    every = F.when(F.col("n") <= SMALL, F.expr(twos % ("w", "w", "w"))).otherwise(none)
     double = (
-        rare.select("rep", F.expr(long % "best").alias("v"), F.expr(long % ("slice(best, 1, %d)" % SURE)).alias("w"))
+        rare.join(classes.select("rep", "n"), "rep")
+        .select("rep", "n", F.expr(long % FEW).alias("v"), F.expr(long % needed).alias("w"))
         .filter("size(v) > 1")
-        .join(classes.select("rep", "n", grade.alias("grade")), "rep")
-        .select("rep", "grade", F.explode(F.array_union(F.coalesce(drawn, F.array().cast("array<long>")), F.coalesce(every, F.array().cast("array<long>")))).alias("h"))
-        .select(F.col("rep").alias("node"), F.explode(F.array(F.xxhash64("h", "grade"), F.xxhash64("h", F.col("grade") + 1))).alias("key"))
+        .select("rep", "n", F.array_sort(F.array_union(drawn, every)).alias("keys"))
+        .select(F.col("rep").alias("node"), F.explode("keys").alias("key"), F.struct("n", F.slice("keys", 1, FIRST).alias("first")).alias("tag"))
     )
     lists = single.union(double)
     reps = classes.select("rep", "n", "sketch")
@@ -134,6 +154,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
         overlap = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
+        pairs = tables.write(pairs, "compared")
+        # the table is small for the work on it
+        pairs = pairs.repartition(math.ceil((pairs.count() + 1) / TASK_PAIRS))
+        few = is_small(_ends(pairs), SENT // (8 * SKETCH + 64))
+        left, right = (F.broadcast(_of(side, pairs)) if few else side.hint("merge") for side in (left, right))
         likely = (
             pairs.join(left, "a")
             .join(right, "b")
@@ -142,22 +167,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             .select("a", "b", "na", "nb")
         )
         likely = tables.write(likely, "likely")
-        if likely.isEmpty():
+        n = likely.count()
+        if not n:
             return likely
-        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
         # the sets of the candidates alone, read from their texts once more
-        texts = docs.join(broadcast_if_small(ids), "doc_id")
+        texts = docs.join(broadcast_if_small(_ends(likely)), "doc_id")
         sets = tables.write(texts.mapInArrow(_sets(size), "id long, items array<long>").dropDuplicates(["id"]), "sets")
+        few = sets.agg(F.sum(F.size("items") * 8 + 64)).first()[0] <= SENT
+        left, right = (sets.select(F.col("id").alias(end), F.col("items").alias(f"i{end}")) for end in "ab")
+        left, right = (F.broadcast(side) if few else side.hint("merge") for side in (left, right))
         both = F.size(F.array_intersect("ia", "ib"))
         return (
-            likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-            .withColumn("both", both)
-            .filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
+            likely.repartition(math.ceil(n / TASK_PAIRS))
+            .join(left, "a")
+            .join(right, "b")
+            .filter((100 + percent) * both >= percent * (F.col("na") + F.col("nb")))
         )
 
-    found = linked_components(lists, near)
-    tables.drop("likely", "sets")
+    def like(x: str, y: str) -> Column:
+        # a pair that shares one of its first lists is compared in the first of them only
+        first = F.array_min(F.array_intersect(f"{x}.first", f"{y}.first"))
+        return (F.least(f"{x}.n", f"{y}.n") >= share * F.greatest(f"{x}.n", f"{y}.n")) & (F.coalesce(first, "key") == F.col("key"))
+
+    found = linked_components(lists, near, like)
+    tables.drop("compared", "likely", "sets")
     named = classes.select("one", "two", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("one", "two", F.coalesce("component", "rep").alias("component"))
     lonely = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
