@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars as S
-from undertow.operators import prep, quality
+from undertow.operators import ordered, prep, quality
 from undertow.session import shared_dir
 from undertow.sources import readers, writers
 from undertow.spec import CATALOG, KDD, ZEEK
@@ -182,3 +182,8 @@ def test_flows_without_entity_keep_their_split(spark):
     assert tagged.count() == 30 and tagged.columns == [*f.columns, "split"]
     assert tagged.filter("entity_id IS NULL").select("split").distinct().count() == 1
     assert prep.split_map(f.filter("entity_id IS NULL")).count() == 1
+
+
+def test_shares_are_cut_exactly():
+    assert prep.cut_points(90_000, 0.70, 0.15) == (63_000, 76_500)  # 0.7 * 90_000 is 62,999.99... in floats
+    assert [ordered.share_of(n, s) for n, s in ((90, 0.7), (100, 0.29), (10, 0.6), (7, 0.5))] == [63, 29, 6, 3]
