@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,27 @@ def test_fused_geometry_and_information_loss(spark):
     assert got["b"]["centroid_dist"] == pytest.approx(1.0) and got["a"]["fdr"] == pytest.approx((apart**2).sum() / (sum(spread) + 1e-9))
     loss = {r["group"]: r["fdr"] for r in study.information_loss(df, "g", {"a": "a"}).collect()}
     assert set(loss) == {"g0", "g1", "g2", "lone"} and loss["lone"] == 0.0 and all(loss[g] > 0.2 for g in ("g0", "g1", "g2"))
+
+
+def test_stage_cuts_in_one_pass_and_keeps_the_number_of_files(spark):
+    import glob
+
+    rows = [(i, "E1", None if i == 0 else float(i % 97), 0.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "flow_id long, entity_id string, ts double, d double")
+    fixed = live.stage_stream(df, chunks=4, chunk_rows=None)
+    assert len(glob.glob(f"{fixed}/*.parquet")) == 4
+    grown = live.stage_stream(df, chunks=4, chunk_rows=50)
+    files = sorted(glob.glob(f"{grown}/*.parquet"), key=os.path.getmtime)
+    assert len(files) == 8
+    times = [[r["ts"] for r in spark.read.parquet(f).collect()] for f in files]
+    assert sorted((t for part in times for t in part), key=lambda t: -1 if t is None else t) == sorted((r[2] for r in rows), key=lambda t: -1 if t is None else t)
+    assert None in times[0]
+    known = [[t for t in part if t is not None] for part in times]
+    assert all(max(a) < min(b) for a, b in zip(known, known[1:]))
+
+
+def test_r07_feeds_four_files_whatever_the_rows(spark, sf, monkeypatch):
+    from undertow.plans import queries_streaming as q
+
+    monkeypatch.setattr(live.stage_stream, "__defaults__", ("ts", 4, 100))  # files of 100 rows: ten of them at sf0.001
+    assert q.r07_stream_rates(spark, sf).first().asDict() == {"input_rows": 1000, "batches": 4, "rated": True}

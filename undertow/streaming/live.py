@@ -115,22 +115,30 @@ def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append") ->
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def stage_stream(df: DataFrame, order: str = "ts", chunks: int = 4, chunk_rows: int = 1_000_000) -> str:
+#: Rows of a chunk of a replayed stream, and of a task that cuts one.
+CHUNK_ROWS = 1_000_000
+
+
+def stage_stream(df: DataFrame, order: str = "ts", chunks: int = 4, chunk_rows: int | None = CHUNK_ROWS) -> str:
     """Write a table as files in time order, one chunk after another, for replay as a stream; rows without a time first.
 
-    A file is a chunk, so that a trigger of one file reads a stretch of time whole; chunks grow in number, not in size.
+    A file is a chunk, so that a trigger of one file reads a stretch of time whole; chunks grow in number, not in size,
+    or keep their number when chunk_rows is None. The table is read once and cut into chunks by one shuffle; files must
+    appear one after another to be read in order, so each chunk is then copied from what was cut.
     """
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
-    chunks = max(chunks, -(-df.count() // chunk_rows))
+    n = df.count()
+    chunks = max(chunks, -(-n // chunk_rows)) if chunk_rows else chunks
     edges = df.agg(F.percentile_approx(order, [i / chunks for i in range(1, chunks)], 100 * chunks)).first()[0] if chunks > 1 else []
-    bounds = [None, *(edges or []), None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        after = F.col(order) > lo if lo is not None else F.lit(True)
-        upto = F.col(order) <= hi if hi is not None else F.lit(True)
-        if lo is None and hi is not None:
-            upto = F.coalesce(upto, F.lit(True))
-        df.filter(after & upto).coalesce(1).write.mode("append").parquet(base)
+    # edges at or above the value are not passed; a null passes none
+    passed = [F.coalesce((F.col(order) > e).cast("int"), F.lit(0)) for e in edges or []]
+    pieces = max(1, -(-n // (chunks * CHUNK_ROWS)))
+    cut = df.withColumn("_chunk", sum(passed, F.lit(0))).repartition(chunks * pieces, "_chunk", F.pmod(F.xxhash64(order), F.lit(pieces)))
+    cut.write.partitionBy("_chunk").parquet(f"{base}-cut")
+    stored = spark.read.schema(cut.schema).parquet(f"{base}-cut")
+    for i in range(chunks):
+        stored.filter(F.col("_chunk") == i).drop("_chunk").coalesce(1).write.mode("append").parquet(base)
     return base
 
 
