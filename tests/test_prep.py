@@ -187,3 +187,28 @@ def test_flows_without_entity_keep_their_split(spark):
 def test_shares_are_cut_exactly():
     assert prep.cut_points(90_000, 0.70, 0.15) == (63_000, 76_500)  # 0.7 * 90_000 is 62,999.99... in floats
     assert [ordered.share_of(n, s) for n, s in ((90, 0.7), (100, 0.29), (10, 0.6), (7, 0.5))] == [63, 29, 6, 3]
+
+
+def test_a_log_in_several_files_is_read_in_path_order(spark, tmp_path):
+    path = str(tmp_path / "log")
+    (tmp_path / "log").mkdir()
+    for name, lines in (("part-1", ["# only notes"]), ("part-2", ["head,line"]), ("part-3", ["x" * 500])):
+        (tmp_path / "log" / name).write_text("\n".join(lines) + "\n")
+    assert readers.first_line(spark, path) == "head,line"
+
+
+def test_written_events_are_no_single_file(spark, sf):
+    from undertow.plans import queries_io as q
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = q._write_csv(spark, sf, True)
+        assert len(spark.read.text(path).inputFiles()) > 1
+        got = {r["flow_id"]: r["service"] for r in readers.read_flows(spark, path, q.SPEC).collect()}
+        row = q.s06_dataset_manifest(spark, sf).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    from undertow.plans import flows as src
+
+    assert got == {r["flow_id"]: r["event_type"] for r in src.events(spark, sf).collect()}
+    assert [(r["row_count"], r["columns_count"], r["hash_length"]) for r in row] == [(1000, 7, 64)]

@@ -50,10 +50,13 @@ def _located(df: DataFrame) -> DataFrame:
 
 
 def first_line(spark: SparkSession, path: str) -> str:
-    """The first line that is neither blank nor a comment, however many of those come before it."""
+    """The first line in path order that is neither blank nor a comment, however many of those come before it."""
     line = F.trim(F.regexp_replace("value", f"[{BOM}\t\r]", " "))
-    found = spark.read.text(path).filter((line != "") & ~line.startswith("#")).head(1)
-    return found[0]["value"].lstrip(BOM).strip() if found else ""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        found = spark.read.text(file).filter((line != "") & ~line.startswith("#")).head(1)
+        if found:
+            return found[0]["value"].lstrip(BOM).strip()
+    return ""
 
 
 def _cells(line: str) -> list[str]:
