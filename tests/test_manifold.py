@@ -175,3 +175,23 @@ def test_switches_speak_up(spark):
     with pytest.warns(UserWarning, match="wider than 2"):
         assert scoring.fit_base(df, wide=2).normal.kind == "cosine"
     assert manifold.fit_manifold(df, "h", wide=None).kind == "full"
+
+
+def test_neighbours_of_scattered_vectors_travel_by_group(spark, monkeypatch):
+    from undertow.operators import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(nearest, "HELD", 60)  # ten rows of six numbers leave a task at a time
+    size = np.full(30, 10)
+    group = nearest._groups(np.random.default_rng(1).normal(size=(30, 6)), size)
+    assert np.bincount(group, size).tolist() == [100, 100, 100]
+    seen = []
+    compared = nearest._compared
+    monkeypatch.setattr(nearest, "_compared", lambda members, visits, blocks: seen.append(visits.count()) or compared(members, visits, blocks))
+    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(2).normal(size=(300, 6)))]
+    df = spark.createDataFrame(rows, "flow_id long, h array<double>")
+    got = {r["flow_id"]: r["d"] for r in nearest.nearest_distance(df, "h", df, "d").collect()}
+    x = np.array([v for _, v in rows])
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag(np.full(300, np.inf))
+    assert got == pytest.approx(dict(enumerate(gap.min(1))), abs=1e-12)
+    assert seen[0] == 300 and seen[1] <= 300 * (len(set(group)) + 1)
