@@ -221,3 +221,11 @@ def test_runs_are_written_from_rows_joined_once(spark, sf, monkeypatch):
     monkeypatch.setattr(q.writers, "write_run", lambda folder, config, metrics, decisions: seen.append(decisions))
     q._runs(spark, sf)
     assert seen and not any("Join" in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)
+
+
+def test_curriculum_computes_its_windows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    hard = F.udf(lambda i: seen.add(1) or float(i % 3), "double")
+    rows = spark.range(60).select(F.lit("E").alias("entity_id"), F.col("id").alias("start"), hard("id").alias("hardness"))
+    assert prep.curriculum_sample(rows, 1).count() == 60
+    assert seen.value == 60
