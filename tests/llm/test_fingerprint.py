@@ -136,3 +136,31 @@ def test_edited_features_equal_those_of_the_edited_text(n):
         raws = [t.encode() for t in texts]
         made, chains = fp.edited(texts, raws, fp.text_features(raws, ranks), ranks)
         assert chains[0].tolist() == fp.text_features([made[0].encode()], ranks)[0][1].tolist()
+
+
+def _every_level(texts):
+    return Counter(_level(raw[i : i + 32]) for raw in texts for i in range(len(raw) - 31))
+
+
+@pytest.mark.parametrize("size", [1 << 20, 700, 32, 1])
+def test_every_window_is_counted_once(monkeypatch, size):
+    texts = [(t or "").encode() for _, t in _documents()]
+    monkeypatch.setattr(fp, "SLICE_BYTES", size)
+    counts = fp.level_counts(texts)
+    assert {k: int(n) for k, n in enumerate(counts) if n} == _every_level(texts)
+    assert not fp.level_counts([]).any()
+
+
+def test_the_query_ranks_by_every_window(spark, tmp_path):
+    from undertow.llm.queries import QUERIES
+
+    rows = _documents()
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["fingerprint"] for r in QUERIES["op11_improbable_features"](spark, str(tmp_path)).collect()}
+    texts = [(t or "").encode() for _, t in rows]
+    counts = _every_level(texts)
+    rank = {level: r for r, level in enumerate(sorted(range(1001), key=lambda k: (counts[k], -k)))}
+    want = {doc_id: _brute_print(raw, rank) for (doc_id, _), raw in zip(rows, texts)}
+    ends = _brute_ranks([t or "" for _, t in rows])
+    assert got == want
+    assert got != {doc_id: _brute_print(raw, ends) for (doc_id, _), raw in zip(rows, texts)}

@@ -213,20 +213,50 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
 # --------------------------------------------------------------------------- documents
 
 
-def entropy_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """Windows per level over all texts, each text cut into windows end to end (the last one overlaps), and all bytes."""
+def level_counts(texts: list[bytes]) -> np.ndarray:
+    """Windows per level over every window of every text, SLICE_BYTES of text or so at a time."""
+    seen = np.zeros(LEVELS + 1, np.int64)
+    pieces, held = [], 0
+    for raw in texts:
+        # slices of a long text overlap, so that each window lies in one of them
+        for a in range(0, len(raw) - WINDOW + 1, SLICE_BYTES):
+            pieces.append(raw[a : a + SLICE_BYTES + WINDOW - 1])
+            held += len(pieces[-1])
+            if held >= SLICE_BYTES:
+                seen += _levels_of(pieces)
+                pieces, held = [], 0
+    return seen + _levels_of(pieces)
+
+
+def _levels_of(pieces: list[bytes]) -> np.ndarray:
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    _, level = window_levels(data, np.r_[0, np.cumsum([len(p) for p in pieces], dtype=np.int64)])
+    return np.bincount(level, minlength=LEVELS + 1)
+
+
+def _end_to_end(texts: list[bytes]) -> np.ndarray:
+    """Windows per level where each text is cut into windows end to end; the last one overlaps."""
+    seen = np.zeros(LEVELS + 1, np.int64)
+    for raw in texts:
+        data = np.frombuffer(raw, np.uint8)
+        for a in range(0, len(raw), SLICE_BYTES):
+            piece = data[a : a + SLICE_BYTES]
+            if len(piece) >= WINDOW:
+                starts = np.unique(np.r_[np.arange(0, len(piece) - WINDOW + 1, WINDOW), len(piece) - WINDOW])
+                seen += np.bincount(entropy_levels(_block_sums(piece[starts[:, None] + np.arange(WINDOW)])), minlength=LEVELS + 1)
+    return seen
+
+
+def entropy_counts(docs: DataFrame, text: str = "text", every: bool = False) -> tuple[np.ndarray, int]:
+    """Windows per level over all texts, and all bytes: every window, or windows end to end."""
+    counted = level_counts if every else _end_to_end
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size = np.zeros(LEVELS + 1, np.int64), 0
         for batch in batches:
-            for raw in (t.encode() for t in batch.column(0).to_pylist()):
-                size += len(raw)
-                data = np.frombuffer(raw, np.uint8)
-                for a in range(0, len(raw), SLICE_BYTES):
-                    piece = data[a : a + SLICE_BYTES]
-                    if len(piece) >= WINDOW:
-                        starts = np.unique(np.r_[np.arange(0, len(piece) - WINDOW + 1, WINDOW), len(piece) - WINDOW])
-                        seen += np.bincount(entropy_levels(_block_sums(piece[starts[:, None] + np.arange(WINDOW)])), minlength=LEVELS + 1)
+            raws = [t.encode() for t in batch.column(0).to_pylist()]
+            size += sum(map(len, raws))
+            seen += counted(raws)
         level = np.r_[np.arange(LEVELS + 1), -1]
         yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(np.r_[seen, size])], names=["level", "n"])
 
@@ -297,7 +327,7 @@ def _portions(batch: pa.RecordBatch, ids: int, texts: int) -> Iterator[tuple[lis
         at = end
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, every: bool = False) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
     Documents are ordered by doc_id, null first; rows of one doc_id by a digest of the text, so rows that repeat a
@@ -305,11 +335,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     empty; an empty text has no feature and is like an empty text alone. A text of under WINDOW bytes is one feature.
     Other columns are not read. Empty in, empty out.
 
+    How rare an entropy is, is counted over every window of every text if `every` is set, else over windows end to end.
+    Either way every window is ranked by it.
+
     Texts are shuffled once, by ranges; a partition gives the rows of all its documents but the last, whose next document
     opens the partition after it. The first and last texts of the partitions are kept and meet in a join.
     """
     spark = docs.sparkSession
-    counts, size = entropy_counts(docs)
+    counts, size = entropy_counts(docs, every=every)
     ranks = rarity(counts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"_t": F.xxhash64("text"), "_at": F.monotonically_increasing_id()})

@@ -91,7 +91,7 @@ def op2_host_suffix_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents"), every=True)
 
 
 @query
