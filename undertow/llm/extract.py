@@ -1,4 +1,4 @@
-"""Main text of web pages: structure parts the page, a suffix array over each host's pages finds repeated boilerplate."""
+"""Main text of web pages: structure parts the page, suffixes of each host's pages find repeated boilerplate in every part."""
 
 from __future__ import annotations
 
@@ -14,10 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.llm.spans import _grouped, merged
-from undertow.llm.text import WORD_BASE, Words, prefix_hash, signed, span_hash
+from undertow.llm.tables import Tables
+from undertow.llm.text import WORD_BASE, Words, prefix_hash, signed, sliding_min, span_hash
+from undertow.session import broadcast_if_small
 
 #: Words of the shortest run that counts as boilerplate, words that suffixes are compared by, and streams that repeat it.
 RUN, DEPTH, STREAMS = 5, 12, 3
+#: In articles, whose prose repeats phrases: words of the shortest run that counts, and words of the grams it is found by.
+ARTICLE_RUN, GRAM = 20, 5
+#: Grams that a task holds before it looks for those that half of a host's articles share.
+HELD = 1 << 22
 
 # a quote opens a value only after "="; no part is ever given back, and markup left open ends with the page, so a page is read once
 _TAG = re.compile(
@@ -148,9 +154,9 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def _streams(pages: list[list[tuple[str, bool, bool]]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(word hashes, their block) of the blocks outside the article of each page: its part of its host's token stream."""
-    texts = [(p, k, t.encode()) for p, found in enumerate(pages) for k, (t, within, off) in enumerate(found) if off or not within]
+def _streams(pages: list[list[tuple[str, bool, bool]]], article: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, their block) of the blocks outside the article of each page, or in it: its part of its host's token stream."""
+    texts = [(p, k, t.encode()) for p, found in enumerate(pages) for k, (t, within, off) in enumerate(found) if (within and not off) == article]
     data = np.frombuffer(b"".join([t for *_, t in texts]), np.uint8)
     words = Words(data, np.r_[0, np.cumsum([len(t) for *_, t in texts])].astype(np.int64))
     page = np.array([p for p, *_ in texts], np.int64)[words.row]
@@ -168,6 +174,12 @@ def _host(url: str | None) -> str:
     return (url or "").split("://", 1)[-1].split("/", 1)[0].lower()
 
 
+def _runs(url: str | None, tokens: np.ndarray) -> np.ndarray:
+    """Hash of the host and of the RUN words from each word on."""
+    first = np.arange(len(tokens) - RUN + 1)
+    return span_hash(prefix_hash(tokens, WORD_BASE), WORD_BASE, first, first + RUN) ^ np.array([_id(_host(url), tokens[:0])]).view(np.uint64)
+
+
 def _suffixes(batches):
     for batch in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
         keys, suffix, stream, place = [], [], [], []
@@ -178,7 +190,7 @@ def _suffixes(batches):
                 continue
             sid = _id(_host(url), tokens)
             first = np.arange(n)
-            key = span_hash(prefix_hash(tokens, WORD_BASE), WORD_BASE, first, first + RUN) ^ np.array([_id(_host(url), tokens[:0])]).view(np.uint64)
+            key = _runs(url, tokens)
             short = np.r_[(tokens >> np.uint64(33)).astype(">u4"), np.zeros(DEPTH, ">u4")]
             rows = np.lib.stride_tricks.sliding_window_view(short, DEPTH)[:n]
             keys.append(key)
@@ -218,15 +230,140 @@ def _covered(spans: list | None, n: int) -> np.ndarray:
     return np.cumsum(mark)[:-1] > 0
 
 
+# --------------------------------------------------------------------------- runs within articles
+
+
+def _grams(tokens: np.ndarray) -> np.ndarray:
+    """For every suffix of ARTICLE_RUN words or more, the least gram of its first ARTICLE_RUN words."""
+    if len(tokens) < ARTICLE_RUN:
+        return np.zeros(0, np.int64)
+    at = np.arange(len(tokens) - GRAM + 1)
+    return signed(sliding_min(span_hash(prefix_hash(tokens, WORD_BASE), WORD_BASE, at, at + GRAM), ARTICLE_RUN - GRAM + 1))
+
+
+def _prefixes(tokens: np.ndarray) -> np.ndarray:
+    """Hash of the first ARTICLE_RUN words of every suffix that has as many."""
+    at = np.arange(max(0, len(tokens) - ARTICLE_RUN + 1))
+    return signed(span_hash(prefix_hash(tokens, WORD_BASE), WORD_BASE, at, at + ARTICLE_RUN))
+
+
+_SHARED = "host string, gram long, over long, pages long, slack long, stream long"
+
+
+def _shared(batches):
+    """Grams that half of a host's articles hold among those of one task, the articles counted, and their streams; one reading
+    of the pages also gives, without host, the runs of RUN words outside articles (as gram) with their streams.
+
+    What half of all articles hold, half of them hold in some task: `over` is what a gram's count exceeds the most that
+    it could have without being named (slack), so the sums of `over` and of all slacks bound its count from above.
+    """
+    known: set[int] = set()
+    hosts: dict[str, int] = {}
+    keys, owner, streams, size = [], [], [], 0
+
+    def flush():
+        names = list(hosts)
+        host = np.array(owner, np.int64)
+        pages = np.bincount(host, minlength=len(names))
+        slack = (pages - 1) // 2
+        key, of = np.concatenate(keys), np.repeat(host, [len(k) for k in keys])
+        order = np.lexsort((key, of))
+        key, of = key[order], of[order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])][: len(key)])
+        count = np.diff(np.r_[first, len(key)])
+        often = 2 * count >= pages[of[first]]
+        first, over = first[often], (count - slack[of[first]])[often]
+        name = pa.array(names)
+        seen = sorted(set(zip(owner, streams)))
+        for rows in (
+            [name.take(pa.array(of[first])), pa.array(key[first]), pa.array(over), None, None, None],
+            [name, None, None, pa.array(pages), pa.array(slack), None],
+            [name.take(pa.array([h for h, _ in seen])), None, None, None, None, pa.array([x for _, x in seen], pa.int64())],
+        ):
+            yield _batch(rows, len(rows[0]))
+
+    for batch in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
+        pages = [blocks(page or "") for page in batch.column(2).to_pylist()]
+        found, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for url, (tokens, _) in zip(batch.column(1).to_pylist(), _streams(pages)):
+            sid = _id(_host(url), tokens)
+            if len(tokens) >= RUN and sid not in known:
+                known.add(sid)
+                found.append(np.unique(signed(_runs(url, tokens))))
+                ids.append(np.full(len(found[-1]), sid))
+        yield _batch([None, pa.array(np.concatenate(found)), None, None, None, pa.array(np.concatenate(ids))], sum(map(len, ids)))
+        for host, (tokens, _) in zip(batch.column(0).to_pylist(), _streams(pages, article=True)):
+            if not len(tokens):
+                continue
+            keys.append(np.unique(_grams(tokens)))
+            owner.append(hosts.setdefault(host, len(hosts)))
+            streams.append(_id(host, tokens))
+            size += len(keys[-1]) + 1
+        if size >= HELD:
+            yield from flush()
+            hosts, keys, owner, streams, size = {}, [], [], [], 0
+    if size:
+        yield from flush()
+
+
+def _batch(columns: list, n: int) -> pa.RecordBatch:
+    kinds = [pa.string()] + [pa.int64()] * 5
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c for c, t in zip(columns, kinds)], [c.split()[0] for c in _SHARED.split(", ")])
+
+
+def _held(batches):
+    """Runs of every article that hold a gram which may be one of half of the host's articles."""
+    for batch in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
+        streams = _streams([blocks(page or "") for page in batch.column(1).to_pylist()], article=True)
+        for host, (tokens, _), grams in zip(batch.column(0).to_pylist(), streams, batch.column(2).to_pylist()):
+            runs = np.unique(_prefixes(tokens)[np.isin(_grams(tokens), grams)])
+            n = len(runs)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array(runs), pa.array(np.full(n, _id(host, tokens)))], ["host", "run", "stream"])
+
+
+def _frames(rows: DataFrame, found: DataFrame, tables: Tables) -> DataFrame | None:
+    """(host, runs): prefixes of the suffixes of articles that half of the host's articles hold; None if there are none."""
+    found = found.filter("host IS NOT NULL")
+    totals = found.groupBy("host").agg(F.sum("pages").alias("pages"), F.sum("slack").alias("slack"), F.count_distinct("stream").alias("streams"))
+    totals = totals.filter(F.col("streams") >= STREAMS)
+    bound = found.filter("gram IS NOT NULL").groupBy("host", "gram").agg(F.sum("over").alias("over"))
+    may = bound.join(totals, "host").filter(2 * (F.col("over") + F.col("slack")) >= F.col("pages"))
+    grams = tables.write(may.groupBy("host").agg(F.collect_list("gram").alias("grams")), "grams")
+    if grams.isEmpty():
+        return None
+    held = rows.select("host", "html").join(broadcast_if_small(grams), "host").select("host", "html", "grams").mapInArrow(_held, "host string, run long, stream long")
+    # the suffixes that begin with the same words: articles they stand in, equal ones counted each and once
+    counted = held.groupBy("host", "run", "stream").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("of"))
+    half = (2 * F.col("n") >= F.col("pages")) & (2 * F.col("of") >= F.col("streams")) & (F.col("of") >= STREAMS)
+    runs = counted.join(totals, "host").filter(half)
+    return tables.write(runs.groupBy("host").agg(F.collect_list("run").alias("runs")), "runs")
+
+
+def _unframed(found: list[tuple[str, bool, bool]], tokens: np.ndarray, of: np.ndarray, runs: list[int]) -> tuple[list[tuple[str, bool, bool]], int]:
+    """Blocks without the article's words under the host's runs, and the blocks that had some; an article mostly under them is a copy and stays."""
+    at = np.flatnonzero(np.isin(_prefixes(tokens), runs))
+    gone = _covered([{"place": p, "length": ARTICLE_RUN} for p in at.tolist()], len(tokens))
+    if not gone.any() or 2 * gone.sum() > len(tokens):
+        return found, 0
+    out = list(found)
+    touched = np.unique(of[gone]).tolist()
+    for k in touched:
+        text, within, off = found[k]
+        out[k] = " ".join(w for w, x in zip(text.split(" "), gone[of == k]) if not x), within, off
+    return out, len(touched)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_repeated): the main text of every page.
 
     Blocks of navigation, headers, footers, asides, forms and of marked classes, ids and roles (adverts, notices, menus,
-    comments, ...) go. Where a page has an article or main element its text is the rest of that; text that copies share
-    stays. Elsewhere runs of RUN words or more also go which STREAMS different streams of the host hold, and the rest of
-    their blocks stays: all pages' words outside articles form the host's token stream, its suffixes are sorted and
-    compared with their neighbours. Pages of equal streams are copies and count once. n_repeated counts the blocks with
-    words under such runs.
+    comments, ...) go. Where a page has an article or main element its text is the rest of that, without the runs of
+    ARTICLE_RUN words or more that half of the host's articles hold, and STREAMS different ones (half of the different
+    ones, too): suffixes of all articles that begin with the same words are counted. An article with more than half of its
+    words under such runs is a copy and stays whole. Elsewhere runs of RUN words or more go which STREAMS different
+    streams of the host hold: all pages' words outside articles form the host's token stream, its suffixes are sorted
+    and compared with their neighbours. Pages of equal streams are copies and count once. The rest of the runs' blocks
+    stays. n_repeated counts the blocks with words under such runs.
 
     A class, id or role marks a block by a whole name made of marks and neutral words (site-footer, not has-sidebar). Markup
     that is not closed ends with the page.
@@ -236,9 +373,16 @@ def extract(pages: DataFrame) -> DataFrame:
     ignored. Empty in, empty out.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "(?s)^(?:.*?://)?([^/]*)", 1))
+    hosted = rows.withColumn("host", host)
+    tables = Tables(pages.sparkSession)
+    shared = tables.write(hosted.select("host", "url", "html").mapInArrow(_shared, _SHARED), "shared")
+    frames = _frames(hosted, shared, tables)
+    framed = hosted.withColumn("runs", F.lit(None).cast("array<long>")) if frames is None else hosted.join(broadcast_if_small(frames), "host", "left")
     suffixes = rows.select("url", "html").mapInArrow(_suffixes, "key long, suffix binary, stream long, place long")
     # a run counts where enough different streams of the host have it
-    enough = suffixes.groupBy("key").agg(F.count_distinct("stream").alias("streams")).filter(F.col("streams") >= STREAMS).select("key")
+    outer = shared.filter("host IS NULL").select(F.col("gram").alias("key"), "stream")
+    enough = outer.groupBy("key").agg(F.count_distinct("stream").alias("streams")).filter(F.col("streams") >= STREAMS).select("key")
     distinct = suffixes.groupBy("key", "suffix").agg(F.min("stream").alias("low"), F.max("stream").alias("high")).join(enough, "key")
     runs = distinct.repartition("key").sortWithinPartitions("key", "suffix").mapInArrow(_array, "key long, suffix binary, length long")
     spans = (
@@ -249,12 +393,16 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                sids, texts, outside = [], [], []
+                sids, texts, outside, touched = [], [], [], []
                 pages = [blocks(page or "") for page in part.column(2).to_pylist()]
-                for url, found, (tokens, of) in zip(part.column(1).to_pylist(), pages, _streams(pages)):
+                runs = part.column(3).to_pylist()
+                inside = _streams(pages, article=True) if any(runs) else [(None, None)] * len(pages)
+                for url, found, (tokens, of), (own, place), gone in zip(part.column(1).to_pylist(), pages, _streams(pages), inside, runs):
                     sids.append(_id(_host(url), tokens))
+                    found, n = _unframed(found, own, place, gone) if gone else (found, 0)
+                    touched.append(n)
                     whole = any(within and not off for _, within, off in found)
-                    text = "\n".join(t for t, within, off in found if within and not off)
+                    text = "\n".join(t for t, within, off in found if t and within and not off)
                     # most of what is shuffled, so it travels compressed
                     texts.append(zlib.compress(text.encode("utf-8", "surrogatepass"), 1) if whole else None)
                     # blocks outside the article, with their words: what the runs may cover
@@ -262,14 +410,14 @@ def extract(pages: DataFrame) -> DataFrame:
                     outside.append([{"text": "" if whole or off else t, "off": off, "words": int(n)} for (t, within, off), n in zip(found, count) if off or not within])
                 kind = pa.list_(pa.struct([("text", pa.string()), ("off", pa.bool_()), ("words", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.binary()), pa.array(outside, kind), pa.array(sids, pa.int64())],
-                    ["page_id", "url", "text", "outside", "stream"],
+                    [part.column(0), part.column(1), pa.array(texts, pa.binary()), pa.array(outside, kind), pa.array(touched, pa.int64()), pa.array(sids, pa.int64())],
+                    ["page_id", "url", "text", "outside", "touched", "stream"],
                 )
 
     def finish(batches):
         for batch in batches:
             texts, repeated = [], []
-            for text, outside, spans in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            for text, outside, spans, touched in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 count = [b["words"] for b in outside]
                 parts = np.split(_covered(spans, sum(count)), np.cumsum(count)[:-1])
                 if text is not None:
@@ -279,12 +427,13 @@ def extract(pages: DataFrame) -> DataFrame:
                     left = (" ".join(w for w, gone in zip(b["text"].split(" "), part) if not gone) if part.any() else b["text"] for b, part in zip(outside, parts) if not b["off"])
                     text = "\n".join(t for t in left if t)
                 texts.append(text)
-                repeated.append(sum(bool(part.any()) for part in parts))
+                repeated.append(touched + sum(bool(part.any()) for part in parts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(repeated, pa.int64())],
                 ["page_id", "url", "text", "n_chars", "n_repeated"],
             )
 
-    parsed = rows.mapInArrow(parse, "page_id long, url string, text binary, outside array<struct<text:string,off:boolean,words:bigint>>, stream long")
-    joined = parsed.join(spans, "stream", "left").select("page_id", "url", "text", "outside", "spans")
+    outside = "array<struct<text:string,off:boolean,words:bigint>>"
+    parsed = framed.select("page_id", "url", "html", "runs").mapInArrow(parse, f"page_id long, url string, text binary, outside {outside}, touched long, stream long")
+    joined = parsed.join(spans, "stream", "left").select("page_id", "url", "text", "outside", "spans", "touched")
     return joined.mapInArrow(finish, "page_id long, url string, text string, n_chars long, n_repeated long")
