@@ -141,3 +141,11 @@ def test_codebook_gives_the_same_vectors_when_it_starts_again(monkeypatch):
     assert len(encode._codebook(200, model.seed, "c").known) <= 1024
     keys = ["tok:c:t1", "", "é"]
     assert np.array_equal(H.base_bits(keys, 77), H.pack_bits(np.stack([H.base_vector(k, 77) for k in keys])))
+
+
+def test_the_fit_reads_fixed_flows(spark, sf):
+    from undertow.plans.queries_vectors import fitted
+
+    tagged, _ = fitted(spark, sf)
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "parquet" not in plan  # neither the gaps nor the events are computed anew

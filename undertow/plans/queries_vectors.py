@@ -11,6 +11,7 @@ from undertow.operators import encode, ewma, prep, recurrent, vectors
 from undertow.plans import flows as src
 from undertow.plans.queries_prep import STATES, _tagged
 from undertow.plans.registry import DT, FLOWS, TAGGED, query, r, r6, rounded
+from undertow.session import cut_lineage
 
 D, L = 64, 32
 CATS, NUMS = src.ENCODER_CATS, src.EVENT_NUMS
@@ -53,7 +54,7 @@ enc AS (SELECT t.flow_id, t.label, NOT (a.seen AND b.seen) AS is_oov,
 
 
 def fitted(spark, sf, width=D, levels=L):
-    t = _tagged(spark, sf)
+    t = cut_lineage(_tagged(spark, sf).drop("dt"))  # read by every pass of the fit
     model = encode.fit_encoder(t.filter("split = 'train'"), CATS, NUMS, width, levels)
     return t, model
 
