@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from undertow.functions import hypervec as H
-from undertow.operators import encode
+from undertow.operators import encode, vectors
 from undertow.operators.encode import EncoderModel, majority
 
 
@@ -143,6 +143,23 @@ def test_codebook_gives_the_same_vectors_when_it_starts_again(monkeypatch):
     assert np.array_equal(H.base_bits(keys, 77), H.pack_bits(np.stack([H.base_vector(k, 77) for k in keys])))
 
 
+def test_sparse_parts_of_sparse_and_dense_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(1, Vectors.sparse(1_000_000, {0: 2.5, 7: 1.0, 999_999: -0.1})), (2, Vectors.dense([0.0, 3.0])), (3, Vectors.sparse(5, {})), (4, Vectors.dense([]))]
+    got = {r["id"]: r["p"] for r in spark.createDataFrame(rows, ["id", "v"]).select("id", vectors.sparse_parts("v").alias("p")).collect()}
+    want = {1: ([0, 7, 999_999], [2.5, 1.0, -0.1]), 2: ([0, 1], [0.0, 3.0]), 3: ([], []), 4: ([], [])}
+    assert {k: (p["indices"], p["values"]) for k, p in got.items()} == want
+
+
+def test_raw_features_query_never_fills_its_vectors(spark, sf):
+    from undertow.plans.queries_vectors import n12_raw_features
+
+    out = n12_raw_features(spark, sf)
+    assert "vector_to_array" not in out._jdf.queryExecution().toString() and "UDF(features" not in out._jdf.queryExecution().toString()
+    assert out.filter("clock_slot IS NULL OR weekday_slot IS NULL").count() == 0
+
+
 def test_the_fit_reads_fixed_flows(spark, sf):
     from undertow.plans.queries_vectors import fitted
 

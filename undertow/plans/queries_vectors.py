@@ -202,13 +202,13 @@ def h17_encoder_separability(spark, sf):
 @query(f"WITH {_CODE}, {_IDS}, n AS (SELECT count(*) FILTER (col='clock') AS nc FROM ids) SELECT t.flow_id, CAST(2 + coalesce(a.token_id, 0) AS INTEGER) AS clock_slot, CAST(2 + nc + 1 + coalesce(b.token_id, 0) AS INTEGER) AS weekday_slot, t.value, t.k "
        "FROM tagged t LEFT JOIN ids a ON a.col='clock' AND a.token=t.clock LEFT JOIN ids b ON b.col='weekday' AND b.token=t.weekday, n")
 def n12_raw_features(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
+    """The vector's own indices and values are read; it is never filled up to its width."""
     t, model = fitted(spark, sf)
-    out = encode.raw_features(t, model).withColumn("a", vector_to_array("features"))
-    slots = F.filter(F.transform("a", lambda x, i: F.when(x == 1.0, i).otherwise(-1)), lambda i: i >= 2)
-    return out.select("flow_id", F.element_at(slots, 1).alias("clock_slot"), F.element_at(slots, 2).alias("weekday_slot"),
-                      F.col("a")[0].alias("value"), F.col("a")[1].alias("k"))
+    out = encode.raw_features(t, model).withColumn("a", vectors.sparse_parts("features"))
+    at = F.map_from_arrays("a.indices", "a.values")
+    slots = F.filter("a.indices", lambda i: (i >= 2) & (F.element_at(at, i) == 1.0))
+    number = lambda i: F.coalesce(F.element_at(at, F.lit(i)), F.lit(0.0))
+    return out.select("flow_id", F.element_at(slots, 1).alias("clock_slot"), F.element_at(slots, 2).alias("weekday_slot"), number(0).alias("value"), number(1).alias("k"))
 
 
 @query(f"WITH {FLOWS}, f AS (SELECT *, hour || '_' || weekday AS pair FROM flows), v AS (SELECT pair, CAST(row_number() OVER (ORDER BY pair) - 1 AS INTEGER) AS slot FROM (SELECT DISTINCT pair FROM f)) "
