@@ -195,3 +195,31 @@ def test_neighbours_of_scattered_vectors_travel_by_group(spark, monkeypatch):
     gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag(np.full(300, np.inf))
     assert got == pytest.approx(dict(enumerate(gap.min(1))), abs=1e-12)
     assert seen[0] == 300 and seen[1] <= 300 * (len(set(group)) + 1)
+
+
+def test_robust_steps_read_the_source_once_and_match_brute_force(spark, monkeypatch, tmp_path):
+    from undertow.operators import covariance
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(400, 3)), rng.normal(5, 3, (90, 3))])
+    spark.createDataFrame([(v.tolist(),) for v in x], "h array<double>").write.parquet(f"{tmp_path}/x")
+    plans, cut = [], covariance.cut_lineage
+
+    def fixed(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(covariance, "cut_lineage", fixed)
+    got, dets = covariance.minimum_covariance_determinant(spark.read.parquet(f"{tmp_path}/x"), "h", starts=1)
+    assert [("parquet" in p.lower()) for p in plans] == [True] + [False] * (len(plans) - 1) and len(plans) > 2
+    keep, want, mean, cov = 392, [], x.mean(0), np.cov(x.T, bias=True) + 1e-9 * np.eye(3)
+    for _ in range(30):
+        d = np.einsum("ij,ij->i", (x - mean) @ np.linalg.pinv(cov), x - mean)
+        near = x[d <= np.sort(d)[keep - 1]]
+        new = np.cov(near.T, bias=True) + 1e-9 * np.eye(3)
+        if want and np.linalg.slogdet(new)[1] >= want[-1] - 1e-9:
+            break
+        want.append(np.linalg.slogdet(new)[1])
+        mean, cov, best = near.mean(0), new, near
+    assert np.allclose(dets, want) and got.n == len(best) and np.allclose(got.mean, best.mean(0))
+    assert np.isclose(got.quartic, (((best - best.mean(0)) ** 2).sum(1) ** 2).sum())

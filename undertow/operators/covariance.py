@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,37 +67,66 @@ def minimum_covariance_determinant(
 
     A step keeps the share of rows nearest to the current centre and refits, while the determinant falls.
     The first start is all rows, the others are fifths picked by hash; they only choose where to begin, the
-    steps always rank every row. Each step reads the source again, so no lineage grows.
+    steps always rank every row. All starts step side by side: a step reads the vectors twice, once for the distances
+    to every start's centre and once for the moments of what is near, and the vectors are fixed once.
     """
+    df = cut_lineage(df.select(vec))
     whole = vectors.moments(df, vec)[0]
     keep = int(np.ceil(support * whole.n))
-    best: tuple[Moments, list[float]] | None = None
-    for start in range(starts):
-        m = whole
-        if start:
-            fifth = df.filter(F.pmod(F.xxhash64(F.col(vec), F.lit(seed + start)), F.lit(5)) == 0)
-            m = vectors.moments(fifth, vec).get(0, whole)
-        found = _concentrate(df, vec, m, keep, steps)
-        if best is None or found[1][-1] < best[1][-1]:
-            best = found
-    return best
-
-
-def _concentrate(df: DataFrame, vec: str, m: Moments, keep: int, steps: int) -> tuple[Moments, list[float]]:
-    dets: list[float] = []
+    begin = [whole]
+    for start in range(1, starts):
+        fifth = df.filter(F.pmod(F.xxhash64(F.col(vec), F.lit(seed + start)), F.lit(5)) == 0)
+        begin.append(vectors.moments(fifth, vec).get(0, whole))
+    found = _concentrate(df, vec, begin, keep, whole.n, steps)
+    squared, cut, dets = min(found, key=lambda f: f[2][-1])
+    near = df.withColumn("_d2", vectors.scalar_udf(squared)(F.col(vec))).filter(F.col("_d2") <= cut)
+    return vectors.moments(near, vec)[0], dets
+
+
+def _squared(m: Moments) -> Callable[[np.ndarray], np.ndarray]:
+    precision, mean = np.linalg.pinv(m.covariance(0, 1e-9)), m.mean
+    return lambda x: np.einsum("ij,ij->i", (x - mean) @ precision, x - mean)
+
+
+def _concentrate(df: DataFrame, vec: str, begin: list[Moments], keep: int, rows: int, steps: int) -> list[tuple[Callable, float, list[float]]]:
+    """(distance, cut, log-determinants) of each start's last step."""
+    found: list = [(None, 0.0, [])] * len(begin)
+    models = dict(enumerate(begin))
     for _ in range(steps):
-        precision, mean = np.linalg.pinv(m.covariance(0, 1e-9)), m.mean
-        distance = vectors.scalar_udf(lambda x: np.einsum("ij,ij->i", (x - mean) @ precision, x - mean))
-        stored = cut_lineage(df.select(distance(F.col(vec)).alias("_d2")))
-        cut = ordered.value_at_rank(stored, "_d2", [keep - 1])[keep - 1]
-        near = df.withColumn("_d2", distance(F.col(vec))).filter(F.col("_d2") <= cut)
-        nxt = vectors.moments(near, vec)[0]
-        _, logdet = np.linalg.slogdet(nxt.covariance(0, 1e-9))
-        if dets and logdet >= dets[-1] - 1e-9:
+        squared = {k: _squared(m) for k, m in models.items()}
+        stored = cut_lineage(df.select(*[vectors.scalar_udf(f)(F.col(vec)).alias(f"_d{k}") for k, f in squared.items()]))
+        cuts = {k: ordered.value_at_rank(stored, f"_d{k}", [keep - 1], rows=rows)[keep - 1] for k in models}
+        for k, nxt in _near_moments(df, vec, {k: (squared[k], cuts[k], models[k].mean) for k in models}).items():
+            dets = found[k][2]
+            _, logdet = np.linalg.slogdet(nxt.covariance(0, 1e-9))
+            if dets and logdet >= dets[-1] - 1e-9:
+                del models[k]
+                continue
+            models[k] = nxt
+            found[k] = squared[k], cuts[k], [*dets, float(logdet)]
+        if not models:
             break
-        m = nxt
-        dets.append(float(logdet))
-    return m, dets
+    return found
+
+
+def _near_moments(df: DataFrame, vec: str, near: dict[int, tuple[Callable, float, np.ndarray]]) -> dict[int, Moments]:
+    """Rows, mean and scatter of what lies within each cut, in one pass: sums about the centre given, moved to the mean."""
+
+    def partial(batch) -> np.ndarray:
+        x = vectors.matrix(batch.column(vec))
+        parts = []
+        for squared, cut, centre in near.values():
+            part = x[squared(x) <= cut] - centre
+            parts += [[len(part)], part.sum(0), (part.T @ part).reshape(-1)]
+        return np.concatenate(parts)
+
+    out = {}
+    flat = vectors.summed(df, [vec], partial)[0].reshape(len(near), -1)
+    for (k, (_, _, centre)), s in zip(near.items(), flat):
+        n, p = int(s[0]), len(centre)
+        shift = s[1 : p + 1] / n
+        out[k] = Moments(n, centre + shift, s[p + 1 :].reshape(p, p) - n * np.outer(shift, shift), float("nan"))
+    return out
 
 
 def effective_rank(m: Moments) -> float:

@@ -455,14 +455,14 @@ def _settled_states(rows: DataFrame, fold: Fold, key: str, follows: dict[int, in
 RANK_LIMIT = 200_000  # distinct values that are ranked in one window
 
 
-def value_at_rank(df: DataFrame, value: str, ranks: list[int], limit: int = RANK_LIMIT) -> dict[int, float]:
-    """Exact order statistics: rank (0-based, ascending) -> value.
+def value_at_rank(df: DataFrame, value: str, ranks: list[int], limit: int = RANK_LIMIT, rows: int | None = None) -> dict[int, float]:
+    """Exact order statistics: rank (0-based, ascending) -> value. `rows` is how many values there are, when known.
 
     Each pass brackets the wanted ranks with a quantile sketch of guaranteed error, counts what lies
     below and inside each bracket and goes on inside it; the last bracket is ranked by its distinct values.
     """
-    rows = df.select(F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    return _narrow(rows, sorted(set(ranks)), rows.count(), limit)
+    values = df.select(F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    return _narrow(values, sorted(set(ranks)), values.count() if rows is None else rows, limit)
 
 
 def _narrow(rows: DataFrame, ranks: list[int], n: int, limit: int, accuracy: int = 10_000) -> dict[int, float]:
