@@ -223,3 +223,20 @@ def test_robust_steps_read_the_source_once_and_match_brute_force(spark, monkeypa
         mean, cov, best = near.mean(0), new, near
     assert np.allclose(dets, want) and got.n == len(best) and np.allclose(got.mean, best.mean(0))
     assert np.isclose(got.quartic, (((best - best.mean(0)) ** 2).sum(1) ** 2).sum())
+
+
+def test_manifold_study_reads_the_vectors_once_for_all_variants(spark, monkeypatch, tmp_path):
+    from undertow.plans import study
+
+    rng = np.random.default_rng(5)
+    rows = [(k, ("val", "test", "train")[k % 3], int(k % 7 == 0), rng.normal(3 * (k % 7 == 0), 1, 3).tolist()) for k in range(420)]
+    spark.createDataFrame(rows, "flow_id long, split string, label int, h array<double>").write.parquet(f"{tmp_path}/x")
+    plans, cut = [], study.cut_lineage
+
+    def fixed(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(study, "cut_lineage", fixed)
+    assert study.manifold_study(spark.read.parquet(f"{tmp_path}/x")).count() == 5
+    assert sum("parquet" in p.lower() for p in plans) == 1 and sum("ArrowEvalPython" in p or "<lambda>" in p or "distances" in p for p in plans) == 1
