@@ -310,6 +310,27 @@ def test_lines_with_one_typo_and_lines_without_spaces(spark):
     assert got == {i: int(low[i] != i) for i in low}
 
 
+def test_candidate_lines_are_written_as_text(spark, monkeypatch):
+    from undertow.llm import line_dedup
+    from undertow.llm.tables import Tables
+
+    kinds, write = {}, Tables.write
+
+    def noted(self, df, name):
+        kinds.setdefault(name, set()).update(f.dataType.simpleString() for f in df.schema.fields)
+        return write(self, df, name)
+
+    monkeypatch.setattr(Tables, "write", noted)
+    rng = np.random.default_rng(21)
+    line = _prose(rng, 30)
+    # a pair of surrogates is one character; a line of four characters is one shingle
+    rows = [(1, line), (2, line + "x"), (3, "\U0001f600" * 4), (4, "\U0001f600" * 3 + "a"), (5, "  a   b "), (6, "A b")]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 1}
+    # a set of shingles takes some thirty times the bytes of its line
+    assert not any("array" in kind for name in kinds if name != "distinct" for kind in kinds[name])
+
+
 def test_mixing(spark):
     from undertow.llm.mixing import min_cost_flow, mix, quotas, word_count
 

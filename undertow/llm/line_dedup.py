@@ -13,17 +13,26 @@ from undertow.session import broadcast_if_small
 #: Characters of a shingle; rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.998, one of 0.3
 #: with chance 0.22.
 SHINGLE, ROWS, BANDS = 5, 3, 9
-#: A candidate agrees in so many of the first HASHES hashes, as far as four bits of each tell: at 0.8 with chance 0.997.
-HASHES, AGREE = 16, 9
+#: What turns a band's hash into that of each of its rows: the minimum of h ^ c is the hash that is nearest to a random point.
+TURNS = (0x00000000, 0x5A3C96E1, 0x2F81D37B)
+#: Shingles that one row carries, so that a row of the aggregation serves several.
+STEP = 4
+#: A candidate agrees in so many of the ROWS * BANDS hashes, as far as four bits of each tell: at 0.8 with chance 0.998.
+AGREE = 15
 #: Bytes of a character in the encoding that shingles are cut from, where a place is found without counting.
 WIDE = 4
 #: Digests of candidate lines, 8 bytes each, that are broadcast at most.
 IDS = 200_000
+#: Every run of SHINGLE characters; one character is taken at a time, so surrogate pairs stay whole.
+RUNS = "(?s)(?=(.{%d}))." % SHINGLE
 
 
 def _plain(line: str) -> Column:
     """The words, lower-cased and one space apart."""
-    return F.array_join(F.array_remove(F.split(F.lower(line), " "), ""), " ")
+    low, space = F.lower(line), F.lit(" ")
+    # most lines are so already; looking for it is cheaper than parting them
+    loose = F.contains(low, F.lit("  ")) | F.startswith(low, space) | F.endswith(low, space)
+    return F.when(loose, F.array_join(F.array_remove(F.split(low, " "), ""), " ")).otherwise(low)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,63 +49,75 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _places(plain: Column) -> Column:
-    """Where shingles start; a shorter line counts as a whole."""
-    return F.sequence(F.lit(0), F.greatest(F.length(plain) - SHINGLE, F.lit(0)))
-
-
 def _shingle(wide: Column, i: Column) -> Column:
     """Hash of the characters from one on."""
     return F.xxhash64(F.substring(wide, i * WIDE + 1, F.lit(SHINGLE * WIDE)))
 
 
+def _runs(plain: str) -> Column:
+    """The distinct shingles; a shorter line counts as a whole."""
+    return F.when(F.length(plain) < SHINGLE, F.array(plain)).otherwise(F.array_distinct(F.regexp_extract_all(plain, F.lit(RUNS), F.lit(1))))
+
+
 def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(key, dig, drop): the numbers of the lines, from 0, that each document (doc_id and digest of the text) loses."""
     tables = Tables(docs.sparkSession)
     lines = _lines(docs)
-    shingles = lines.select("node", _plain("line").alias("plain"))
+    plain = lines.select("node", _plain("line").alias("plain"))
     # below the explosion, so that a line is encoded once
-    shingles = shingles.select("node", F.encode("plain", "UTF-32").alias("wide"), _places(F.col("plain")).alias("places"))
-    shingles = shingles.select("node", "wide", F.explode("places").alias("i"))
-    shingles = shingles.select("node", _shingle(F.col("wide"), F.col("i")).alias("h"))
-    signature = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
+    last = F.greatest(F.length("plain") - SHINGLE, F.lit(0))
+    wide = plain.select("node", F.encode("plain", "UTF-32").alias("wide"), last.alias("last"), F.sequence(F.lit(0), last, F.lit(STEP)).alias("places"))
+    wide = wide.select("node", "wide", "last", F.explode("places").alias("i"))
+    # past the end the last shingle is met again, which changes no minimum
+    shingles = wide.select("node", *[_shingle(F.col("wide"), F.least(F.col("i") + k, F.col("last"))).alias(f"h{k}") for k in range(STEP)])
+    shingles = shingles.select("node", *[F.hash(f"h{k}", F.lit(b)).alias(f"g{b}_{k}") for b in range(BANDS) for k in range(STEP)])
+
+    def least(b: int, turn: int) -> Column:
+        return F.min(F.least(*[F.col(f"g{b}_{k}").bitwiseXOR(F.lit(turn)) for k in range(STEP)]))
+
+    signature = [least(b, turn).alias(f"m{b * ROWS + r}") for b in range(BANDS) for r, turn in enumerate(TURNS)]
     # one pass: partial minima per line on the map side, merged over equal lines; all buffers are numbers, so they are hashed
     distinct = shingles.groupBy("node").agg(*signature)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    bits = F.lit(0).cast("long")
-    for k in range(HASHES):
-        bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{k}").cast("long").bitwiseAND(F.lit(15)), 4 * k))
-    distinct = tables.write(distinct.select("node", bands.alias("bands"), bits.alias("tag")), "distinct")
+
+    def bits(hashes: range) -> Column:
+        packed = F.lit(0).cast("long")
+        for at, k in enumerate(hashes):
+            packed = packed.bitwiseOR(F.shiftleft(F.col(f"m{k}").cast("long").bitwiseAND(F.lit(15)), 4 * at))
+        return packed
+
+    tag = F.struct(bits(range(16)).alias("one"), bits(range(16, ROWS * BANDS)).alias("two"))
+    distinct = tables.write(distinct.select("node", bands.alias("bands"), tag.alias("tag")), "distinct")
     members = distinct.select("node", "tag", F.explode("bands").alias("key"))
 
     def likely(x: str, y: str) -> Column:
-        apart = F.col(x).bitwiseXOR(F.col(y))
-        for step in (1, 2):
-            apart = apart.bitwiseOR(F.shiftrightunsigned(apart, step))
-        return F.bit_count(apart.bitwiseAND(F.lit(0x1111111111111111))) <= HASHES - AGREE
+        differ = F.lit(0)
+        for half in ("one", "two"):
+            apart = F.col(x)[half].bitwiseXOR(F.col(y)[half])
+            for step in (1, 2):
+                apart = apart.bitwiseOR(F.shiftrightunsigned(apart, step))
+            differ = differ + F.bit_count(apart.bitwiseAND(F.lit(0x1111111111111111)))
+        return differ <= ROWS * BANDS - AGREE
 
-    sets: dict[str, DataFrame] = {}
+    texts: dict[str, DataFrame] = {}
 
     def prepare(nodes: DataFrame) -> None:
         # only digests are sent round, up to IDS of them; beyond it lines meet them in a shuffle, as text
         some = lines.select("node", "line").join(broadcast_if_small(nodes, IDS), "node").dropDuplicates(["node"])
-        some = some.select("node", _plain("line").alias("plain")).select("node", "plain", F.encode("plain", "UTF-32").alias("wide"))
-        # written, for the planner would else encode the line again for each of its shingles
-        some = tables.write(some, "wide")
-        held = F.array_distinct(F.transform(_places(F.col("plain")), lambda i: _shingle(F.col("wide"), i)))
-        sets["a"] = tables.write(some.select("node", held.alias("held")), "sets")
+        texts["all"] = tables.write(some.select("node", _plain("line").alias("plain")), "texts")
 
     def near(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("ia", "ib"))
         return (
-            pairs.join(sets["a"].select(F.col("node").alias("a"), F.col("held").alias("ia")).hint("merge"), "a")
-            .join(sets["a"].select(F.col("node").alias("b"), F.col("held").alias("ib")).hint("merge"), "b")
+            pairs.join(texts["all"].withColumnsRenamed({"node": "a", "plain": "pa"}).hint("merge"), "a")
+            .join(texts["all"].withColumnsRenamed({"node": "b", "plain": "pb"}).hint("merge"), "b")
+            .select("a", "b", _runs("pa").alias("ia"), _runs("pb").alias("ib"))
             .withColumn("both", both)
             .filter(100 * F.col("both") >= percent * (F.size("ia") + F.size("ib") - F.col("both")))
         )
 
     found = linked_components(members, near, likely, prepare)
-    tables.drop("sets", "wide")
+    tables.drop("texts")
     named = distinct.select("node").join(found.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("node", F.coalesce("component", "node").alias("component"))
     place = F.struct("key", "dig", "pos")
