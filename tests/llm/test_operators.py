@@ -167,6 +167,32 @@ def test_near_duplicates_with_additions_rarer_than_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == low
 
 
+def test_documents_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    from undertow.llm import sketch_dedup
+
+    held = {}
+
+    def linked(members, *rest):
+        held["members"] = members.select("key", "node").distinct().collect()
+        return find(members, *rest)
+
+    find = sketch_dedup.linked_components
+    monkeypatch.setattr(sketch_dedup, "linked_components", linked)
+    rng = np.random.default_rng(31)
+    passage = _prose(rng, 60, 3000)
+    rows = [(k, f"{passage} {_prose(rng, 70, 3000)}") for k in range(150)] + [(200 + k, _prose(rng, 120, 3000)) for k in range(20)]
+    rows += [(300 + k, f"{rows[150 + k][1]} {_prose(rng, 20, 3000)}") for k in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in sketch_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: i - 100 if i >= 300 else i for i, _ in rows}
+    lists: dict[int, list[int]] = {}
+    for key, node in held["members"]:
+        lists.setdefault(key, []).append(node)
+    met = {p for x in lists.values() for p in itertools.combinations(sorted(x), 2)}
+    assert {(200 + k, 300 + k) for k in range(20)} <= met
+    # of 11,175 pairs of the 150 that share a passage
+    assert len(met) < 600
+
+
 def test_large_buckets_lose_no_link(spark):
     from undertow.llm.graph import linked_components
 

@@ -1,4 +1,4 @@
-"""Near-duplicate documents by bottom-k sketches of word shingles."""
+"""Near-duplicate documents by sketches of word shingles: bands of minima find pairs, the smallest values estimate them."""
 
 from __future__ import annotations
 
@@ -9,17 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.graph import PAIRWISE, linked_components
+from undertow.llm.graph import linked_components
 from undertow.llm.tables import Tables
 from undertow.llm.text import Words, mix, signed, slices
 from undertow.session import broadcast_if_small
 
-#: Values kept of each set, and the rarest of them that open an inverted list if it is short.
-SKETCH, LISTS = 32, 20
-#: Of the pairs of long lists one in so many opens a list of its own, drawn by hash and not by rarity.
-DRAW = 16
-#: Sets of up to so many values open all pairs of the long lists among their SURE rarest values.
-SMALL, SURE = 40, 10
+#: Values kept of each set.
+SKETCH = 32
+#: Bands of a set and minima of a band: sets of similarity 0.8 share no band with chance (1 - 0.8 ** 8) ** 80, 4e-7.
+BANDS, ROWS = 80, 8
+#: What turns a band's hash into that of each of its minima: the smallest h ^ turn is the h nearest to a random point.
+TURNS = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+#: Values of sets whose bands are computed at a time.
+BLOCK = 1 << 17
 #: A pair goes on to the exact check when the union sketch estimates this share of the threshold or more.
 SLACK = 0.45
 
@@ -48,19 +50,50 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))
 
 
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """(len(sets), BANDS) keys of sets that are not empty; a band's key is a hash of its minima."""
+    values = np.concatenate(sets)
+    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    out = np.empty((len(sets), BANDS), np.uint64)
+    seeds = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for b in range(BANDS):
+        h = mix(values + seeds[b])
+        key = np.full(len(sets), b, np.uint64)
+        for turn in TURNS:
+            key = mix(key * np.uint64(0xD1342543DE82EF95) + np.minimum.reduceat(h ^ turn, starts))
+        out[:, b] = key
+    return out
+
+
 def _sketches(size: int):
     def run(batches):
         for batch in batches:
-            n, one, two, keep = [], [], [], []
+            n, one, two, keep, bands = [], [], [], [], []
+            wait: list[tuple[int, np.ndarray]] = []
+            held = 0
+
+            def settle():
+                for (r, _), keys in zip(wait, band_keys([s for _, s in wait]) if wait else (), strict=True):
+                    bands[r] = signed(keys)
+                wait.clear()
+
             for _, s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 one.append(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))))
                 two.append(np.add.reduce(mix(s + np.uint64(0x14057B7EF767814F))))
                 # a uniform hash of the shingle: its own bits, made positive so that signed order is its order
                 keep.append(signed(np.sort(s >> np.uint64(1))[:SKETCH]))
+                bands.append(np.zeros(0, np.int64))
+                if len(s):
+                    wait.append((len(bands) - 1, s))
+                    held += len(s)
+                if held > BLOCK:
+                    settle()
+                    held = 0
+            settle()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), _lists(keep)],
-                ["doc_id", "n_shingles", "one", "two", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), _lists(keep), _lists(bands)],
+                ["doc_id", "n_shingles", "one", "two", "sketch", "bands"],
             )
 
     return run
@@ -86,14 +119,14 @@ def _sets(size: int):
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document; links are 100 * intersection >= percent * union.
 
-    One hash function; each set keeps its SKETCH smallest values. Documents with equal sets form a class. Classes meet in
-    the inverted lists of their LISTS rarest kept values as far as these are short, else in lists of two values and a
-    size class: of all pairs of values with long lists one in DRAW, drawn by hash; small sets open all pairs of their
-    SURE rarest. Values that a set does not share with its partner come first where they are rarer, so nothing is assumed
-    about the ones drawn: of f such values in a sketch at the threshold, f is binomial (SKETCH, 1 - percent / 100). At
-    0.8 the short lists miss a pair when f >= LISTS (2e-7), the drawn pairs with (1 - 1 / DRAW) ** C(SKETCH - f, 2), 4e-7 over all f, and
-    the estimate when f > 20 (3e-8); sets of up to SKETCH values are never missed. The sketch of the union estimates the similarity, the full sets
-    of the pairs left confirm it.
+    Documents with equal sets form a class. Each set has BANDS keys, a hash of ROWS minima each; classes that share a key
+    are compared. The minima of one band come from one hash h as the smallest h ^ turn: each is that of a shared value
+    with chance J (the similarity) on average, and all of them with J ** ROWS at least, as they depend on one another
+    only through h. Bands have hashes of their own, so nothing is assumed about which values are rare: a pair at 0.8 is
+    missed with a chance of 4e-7 at most, one of 0.5 meets with 0.3 or a little more, one of 0.3 hardly ever; so a bucket
+    grows with a group of like documents, not with those that share a passage. Of two sets of different size the
+    smaller must have the share of the larger. Each set also keeps its SKETCH smallest values: the sketch of the union estimates
+    the similarity (a pair at the threshold falls short with a chance of 3e-8), the full sets of the pairs left confirm it.
 
     Null, empty and blank texts have an empty set and link with nothing. Rows that repeat a doc_id and text get equal
     rows; a null doc_id stays alone with a null component and is kept. Other columns are ignored. Empty in, empty out.
@@ -101,32 +134,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     share = percent / 100
     tables = Tables(docs.sparkSession)
-    sketched = tables.write(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, one long, two long, sketch array<long>"), "sketches")
+    sketched = tables.write(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, one long, two long, sketch array<long>, bands array<long>"), "sketches")
     real = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = real.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = tables.write(classes, "classes")
-    values = classes.select("rep", F.explode("sketch").alias("key"))
-    shared = values.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rare = (
-        values.join(shared.hint("merge"), "key")
-        .groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("best"))
-    )
-    single = rare.select(F.col("rep").alias("node"), F.explode(F.expr("transform(filter(slice(best, 1, %d), x -> x.size <= %d), x -> x.key)" % (LISTS, PAIRWISE))).alias("key"))
-    # values of long lists open lists of two values each, for sets of like size: copies share many, other documents few
-    long = "array_sort(transform(filter(%%s, x -> x.size > %d), x -> x.key))" % PAIRWISE
-    twos = "flatten(transform(%s, (x, i) -> transform(slice(%s, i + 2, size(%s)), y -> xxhash64(x, y))))"
-    drawn = F.when(F.col("n") >= SKETCH, F.expr("filter(%s, h -> pmod(h, %d) = 0)" % (twos % ("v", "v", "v"), DRAW)))
-    every = F.when(F.col("n") <= SMALL, F.expr(twos % ("w", "w", "w")))
-    grade = F.floor(F.log("n") / float(np.log(1 / share)) + 1e-9)
-    double = (
-        rare.select("rep", F.expr(long % "best").alias("v"), F.expr(long % ("slice(best, 1, %d)" % SURE)).alias("w"))
-        .filter("size(v) > 1")
-        .join(classes.select("rep", "n", grade.alias("grade")), "rep")
-        .select("rep", "grade", F.explode(F.array_union(F.coalesce(drawn, F.array().cast("array<long>")), F.coalesce(every, F.array().cast("array<long>")))).alias("h"))
-        .select(F.col("rep").alias("node"), F.explode(F.array(F.xxhash64("h", "grade"), F.xxhash64("h", F.col("grade") + 1))).alias("key"))
-    )
-    lists = single.union(double)
+    members = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"), F.col("n").alias("tag"))
+
+    def alike(x: str, y: str):
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
     reps = classes.select("rep", "n", "sketch")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -137,7 +153,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         likely = (
             pairs.join(left, "a")
             .join(right, "b")
-            .filter(F.least("na", "nb") >= share * F.greatest("na", "nb"))
+            .filter(alike("na", "nb"))
             .filter(overlap >= SLACK * share * F.size(union))
             .select("a", "b", "na", "nb")
         )
@@ -156,7 +172,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             .filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
         )
 
-    found = linked_components(lists, near)
+    found = linked_components(members, near, alike)
     tables.drop("likely", "sets")
     named = classes.select("one", "two", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("one", "two", F.coalesce("component", "rep").alias("component"))
