@@ -353,7 +353,7 @@ def test_candidate_lines_are_written_as_text(spark, monkeypatch):
     rows = [(1, line), (2, line + "x"), (3, "\U0001f600" * 4), (4, "\U0001f600" * 3 + "a"), (5, "  a   b "), (6, "A b")]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 1}
-    # a set of shingles takes some thirty times the bytes of its line
+    # a set of 64-bit shingles takes some eight times the bytes of its line
     assert not any("array" in kind for name in kinds if name != "distinct" for kind in kinds[name])
 
 

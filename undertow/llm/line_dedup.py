@@ -17,7 +17,8 @@ SHINGLE, ROWS, BANDS = 5, 3, 9
 TURNS = (0x00000000, 0x5A3C96E1, 0x2F81D37B)
 #: Shingles that one row carries, so that a row of the aggregation serves several.
 STEP = 4
-#: A candidate agrees in so many of the ROWS * BANDS hashes, as far as four bits of each tell: at 0.8 with chance 0.998.
+#: A candidate agrees in so many of the ROWS * BANDS hashes, as far as four bits of each tell: at 0.8 with chance 0.9995,
+#: were they independent; those of one band depend on one another a little.
 AGREE = 15
 #: Bytes of a character in the encoding that shingles are cut from, where a place is found without counting.
 WIDE = 4
