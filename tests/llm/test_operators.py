@@ -202,6 +202,39 @@ def test_large_buckets_lose_no_link(spark):
     assert {r["id"]: r["component"] for r in found.collect()} == {i: i % 7 for i in range(240)}
 
 
+def test_parities_rule_out_unlinked_members_of_a_large_group_and_no_other(spark, monkeypatch):
+    from undertow.llm import sketch_dedup
+
+    rng = np.random.default_rng(41)
+    x = [rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(2)]
+    x += [np.concatenate([x[0][:k], x[1][k:]]) for k in range(0, 400, 40)]
+    for a, b in itertools.combinations(x, 2):
+        apart = sum(int(p ^ q).bit_count() for p, q in zip(*(sketch_dedup.parities(s).view(np.uint64) for s in (a, b)), strict=True))
+        assert apart <= len(np.setxor1d(a, b))
+    base = _prose(rng, 201, 3000).split(" ")
+    # any two share some 0.67 of their pairs: each member lies apart, in buckets of hundreds
+    rows = [(k, " ".join(f"own{k}x{j}" if j in own else w for j, w in enumerate(base))) for k in range(150) for own in [set(rng.choice(200, 11, replace=False))]]
+    rows += [(1000, rows[77][1] + " end")]
+    asked = []
+
+    def linked(members, near, likely, *rest):
+        def counted(pairs):
+            asked.append(pairs.count())
+            return near(pairs)
+
+        return find(members, counted, likely, *rest)
+
+    find = sketch_dedup.linked_components
+    monkeypatch.setattr(sketch_dedup, "linked_components", linked)
+    sets = _sets(rows, 2)
+    low = _components(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert len(set(low.values())) > 100
+    got = {r["doc_id"]: r["component_id"] for r in sketch_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == low
+    # of 11,325 pairs
+    assert sum(asked) < 600
+
+
 def test_components_of_paths_and_stars(spark):
     from undertow.llm.graph import components
 

@@ -76,22 +76,28 @@ def linked_components(
     near: Callable[[DataFrame], DataFrame],
     likely: Callable[[str, str], Column] | None = None,
     prepare: Callable[[DataFrame], None] | None = None,
+    tags: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component) of the links that `near` confirms between members of one bucket; a missing id is on its own.
 
-    `members` has a row (key, node, tag) per bucket and member. Pairs whose tags `likely` (given the names of two tag
-    columns) rules out are left. `prepare` gets the nodes (node) that may be compared, before any is. `near` gets distinct
+    `members` has a row (key, node, tag) per bucket and member; wide tags come apart, as `tags` (node, tag), and meet only
+    members that share a bucket. Pairs whose tags `likely` (given the names of two tag columns) rules out are left. `prepare` gets the nodes (node) that may be compared, before any is. `near` gets distinct
     pairs (a, b), a < b, and returns the linked ones.
     First each node is compared with one other, the smallest it may be paired with in any bucket, which joins most of a
     group of copies at the cost of its size. After that only members that are not yet known to be connected are compared:
-    small buckets at once, a larger bucket with a few pivots, which then leave it; each round takes 64 times as many. So
-    no link between components is lost, and rounds grow with the logarithm of a bucket.
+    small buckets at once, a larger bucket with some drawn pivots; each round draws 64 times as many, until every member is
+    one. So no link between components is lost, and rounds grow with the logarithm of a bucket. A node's buckets are
+    gathered in one row: they are to be few, as bands are.
     """
     tables = Tables(members.sparkSession)
-    members = members if "tag" in members.columns else members.withColumn("tag", F.lit(0).cast("byte"))
+    if tags is None and "tag" not in members.columns:
+        members = members.withColumn("tag", F.lit(0).cast("byte"))
     fits = likely("tag", "tag_b") if likely else F.lit(True)
+    # dealt by bucket once, for the sizes and for the members
+    members = members.repartition("key")
     sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("p")).filter("size > 1")
-    members = tables.write(members.join(sizes.hint("merge"), "key"), "members")
+    shared = members.join(sizes.hint("merge"), "key")
+    members = tables.write(shared if tags is None else shared.join(tags.hint("merge"), "node"), "members")
     small = members.filter(F.col("size") <= PAIRWISE).select("key", F.col("node").alias("a"), "tag")
     pairs = small.join(small.withColumnsRenamed({"a": "b", "tag": "tag_b"}).hint("merge"), "key").filter("a < b").filter(fits).select("a", "b").distinct()
     pairs = tables.write(pairs, "pairs")
@@ -110,27 +116,31 @@ def linked_components(
         held += n
         found = tables.write(_gathered(joined(found, links, tables, n + 2 * held), 2 * held), "found")
     tables.drop("pairs")
-    rest = large.select("key", "node", "tag")
-    count = 1
-    while n := rest.count():
+    # one row per node, so that its component and its tag travel once and not once per bucket
+    rest = tables.write(large.groupBy("node").agg(F.first("tag").alias("tag"), F.collect_set("key").alias("keys")), "rest")
+    done, count = 1, PAIRWISE
+    while True:
         known = found.select(F.col("id").alias("node"), "component")
-        rest = tables.write(rest.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).transform(_gathered, n + 2 * held), "named")
+        named = tables.write(rest.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
         parts = (
-            rest.groupBy("key")
-            .agg(F.count("*").alias("size"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
-            .filter("low < high")
-            .drop("low", "high")
+            named.select("node", "component", F.explode("keys").alias("key"))
+            .groupBy("key")
+            .agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+            .filter((F.col("low") < F.col("high")) & (F.col("size") > done))
+            .select("key", "size")
         )
         draw = (F.xxhash64("node", F.lit(count)).bitwiseAND(F.lit((1 << 20) - 1))) / float(1 << 20)
-        rest = rest.join(parts.hint("merge"), "key").withColumn("pivot", (F.col("node") == F.col("first")) | (draw * F.col("size") < count))
-        rest = tables.write(_gathered(rest, n), "rest")
-        pivots = rest.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("tag").alias("tag_b"))
-        pairs = rest.join(pivots.hint("merge"), "key").filter("component <> pc").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        # count >= size takes every member
+        opened = named.select("node", "tag", "component", F.explode("keys").alias("key")).join(parts.hint("merge"), "key").withColumn("pivot", draw * F.col("size") < count)
+        opened = tables.write(opened, "opened")
+        if opened.isEmpty():
+            break
+        pivots = opened.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("tag").alias("tag_b"))
+        pairs = opened.join(pivots.hint("merge"), "key").filter("component <> pc").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         links = tables.write(near(pairs).select("a", "b"), "links")
         if n := links.count():
             held += n
             found = tables.write(_gathered(joined(found, links, tables, n + 2 * held), 2 * held), "found")
-        rest = rest.filter("NOT pivot").select("key", "node", "tag")
-        count *= 64
-    tables.drop("members", "named", "rest", "links", "edges", "up", "tops")
+        done, count = count, count * 64
+    tables.drop("members", "named", "rest", "opened", "links", "edges", "up", "tops")
     return found

@@ -22,6 +22,8 @@ BANDS, ROWS = 80, 8
 TURNS = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 #: Values of sets whose bands are computed at a time.
 BLOCK = 1 << 17
+#: Words of 64 bits of a set's parities. They settle pairs of sets of up to some ODD * 64 values; larger ones differ less.
+ODD = 16
 #: A pair goes on to the exact check when the union sketch estimates this share of the threshold or more.
 SLACK = 0.45
 
@@ -65,10 +67,16 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's values fall on each of ODD * 64 places; two sets differ in as many places as values at most."""
+    at = (mix(s ^ np.uint64(0x3C79AC492BA7B653)) % np.uint64(ODD * 64)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=ODD * 64) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketches(size: int):
     def run(batches):
         for batch in batches:
-            n, one, two, keep, bands = [], [], [], [], []
+            n, one, two, keep, bands, odd = [], [], [], [], [], []
             wait: list[tuple[int, np.ndarray]] = []
             held = 0
 
@@ -83,6 +91,7 @@ def _sketches(size: int):
                 two.append(np.add.reduce(mix(s + np.uint64(0x14057B7EF767814F))))
                 # a uniform hash of the shingle: its own bits, made positive so that signed order is its order
                 keep.append(signed(np.sort(s >> np.uint64(1))[:SKETCH]))
+                odd.append(parities(s))
                 bands.append(np.zeros(0, np.int64))
                 if len(s):
                     wait.append((len(bands) - 1, s))
@@ -92,8 +101,8 @@ def _sketches(size: int):
                     held = 0
             settle()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), _lists(keep), _lists(bands)],
-                ["doc_id", "n_shingles", "one", "two", "sketch", "bands"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), _lists(keep), _lists(odd), _lists(bands)],
+                ["doc_id", "n_shingles", "one", "two", "sketch", "odd", "bands"],
             )
 
     return run
@@ -125,7 +134,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     only through h. Bands have hashes of their own, so nothing is assumed about which values are rare: a pair at 0.8 is
     missed with a chance of 4e-7 at most, one of 0.5 meets with 0.3 or a little more, one of 0.3 hardly ever; so a bucket
     grows with a group of like documents, not with those that share a passage. Of two sets of different size the
-    smaller must have the share of the larger. Each set also keeps its SKETCH smallest values: the sketch of the union estimates
+    smaller must have the share of the larger; and where their parities differ in more places than linked sets have values
+    apart, they are not linked, which loses none. Each set also keeps its SKETCH smallest values: the sketch of the union estimates
     the similarity (a pair at the threshold falls short with a chance of 3e-8), the full sets of the pairs left confirm it.
 
     Null, empty and blank texts have an empty set and link with nothing. Rows that repeat a doc_id and text get equal
@@ -134,15 +144,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     share = percent / 100
     tables = Tables(docs.sparkSession)
-    sketched = tables.write(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, one long, two long, sketch array<long>, bands array<long>"), "sketches")
+    sketched = tables.write(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, one long, two long, sketch array<long>, odd array<long>, bands array<long>"), "sketches")
     real = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    same = [F.first(c).alias(c) for c in ("sketch", "odd", "bands")]
+    classes = real.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *same)
     classes = tables.write(classes, "classes")
-    members = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"), F.col("n").alias("tag"))
+    members = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"))
+    tags = classes.select(F.col("rep").alias("node"), F.struct("n", *[F.col("odd")[k].alias(f"w{k}") for k in range(ODD)]).alias("tag"))
 
-    def alike(x: str, y: str):
+    def alike(x, y):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
+    def likely(x: str, y: str):
+        # what two linked sets do not share is (100 - percent) / (100 + percent) of their sizes at most
+        x, y = F.col(x), F.col(y)
+        apart = sum((F.bit_count(x[f"w{k}"].bitwiseXOR(y[f"w{k}"])) for k in range(ODD)), F.lit(0))
+        return alike(x["n"], y["n"]) & ((100 + percent) * apart <= (100 - percent) * (x["n"] + y["n"]))
+
     reps = classes.select("rep", "n", "sketch")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -150,30 +168,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
         overlap = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-        likely = (
+        close = (
             pairs.join(left, "a")
             .join(right, "b")
             .filter(alike("na", "nb"))
             .filter(overlap >= SLACK * share * F.size(union))
             .select("a", "b", "na", "nb")
         )
-        likely = tables.write(likely, "likely")
-        if likely.isEmpty():
-            return likely
-        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
+        close = tables.write(close, "close")
+        if close.isEmpty():
+            return close
+        ids = close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct()
         # the sets of the candidates alone, read from their texts once more
         texts = docs.join(broadcast_if_small(ids), "doc_id")
         sets = tables.write(texts.mapInArrow(_sets(size), "id long, items array<long>").dropDuplicates(["id"]), "sets")
         both = F.size(F.array_intersect("ia", "ib"))
         return (
-            likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
+            close.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
             .withColumn("both", both)
             .filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
         )
 
-    found = linked_components(members, near, alike)
-    tables.drop("likely", "sets")
+    found = linked_components(members, near, likely, None, tags)
+    tables.drop("close", "sets")
     named = classes.select("one", "two", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("one", "two", F.coalesce("component", "rep").alias("component"))
     lonely = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
