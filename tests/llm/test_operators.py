@@ -390,6 +390,34 @@ def test_candidate_lines_are_written_as_text(spark, monkeypatch):
     assert not any("array" in kind for name in kinds if name != "distinct" for kind in kinds[name])
 
 
+def test_a_large_group_of_like_lines_is_not_compared_pair_by_pair(spark, monkeypatch):
+    from undertow.llm import line_dedup
+
+    rng = np.random.default_rng(43)
+    base = _prose(rng, 40, 3000)
+    # any two share some 0.65 of their shingles: near the threshold, and most of them linked with none
+    rows = [(k, "".join(chr(0x4E00 + 9 * k + list(at).index(i)) if i in at else c for i, c in enumerate(base))) for k in range(120) for at in [set(rng.choice(len(base), len(base) // 42, replace=False))]]
+    rows += [(1000, rows[60][1] + "!")]
+    sets = {i: {t[j : j + 5] for j in range(len(t) - 4)} for i, t in ((i, " ".join(t.lower().split())) for i, t in rows)}
+    low = _components(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert len(set(low.values())) > 60
+    asked = []
+
+    def linked(members, near, *rest):
+        def counted(pairs):
+            asked.append(pairs.count())
+            return near(pairs)
+
+        return find(members, counted, *rest)
+
+    find = line_dedup.linked_components
+    monkeypatch.setattr(line_dedup, "linked_components", linked)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(low[i] != i) for i in low}
+    # of 7,260 pairs
+    assert sum(asked) < 2500, asked
+
+
 def test_mixing(spark):
     from undertow.llm.mixing import min_cost_flow, mix, quotas, word_count
 

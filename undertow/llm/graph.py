@@ -71,23 +71,38 @@ def joined(found: DataFrame, links: DataFrame, tables: Tables, rows: int) -> Dat
     return known.union(tops.join(found, "id", "left_anti").select("id", F.col("top").alias("component")))
 
 
+def within(x: str, y: str, words: int, percent: int) -> Column:
+    """Whether two sets may have 100 * intersection >= percent * union, by their tags: n, the size, and w0, w1, ..., words of
+    64 parities of the values that fall on each place. A place that differs takes a value of one set alone, so a pair that is
+    ruled out is not linked."""
+    x, y = F.col(x), F.col(y)
+    apart = F.lit(0)
+    for k in range(words):
+        apart = apart + F.bit_count(x[f"w{k}"].bitwiseXOR(y[f"w{k}"]))
+    alike = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    # what two linked sets do not share is (100 - percent) / (100 + percent) of their sizes at most
+    return alike & ((100 + percent) * apart <= (100 - percent) * (x["n"] + y["n"]))
+
+
 def linked_components(
     members: DataFrame,
     near: Callable[[DataFrame], DataFrame],
     likely: Callable[[str, str], Column] | None = None,
     prepare: Callable[[DataFrame], None] | None = None,
     tags: DataFrame | None = None,
+    finer: Callable[[DataFrame], DataFrame] | None = None,
+    closer: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """(id, component) of the links that `near` confirms between members of one bucket; a missing id is on its own.
 
     `members` has a row (key, node, tag) per bucket and member; wide tags come apart, as `tags` (node, tag), and meet only
-    members that share a bucket. Pairs whose tags `likely` (given the names of two tag columns) rules out are left. `prepare` gets the nodes (node) that may be compared, before any is. `near` gets distinct
+    members that share a bucket. For the members of large buckets `finer` (given nodes) makes other tags, which `closer`
+    reads as `likely` does its own. Pairs whose tags `likely` (given the names of two tag columns) rules out are left. `prepare` gets the nodes (node) that may be compared, before any is. `near` gets distinct
     pairs (a, b), a < b, and returns the linked ones.
     First each node is compared with one other, the smallest it may be paired with in any bucket, which joins most of a
     group of copies at the cost of its size. After that only members that are not yet known to be connected are compared:
     small buckets at once, a larger bucket with some drawn pivots; each round draws 64 times as many, until every member is
-    one. So no link between components is lost, and rounds grow with the logarithm of a bucket. A node's buckets are
-    gathered in one row: they are to be few, as bands are.
+    one. So no link between components is lost, and rounds grow with the logarithm of a bucket.
     """
     tables = Tables(members.sparkSession)
     if tags is None and "tag" not in members.columns:
@@ -116,23 +131,19 @@ def linked_components(
         held += n
         found = tables.write(_gathered(joined(found, links, tables, n + 2 * held), 2 * held), "found")
     tables.drop("pairs")
-    # one row per node, so that its component and its tag travel once and not once per bucket
-    rest = tables.write(large.groupBy("node").agg(F.first("tag").alias("tag"), F.collect_set("key").alias("keys")), "rest")
+    # one row per node, so that a component is looked up once and not once per bucket
+    nodes = large.select("node", "tag").dropDuplicates(["node"])
+    nodes = tables.write(finer(nodes.select("node")) if finer else nodes, "nodes")
+    fits = closer("tag", "tag_b") if closer else fits
     done, count = 1, PAIRWISE
     while True:
         known = found.select(F.col("id").alias("node"), "component")
-        named = tables.write(rest.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
-        parts = (
-            named.select("node", "component", F.explode("keys").alias("key"))
-            .groupBy("key")
-            .agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-            .filter((F.col("low") < F.col("high")) & (F.col("size") > done))
-            .select("key", "size")
-        )
+        named = tables.write(nodes.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+        rest = large.filter(F.col("size") > done).select("key", "node", "size").join(named.hint("merge"), "node")
+        parts = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
         draw = (F.xxhash64("node", F.lit(count)).bitwiseAND(F.lit((1 << 20) - 1))) / float(1 << 20)
         # count >= size takes every member
-        opened = named.select("node", "tag", "component", F.explode("keys").alias("key")).join(parts.hint("merge"), "key").withColumn("pivot", draw * F.col("size") < count)
-        opened = tables.write(opened, "opened")
+        opened = tables.write(rest.join(parts.hint("merge"), "key").withColumn("pivot", draw * F.col("size") < count), "opened")
         if opened.isEmpty():
             break
         pivots = opened.filter("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("tag").alias("tag_b"))
@@ -142,5 +153,5 @@ def linked_components(
             held += n
             found = tables.write(_gathered(joined(found, links, tables, n + 2 * held), 2 * held), "found")
         done, count = count, count * 64
-    tables.drop("members", "named", "rest", "opened", "links", "edges", "up", "tops")
+    tables.drop("members", "nodes", "named", "opened", "links", "edges", "up", "tops")
     return found

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.graph import linked_components
+from undertow.llm.graph import linked_components, within
 from undertow.llm.spans import NO_ID
 from undertow.llm.tables import Tables
 from undertow.session import broadcast_if_small
 
-#: Characters of a shingle; rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.998, one of 0.3
-#: with chance 0.22.
-SHINGLE, ROWS, BANDS = 5, 3, 9
+#: Characters of a shingle; rows of a band and bands: a pair of similarity 0.8 shares a band with chance 0.9988, one of 0.3
+#: with chance 0.04 and one of 0.1, as unlike lines of a language may be, with chance 0.0002, so buckets hold like lines.
+SHINGLE, ROWS, BANDS = 5, 5, 17
 #: What turns a band's hash into that of each of its rows: the minimum of h ^ c is the hash that is nearest to a random point.
-TURNS = (0x00000000, 0x5A3C96E1, 0x2F81D37B)
+TURNS = (0x00000000, 0x5A3C96E1, 0x2F81D37B, -0x4D1A6F33, -0x1B7E2A55)
 #: Shingles that one row carries, so that a row of the aggregation serves several.
-STEP = 4
-#: A candidate agrees in so many of the ROWS * BANDS hashes, as far as four bits of each tell: at 0.8 with chance 0.9995,
-#: were they independent; those of one band depend on one another a little.
-AGREE = 15
+STEP = 2
+#: Hashes of a tag, four bits of each, 16 to a number; a candidate agrees in AGREE of them: at 0.8 with chance 0.9998, were
+#: they independent (those of one band depend on one another a little), at 0.5 with chance 0.02.
+TAGGED, AGREE = 80, 52
+#: Words of 64 parities of a line's shingles, where large buckets are compared.
+ODD = 16
 #: Bytes of a character in the encoding that shingles are cut from, where a place is found without counting.
 WIDE = 4
 #: Digests of candidate lines, 8 bytes each, that are broadcast at most.
 IDS = 200_000
-#: Every run of SHINGLE characters; one character is taken at a time, so surrogate pairs stay whole.
-RUNS = "(?s)(?=(.{%d}))." % SHINGLE
 
 
 def _plain(line: str) -> Column:
@@ -37,7 +37,7 @@ def _plain(line: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(key, dig, pos, line, node) of every line that is not blank; node is a 64-bit digest of it."""
+    """(key, dig, pos, plain, node) of every line that is not blank: its words, and a 64-bit digest of them."""
     # few texts hold other white space; looking for it is cheaper than translating every character
     other = F.lit(False)
     for space in "\t\u000b\f\r":
@@ -46,7 +46,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return (
         docs.select("key", "dig", F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
         .filter("trim(line) <> ''")
-        .select("key", "dig", "pos", "line", F.xxhash64("line").alias("node"))
+        .select("key", "dig", "pos", _plain("line").alias("plain"))
+        .withColumn("node", F.xxhash64("plain"))
     )
 
 
@@ -56,15 +57,19 @@ def _shingle(wide: Column, i: Column) -> Column:
 
 
 def _runs(plain: str) -> Column:
-    """The distinct shingles; a shorter line counts as a whole."""
-    return F.when(F.length(plain) < SHINGLE, F.array(plain)).otherwise(F.array_distinct(F.regexp_extract_all(plain, F.lit(RUNS), F.lit(1))))
+    """Hashes of the distinct shingles; a shorter line counts as a whole."""
+    last = F.greatest(F.length(plain) - SHINGLE, F.lit(0))
+    # the outer step encodes a line once for all its places
+    each = F.transform(F.array(F.encode(plain, "UTF-32")), lambda wide: F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(wide, i)))
+    return F.array_distinct(F.element_at(each, 1))
 
 
 def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(key, dig, drop): the numbers of the lines, from 0, that each document (doc_id and digest of the text) loses."""
     tables = Tables(docs.sparkSession)
     lines = _lines(docs)
-    plain = lines.select("node", _plain("line").alias("plain"))
+    # equal lines meet as text, which takes less room than their minima, and are hashed once
+    plain = lines.select("node", "plain").dropDuplicates(["node"])
     # below the explosion, so that a line is encoded once
     last = F.greatest(F.length("plain") - SHINGLE, F.lit(0))
     wide = plain.select("node", F.encode("plain", "UTF-32").alias("wide"), last.alias("last"), F.sequence(F.lit(0), last, F.lit(STEP)).alias("places"))
@@ -77,7 +82,7 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
         return F.min(F.least(*[F.col(f"g{b}_{k}").bitwiseXOR(F.lit(turn)) for k in range(STEP)]))
 
     signature = [least(b, turn).alias(f"m{b * ROWS + r}") for b in range(BANDS) for r, turn in enumerate(TURNS)]
-    # one pass: partial minima per line on the map side, merged over equal lines; all buffers are numbers, so they are hashed
+    # lines are dealt by node already, so nothing moves; all buffers are numbers, so they are hashed
     distinct = shingles.groupBy("node").agg(*signature)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
 
@@ -87,25 +92,36 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
             packed = packed.bitwiseOR(F.shiftleft(F.col(f"m{k}").cast("long").bitwiseAND(F.lit(15)), 4 * at))
         return packed
 
-    tag = F.struct(bits(range(16)).alias("one"), bits(range(16, ROWS * BANDS)).alias("two"))
+    parts = [f"t{k}" for k in range(TAGGED // 16)]
+    tag = F.struct(*[bits(range(16 * k, 16 * k + 16)).alias(part) for k, part in enumerate(parts)])
     distinct = tables.write(distinct.select("node", bands.alias("bands"), tag.alias("tag")), "distinct")
-    members = distinct.select("node", "tag", F.explode("bands").alias("key"))
+    members = distinct.select("node", F.explode("bands").alias("key"))
 
     def likely(x: str, y: str) -> Column:
         differ = F.lit(0)
-        for half in ("one", "two"):
-            apart = F.col(x)[half].bitwiseXOR(F.col(y)[half])
+        for part in parts:
+            apart = F.col(x)[part].bitwiseXOR(F.col(y)[part])
             for step in (1, 2):
                 apart = apart.bitwiseOR(F.shiftrightunsigned(apart, step))
             differ = differ + F.bit_count(apart.bitwiseAND(F.lit(0x1111111111111111)))
-        return differ <= ROWS * BANDS - AGREE
+        return differ <= TAGGED - AGREE
 
     texts: dict[str, DataFrame] = {}
 
     def prepare(nodes: DataFrame) -> None:
         # only digests are sent round, up to IDS of them; beyond it lines meet them in a shuffle, as text
-        some = lines.select("node", "line").join(broadcast_if_small(nodes, IDS), "node").dropDuplicates(["node"])
-        texts["all"] = tables.write(some.select("node", _plain("line").alias("plain")), "texts")
+        some = lines.select("node", "plain").join(broadcast_if_small(nodes, IDS), "node").dropDuplicates(["node"])
+        texts["all"] = tables.write(some, "texts")
+
+    def finer(nodes: DataFrame) -> DataFrame:
+        runs = texts["all"].join(nodes, "node").select("node", F.explode(_runs("plain")).alias("h"))
+        word = F.col("h").bitwiseAND(F.lit(ODD - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(63)).cast("int"))
+        odd = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(ODD)]
+        return runs.groupBy("node").agg(F.count("*").alias("n"), *odd).select("node", F.struct("n", *[f"w{k}" for k in range(ODD)]).alias("tag"))
+
+    def closer(x: str, y: str) -> Column:
+        return within(x, y, ODD, percent)
 
     def near(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("ia", "ib"))
@@ -117,14 +133,13 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
             .filter(100 * F.col("both") >= percent * (F.size("ia") + F.size("ib") - F.col("both")))
         )
 
-    found = linked_components(members, near, likely, prepare)
+    found = linked_components(members, near, likely, prepare, distinct.select("node", "tag"), finer, closer)
     tables.drop("texts")
-    named = distinct.select("node").join(found.withColumnRenamed("id", "node"), "node", "left")
-    named = named.select("node", F.coalesce("component", "node").alias("component"))
+    found = found.withColumnRenamed("id", "node")
     place = F.struct("key", "dig", "pos")
-    places = lines.select("key", "dig", "pos", "node").join(named, "node").select("key", "dig", "pos", "component")
-    # the first line of the first document stays
-    kept = places.groupBy("component").agg(F.min(place).alias("keep"))
+    places = lines.select("key", "dig", "pos", "node").join(found.hint("merge"), "node", "left").select("key", "dig", "pos", F.coalesce("component", "node").alias("component"))
+    # the first line of the first document stays; most components are one line
+    kept = places.groupBy("component").agg(F.min(place).alias("keep"), F.count("*").alias("n")).filter("n > 1").select("component", "keep")
     drop = places.join(kept, "component").filter(place != F.col("keep"))
     return drop.groupBy("key", "dig").agg(F.collect_set("pos").alias("drop"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.graph import linked_components
+from undertow.llm.graph import linked_components, within
 from undertow.llm.tables import Tables
 from undertow.llm.text import Words, mix, signed, slices
 from undertow.session import broadcast_if_small
@@ -152,14 +152,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"))
     tags = classes.select(F.col("rep").alias("node"), F.struct("n", *[F.col("odd")[k].alias(f"w{k}") for k in range(ODD)]).alias("tag"))
 
-    def alike(x, y):
+    def alike(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     def likely(x: str, y: str):
-        # what two linked sets do not share is (100 - percent) / (100 + percent) of their sizes at most
-        x, y = F.col(x), F.col(y)
-        apart = sum((F.bit_count(x[f"w{k}"].bitwiseXOR(y[f"w{k}"])) for k in range(ODD)), F.lit(0))
-        return alike(x["n"], y["n"]) & ((100 + percent) * apart <= (100 - percent) * (x["n"] + y["n"]))
+        return within(x, y, ODD, percent)
 
     reps = classes.select("rep", "n", "sketch")
 
