@@ -114,11 +114,18 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
         texts["all"] = tables.write(some, "texts")
 
     def finer(nodes: DataFrame) -> DataFrame:
-        runs = texts["all"].join(nodes, "node").select("node", F.explode(_runs("plain")).alias("h"))
-        word = F.col("h").bitwiseAND(F.lit(ODD - 1))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(63)).cast("int"))
-        odd = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(ODD)]
-        return runs.groupBy("node").agg(F.count("*").alias("n"), *odd).select("node", F.struct("n", *[f"w{k}" for k in range(ODD)]).alias("tag"))
+        # within the row of its line, so that no shingle becomes a row
+        runs = texts["all"].join(nodes, "node").select("node", _runs("plain").alias("runs"))
+
+        def parities(k: int) -> Column:
+            mine = F.filter("runs", lambda h: h.bitwiseAND(F.lit(ODD - 1)) == k)
+            place = lambda h: F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")
+            one = F.lit(1).cast("long")
+            return F.aggregate(mine, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", one, place(h))))
+
+        # written by `linked_components`; the sets themselves are not
+        words = [parities(k).alias(f"w{k}") for k in range(ODD)]
+        return runs.select("node", F.struct(F.size("runs").cast("long").alias("n"), *words).alias("tag"))
 
     def closer(x: str, y: str) -> Column:
         return within(x, y, ODD, percent)
